@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.functions.order_stats import order_statistics
 from tallymark.operators.joins import salted_join
@@ -90,7 +91,7 @@ def two_sided_p(t: float, dof: float) -> float:
     return _beta_tail(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(a) or pd.isna(b) or b <= 0 else two_sided_p(a, b) for a, b in zip(t, dof)], dtype="float64"

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.functions import text as tx
 
@@ -17,7 +18,7 @@ QA_CORRECT_ABOVE = 0.7
 _CACHE_ENTRIES = 10_000
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratio of matching blocks of two lower-cased texts, null for null text.
 
