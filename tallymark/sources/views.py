@@ -173,10 +173,14 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
 
 def models(spark: SparkSession) -> DataFrame:
     """The model catalog, a few rows of configuration."""
-    return spark.createDataFrame(
-        [(m.name, m.path, m.load_in_4bit, m.load_in_8bit) for m in MODELS],
-        "model string, model_path string, load_in_4bit boolean, load_in_8bit boolean",
-    )
+    rows = [
+        F.struct(
+            F.lit(m.name).alias("model"), F.lit(m.path).alias("model_path"),
+            F.lit(m.load_in_4bit).alias("load_in_4bit"), F.lit(m.load_in_8bit).alias("load_in_8bit"),
+        )
+        for m in MODELS
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def chat_pairs(spark: SparkSession, folder: str) -> DataFrame:
