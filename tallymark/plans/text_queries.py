@@ -120,9 +120,8 @@ def _templates_sql():
     f"""SELECT sample_id, model, family, length(prompt)::INTEGER AS chars, md5(prompt) AS prompt_md5
         FROM (SELECT sample_id, model, f.family,
                      CASE WHEN t.family IS NULL THEN question
-                          WHEN context = '' THEN array_to_string(list_transform(string_split(plain, '{{question}}'), lambda x: x), question)
-                          ELSE array_to_string(list_transform(string_split(with_context, '{{context}}'),
-                                   lambda x: array_to_string(string_split(x, '{{question}}'), question)), context) END AS prompt
+                          WHEN context = '' THEN replace(plain, '{{question}}', question)
+                          ELSE replace(replace(with_context, '{{context}}', context), '{{question}}', question) END AS prompt
               FROM (SELECT *, CASE WHEN difficulty = 'hard' THEN answer ELSE '' END AS context FROM samples),
                    (SELECT model, {FAMILY} AS family FROM models) f
               LEFT JOIN {_templates_sql()} t ON t.family = f.family)""",
