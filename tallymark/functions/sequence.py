@@ -1,13 +1,14 @@
-"""Row order inside groups of any size.
+"""Running totals and row order inside groups of any size.
 
-A window over ``partitionBy(key)`` sorts a whole group in one task.  These
-helpers range-partition on key and order together, so a large group is spread
-over many slices, store the slices once, and add per-slice offsets.
+A window over ``partitionBy(key)`` sorts a whole group in one task.  Here rows
+are range-partitioned on key and order together, so a large group is spread
+over many even slices; the slices are stored once, and each row combines its
+place in the slice with the total of the slices before it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,9 +16,12 @@ from pyspark.sql import functions as F
 from tallymark.session import ensure_checkpoint_dir
 
 SLICE = "_slice"
+_COMBINE = {"sum": F.sum, "max": F.max}
 
 
-def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+def ordered_slices(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None, name: str = SLICE
+) -> DataFrame:
     """Rows tagged with a slice number that grows with ``order`` in each group.
 
     ``order`` must be unique within a group; slice sizes are then even however
@@ -27,55 +31,44 @@ def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], sli
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        df.repartitionByRange(n, *keys, *order)
-        .withColumn(SLICE, F.spark_partition_id())
-        .checkpoint()
-    )
-
+    return df.repartitionByRange(n, *keys, *order).withColumn(name, F.spark_partition_id()).checkpoint()
 
-def _offsets(sliced: DataFrame, keys: Sequence[str], totals: dict[str, Column], combine) -> DataFrame:
-    """Per (group, slice): ``combine`` of each total over the slices before it."""
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = sliced.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in totals.items()])
-    return per_slice.select(*keys, SLICE, *[combine(n).over(before).alias(n) for n in totals])
 
-
-def with_row_number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_number", slices: int | None = None
+def with_running(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    totals: Mapping[str, tuple[str, Column]],
+    slices: int | None = None,
 ) -> DataFrame:
-    """One-based position of each row in its group."""
+    """Running sums or maxima of each group, up to and with the row.
+
+    ``totals`` maps a new column to ``("sum" | "max", expression)``.
+    """
     sliced = ordered_slices(df, keys, order, slices)
-    offsets = _offsets(sliced, keys, {"_before": F.count(F.lit(1))}, F.sum)
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one row per (group, slice): at most slices + groups rows
+    per_slice = sliced.groupBy(*keys, SLICE).agg(*[_COMBINE[k](c).alias(f"_{n}") for n, (k, c) in totals.items()])
+    offsets = per_slice.select(
+        *keys, SLICE, *[_COMBINE[k](f"_{n}").over(earlier).alias(f"_{n}") for n, (k, _) in totals.items()]
+    )
+
+    def merged(name: str, kind: str, value: Column) -> Column:
+        local, before = _COMBINE[kind](value).over(so_far), F.col(f"_{name}")
+        if kind == "sum":
+            return F.coalesce(local, F.lit(0)) + F.coalesce(before, F.lit(0))
+        return F.greatest(local, before)
+
     return (
         sliced.join(offsets, [*keys, SLICE])
-        .withColumn(name, F.row_number().over(local) + F.coalesce(F.col("_before"), F.lit(0)))
-        .drop(SLICE, "_before")
+        .withColumns({n: merged(n, k, c) for n, (k, c) in totals.items()})
+        .drop(SLICE, *[f"_{n}" for n in totals])
     )
 
 
-def with_running_max(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    name: str = "running_max",
-    position: str | None = None,
-    slices: int | None = None,
+def with_row_number(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_number", slices: int | None = None
 ) -> DataFrame:
-    """Largest value so far in each group, and optionally the row's position."""
-    sliced = ordered_slices(df, keys, order, slices)
-    best = _offsets(sliced, keys, {"_best": F.max(value)}, F.max)
-    count = _offsets(sliced, keys, {"_before": F.count(F.lit(1))}, F.sum) if position else None
-    offsets = best.join(count, [*keys, SLICE]) if count is not None else best
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    out = sliced.join(offsets, [*keys, SLICE]).withColumn(
-        name,
-        F.greatest(
-            F.max(value).over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("_best")
-        ),
-    )
-    if position:
-        out = out.withColumn(position, F.row_number().over(local) + F.coalesce(F.col("_before"), F.lit(0)))
-    return out.drop(SLICE, "_best", "_before")
+    """One-based position of each row in its group."""
+    return with_running(df, keys, order, {name: ("sum", F.lit(1))}, slices)

@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.functions.sequence import with_running_max
+from tallymark.functions.running_median import MAX_GROUP, with_median_before
+from tallymark.functions.sequence import with_running
+from tallymark.operators.joins import salted_join
 from tallymark.operators.samples import seeded_sample
 
 # The default parameter grid.
@@ -136,10 +138,44 @@ def best_trial(df: DataFrame, keys: Sequence[str], order: str = "trial") -> Data
 
 def running_best(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Best score so far (never below 0) and trial number from 0."""
-    out = with_running_max(df, keys, order, "score", "best_so_far", position="_n")
+    out = with_running(df, keys, order, {"_best": ("max", F.col("score")), "_n": ("sum", F.lit(1))})
     return out.withColumns(
-        {"best_so_far": F.greatest(F.col("best_so_far"), F.lit(0.0)), "trial_number": F.col("_n") - 1}
-    ).drop("_n")
+        {"best_so_far": F.greatest(F.col("_best"), F.lit(0.0)), "trial_number": F.col("_n") - 1}
+    ).drop("_best", "_n")
+
+
+def median_rule(
+    reports: DataFrame,
+    study: str = "study",
+    trial: str = "trial",
+    step: str = "step",
+    startup_trials: int = 3,
+    warmup_steps: int = 2,
+    max_group: int = MAX_GROUP,
+    slices: int | None = None,
+) -> DataFrame:
+    """Which reports the median rule would have stopped.
+
+    A report (study, trial, step, value, complete) is stopped when the best
+    value of its trial so far is below the median that earlier completed trials
+    of the study reported at the same step, once ``startup_trials`` of them have
+    completed and ``warmup_steps`` steps have passed.
+    """
+    best = with_running(reports, [study, trial], [step], {"best_so_far": ("max", F.col("value"))}, slices)
+    medians = with_median_before(reports, [study, step], trial, "value", "complete", max_group, slices)
+    # completed trials before each trial: one row per trial
+    trials = reports.groupBy(study, trial).agg(F.bool_and("complete").alias("_done"))
+    done = F.col("_done").cast("long")
+    before = with_running(trials, [study], [trial], {"_upto": ("sum", done)}, slices).select(
+        study, trial, (F.col("_upto") - done).alias("completed_before")
+    )
+    joined = salted_join(best.join(medians, [study, trial, step]), before, [study, trial], [step])
+    stop = (
+        (F.col("completed_before") >= startup_trials)
+        & (F.col(step) >= warmup_steps)
+        & (F.col("best_so_far") < F.col("median_before"))
+    )
+    return joined.withColumn("stop", F.coalesce(stop, F.lit(False)))
 
 
 def _tenths(value: Column, per_unit: int) -> Column:

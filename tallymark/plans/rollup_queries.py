@@ -427,13 +427,14 @@ CLASSIFIED = f"""(
           QUALIFY row_number() OVER (PARTITION BY error_id ORDER BY priority NULLS LAST) = 1))"""
 
 
-@query(
-    "a21_error_stats",
-    f"""WITH c AS (SELECT * FROM {CLASSIFIED})
-        SELECT 'all' AS dimension, NULL AS value, count(*) AS errors, count(*) FILTER (resolved) AS resolved_count FROM c
-        UNION ALL SELECT 'category', category, count(*), count(*) FILTER (resolved) FROM c GROUP BY category
-        UNION ALL SELECT 'severity', severity, count(*), count(*) FILTER (resolved) FROM c GROUP BY severity""",
-)
+ERROR_STATS = f"""
+    WITH c AS (SELECT * FROM {CLASSIFIED})
+    SELECT 'all' AS dimension, NULL AS value, count(*) AS errors, count(*) FILTER (resolved) AS resolved_count FROM c
+    UNION ALL SELECT 'category', category, count(*), count(*) FILTER (resolved) FROM c GROUP BY category
+    UNION ALL SELECT 'severity', severity, count(*), count(*) FILTER (resolved) FROM c GROUP BY severity"""
+
+
+@query("a21_error_stats", ERROR_STATS)
 def a21(spark, d):
     return error_stats(classify(views.errors(spark, d)))
 

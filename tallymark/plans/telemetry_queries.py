@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from tallymark.functions.lexicons import ERROR_PATTERNS
 from tallymark.operators import capacity, compare, errors as er, telemetry as te
 from tallymark.operators import rollup as ro
 from tallymark.plans.registry import query, rounded
-from tallymark.plans.rollup_queries import CLASSIFIED, rules_sql
+from tallymark.plans.rollup_queries import CLASSIFIED, ERROR_STATS, rules_sql
 from tallymark.sources import views
 from tallymark.streaming import telemetry as st
 
 
 def ticks_stream(spark, d):
-    return st.metric_ticks(st.read_events(spark, os.path.join(d, "events.parquet")))
+    return st.metric_ticks(st.read_events(spark, d, "events.parquet"))
 
 
 def error_stream(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
     texts = F.array(*[F.lit(t) for t in views.ERROR_TEXTS])
     kinds = F.array(*[F.lit(t) for t in views.EXCEPTION_TYPES])
-    events = st.read_events(spark, os.path.join(d, "events.parquet"))
+    events = st.read_events(spark, d, "events.parquet")
     return events.where(F.col("event_type") == "error").select(
         F.col("event_id").alias("error_id"),
         "ts",
@@ -226,14 +224,10 @@ def t8_stream(spark, d):
     return st.run_append(spark, out, "classes")
 
 
-@query(
-    "a21_error_stats_stream",
-    f"""SELECT category, severity, count(*) AS errors, count(*) FILTER (resolved) AS resolved_count
-        FROM {CLASSIFIED} GROUP BY ALL""",
-)
+@query("a21_error_stats_stream", ERROR_STATS)
 def a21_stream(spark, d):
     out = st.running_error_stats(error_stream(spark, d))
-    return st.run_upsert(spark, out, "error-stats", ["category", "severity"])
+    return st.run_upsert(spark, out, "error-stats", ["dimension", "value"])
 
 
 @query(

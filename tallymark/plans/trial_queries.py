@@ -158,6 +158,28 @@ def p6(spark, d):
     return rounded(tr.running_best(t, ["study"], ["o", "l", "p", "x"]).drop("score"))
 
 
+@query(
+    "p7_median_rule",
+    """SELECT study, trial, step, round(best_so_far, 6) AS best_so_far, n_before, round(median_before, 6) AS median_before,
+              completed_before,
+              coalesce(completed_before >= 3 AND step >= 2 AND best_so_far < median_before, false) AS stop
+       FROM (SELECT *, max(value) OVER (PARTITION BY study, trial ORDER BY step) AS best_so_far,
+                    count(*) FILTER (complete) OVER w AS n_before,
+                    quantile_cont(value, 0.5) FILTER (complete) OVER w AS median_before
+             FROM step_reports
+             WINDOW w AS (PARTITION BY study, step ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+       JOIN (SELECT study, trial,
+                    coalesce(sum(complete::INT) OVER (PARTITION BY study ORDER BY trial
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS completed_before
+             FROM (SELECT DISTINCT study, trial, complete FROM step_reports)) USING (study, trial)""",
+)
+def p7(spark, d):
+    out = tr.median_rule(views.step_reports(spark, d))
+    return rounded(
+        out.select("study", "trial", "step", "best_so_far", "n_before", "median_before", "completed_before", "stop")
+    )
+
+
 BINNED = """(SELECT study, parameter, bin, score FROM (
     SELECT study, score, unnest([{'n': 'temperature', 'b': floor(temperature * 10 + 0.5) / 10},
                                  {'n': 'top_p', 'b': floor(top_p * 10 + 0.5) / 10},

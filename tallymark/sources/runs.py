@@ -56,22 +56,19 @@ def read_runs(spark: SparkSession, path: str, glob: str = "*", lines: bool = Fal
     One pretty-printed JSON document per file, or one per line with ``lines``.
     """
     schema = T.StructType([*RUN_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     raw = (
-        spark.read.schema(schema)
-        .option("multiLine", not lines)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("pathGlobFilter", glob)
-        .json(path)
+        spark.read.option("pathGlobFilter", glob)
+        .text(path, wholetext=not lines)
         .select(
-            "*",
+            F.from_json("value", schema, options).alias("_r"),
             F.col("_metadata.file_name").alias("file"),
             F.col("_metadata.file_modification_time").alias("modified_at"),
         )
+        .select("_r.*", "file", "modified_at")
     )
-    return raw.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT), raw.where(F.col(_CORRUPT).isNotNull()).select(
-        "file", F.col(_CORRUPT).alias("record")
-    )
+    good = raw.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    return good, raw.where(F.col(_CORRUPT).isNotNull()).select("file", F.col(_CORRUPT).alias("record"))
 
 
 def unify_runs(runs: DataFrame) -> DataFrame:

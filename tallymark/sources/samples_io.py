@@ -86,7 +86,7 @@ def read_lines(
 
 
 def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    text = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return text.select(F.col("_metadata.file_path").alias("file"), "value")
 
 

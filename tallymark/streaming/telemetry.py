@@ -35,12 +35,13 @@ PAYLOAD_SCHEMA = T.StructType(
 )
 
 
-def read_events(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Event files as a stream with timestamps a watermark can use."""
+def read_events(spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_trigger: int = 100) -> DataFrame:
+    """Event files of a folder as a stream with timestamps a watermark can use."""
     return (
         spark.readStream.schema(EVENT_SCHEMA)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(path)
+        .option("pathGlobFilter", glob)
+        .parquet(folder)
         .withColumn("ts", F.col("ts").cast("timestamp"))
     )
 
