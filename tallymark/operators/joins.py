@@ -15,6 +15,16 @@ HOT_MAX_KEYS = 1_024
 SALTS = 64
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Use every core for costly row work on a small scan.
+
+    A scan with fewer splits than cores is hash-partitioned by a row id; a
+    large one already has more splits than cores and is left where it lies.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Write ``df`` once, measure it, and mark it for broadcast if it is small.
 

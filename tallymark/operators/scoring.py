@@ -18,6 +18,28 @@ QA_CORRECT_ABOVE = 0.7
 _CACHE_ENTRIES = 10_000
 
 
+def _matcher(measure: Callable[[str, str], object]) -> Callable[[str | None, str | None], object]:
+    """``measure`` on lower-cased texts, remembering a fixed number of pairs."""
+    known: dict[bytes, object] = {}
+
+    def run(a: str | None, b: str | None) -> object:
+        if a is None or b is None:
+            return None
+        a, b = a.lower(), b.lower()
+        digest = hashlib.blake2b(f"{len(a)}:{a}{b}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if digest not in known:
+            if len(known) >= _CACHE_ENTRIES:
+                known.clear()
+            known[digest] = measure(a, b)
+        return known[digest]
+
+    return run
+
+
+def _ratio(a: str, b: str) -> float:
+    return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratio of matching blocks of two lower-cased texts, null for null text.
@@ -25,27 +47,29 @@ def sequence_similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Itera
     Rows are scored where they lie; copies of a pair are scored once per task
     (up to a fixed number of remembered pairs), so nothing is shuffled.
     """
-    known: dict[bytes, float] = {}
-
-    def ratio(a: str | None, b: str | None) -> float | None:
-        if a is None or b is None:
-            return None
-        pair = (a.lower(), b.lower())
-        if pair[0] == pair[1]:
-            return 1.0
-        digest = hashlib.blake2b("\0".join(pair).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        score = known.get(digest)
-        if score is None:
-            score = difflib.SequenceMatcher(None, *pair).ratio()
-            if len(known) >= _CACHE_ENTRIES:
-                known.clear()
-            known[digest] = score
-        return score
-
+    ratio = _matcher(_ratio)
     for predictions, truths in batches:
         yield pd.Series([ratio(a, b) for a, b in zip(predictions, truths)], dtype="float64")
 
 
+def _passes(threshold: float) -> Callable:
+    """Whether the ratio passes; letter counts alone rule most pairs out."""
+
+    def test(a: str, b: str) -> bool:
+        if a == b:
+            return True
+        matcher = difflib.SequenceMatcher(None, a, b)
+        return matcher.quick_ratio() > threshold and matcher.ratio() > threshold
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        passes = _matcher(test)
+        for predictions, truths in batches:
+            yield pd.Series([passes(a, b) for a, b in zip(predictions, truths)], dtype="boolean")
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, T.BooleanType())
+
+
 def similarity(prediction: Column, truth: Column, blank_is_zero: bool = False) -> Column:
     """Similarity score; blank text scores 0 where asked."""
     score = sequence_similarity(prediction, truth)
@@ -60,22 +84,27 @@ def similar_enough(prediction: Column, truth: Column, threshold: float = CORRECT
     Pairs whose lengths alone rule it out never reach Python.
     """
     possible = tx.similarity_bound(prediction, truth) > threshold
-    score = sequence_similarity(F.when(possible, prediction), F.when(possible, truth))
-    return F.coalesce(score > threshold, F.lit(False))
+    passes = _passes(threshold)(F.when(possible, prediction), F.when(possible, truth))
+    return F.coalesce(passes, F.lit(False))
 
 
 def _result(score: Column, correct: Column, confidence: Column) -> Column:
     return F.struct(score.alias("score"), correct.alias("correct"), confidence.alias("confidence"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a costly value that is worked out a single time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _math(p: Column, t: Column, row: dict[str, Column]) -> Column:
     correct = tx.numbers_agree(tx.numeric_answer(p), tx.numeric_answer(t))
-    return _result(correct.cast("double"), correct, tx.math_confidence(p))
+    return _once(correct, lambda c: _result(c.cast("double"), c, tx.math_confidence(p)))
 
 
 def _qa(p: Column, t: Column, row: dict[str, Column]) -> Column:
     score = tx.qa_composite(tx.normalized_match(p, t), row.get("semantic", F.lit(0.0)), tx.keyword_recall(p, t))
-    return _result(score, score > QA_CORRECT_ABOVE, tx.qa_confidence(p))
+    return _once(score, lambda s: _result(s, s > QA_CORRECT_ABOVE, tx.qa_confidence(p)))
 
 
 def _basic(p: Column, t: Column, row: dict[str, Column]) -> Column:
@@ -132,14 +161,8 @@ def evaluate(df: DataFrame, evaluator: str = "evaluator", use_stats: bool = True
     result = F.when(missing, nothing)
     for key, build in EVALUATORS.items():
         result = result.when(name == key, build(p, t, row))
-    return (
-        df.withColumn("_result", result)
-        .select(
-            *[c for c in df.columns if c != "_similarity"],
-            name.alias("used"),
-            F.col("_result.score").alias("score"),
-            F.col("_result.correct").alias("correct"),
-            F.col("_result.confidence").alias("confidence"),
-            F.when(missing, F.lit("missing text")).alias("error"),
-        )
+    kept = [c for c in df.columns if c != "_similarity"]
+    # a generator works the struct out once, however many of its fields are used
+    return df.select(
+        *kept, name.alias("used"), F.when(missing, F.lit("missing text")).alias("error"), F.inline(F.array(result))
     )

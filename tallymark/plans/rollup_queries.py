@@ -139,12 +139,12 @@ def a3(spark, d):
 
 @query(
     "a4_optional_means",
-    """SELECT model, dataset, round(avg(output_tokens / latency_s) FILTER (NOT error), 6) AS avg_token_efficiency,
+    """SELECT model, dataset, round(avg(output_tokens / latency_s) FILTER (NOT error AND latency_s > 0), 6) AS avg_token_efficiency,
               round(avg(score), 6) AS avg_confidence
        FROM scored GROUP BY model, dataset""",
 )
 def a4(spark, d):
-    s = scored(spark, d).withColumn("efficiency", F.when(~F.col("error"), F.col("output_tokens") / F.col("latency_s")))
+    s = scored(spark, d).withColumn("efficiency", F.when(~F.col("error") & (F.col("latency_s") > 0), F.col("output_tokens") / F.col("latency_s")))
     return rounded(ro.optional_means(s, RUN, {"efficiency": "avg_token_efficiency", "score": "avg_confidence"}))
 
 

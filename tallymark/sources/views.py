@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import lexicons as lx
 from tallymark.operators.catalog import MODELS
-from tallymark.operators.joins import salted_join, small_side
+from tallymark.operators.joins import salted_join, small_side, spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -225,23 +225,19 @@ def pairs_contains(spark: SparkSession, folder: str) -> DataFrame:
     documents meet items through an equi join on those three words instead of a
     product.  Items of fewer than five words are not paired.
     """
-    def tokens(text):
-        return F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0))
+    # every run of three words, found at each word's start
+    def triples(text):
+        return F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\S)(?=(\S+\s+\S+\s+\S+))"), F.lit(1))
 
-    def triples(w, first, count):
-        spots = F.sequence(F.lit(first), F.lit(first) + count - 1)
-        at = lambda i: F.get(w, i)
-        return F.transform(spots, lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
-
-    items = table(spark, folder, "benchmark").withColumn("_w", tokens(F.col("text")))
-    anchors = items.where(F.size("_w") >= 5).select(
-        "item_id", F.col("text").alias("truth"), F.explode(triples(F.col("_w"), 1, F.lit(1))).alias("anchor")
+    items = table(spark, folder, "benchmark").withColumn("_t", triples(F.col("text")))
+    anchors = items.where(F.size("_t") >= 3).select(
+        "item_id", F.col("text").alias("truth"), F.xxhash64(F.get("_t", F.lit(1))).alias("anchor")
     )
     docs = table(spark, folder, "documents")
     hashed = (
-        docs.select("doc_id", tokens(F.col("text")).alias("_w"))
-        .where(F.size("_w") >= 3)
-        .select("doc_id", F.explode(F.array_distinct(triples(F.col("_w"), 0, F.size("_w") - 2))).alias("anchor"))
+        spread(docs.select("doc_id", "text"), "doc_id")
+        .select("doc_id", F.explode(F.array_distinct(triples(F.col("text")))).alias("_t"))
+        .select("doc_id", F.xxhash64("_t").alias("anchor"))
     )
     met = hashed.join(small_side(anchors.select("item_id", "anchor")), "anchor").select("doc_id", "item_id")
     texts = docs.select("doc_id", "source", F.col("text").alias("prediction"))
@@ -281,7 +277,10 @@ def math_answers(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("l_returnflag") == "N", F.concat(F.lit("합계 "), q, F.lit(",5개")))
         .otherwise(F.concat(F.lit("정답은 "), F.col("l_linenumber") * 5, F.lit("원입니다")))
     )
-    return table(spark, folder, "lineitem").select(
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_quantity"
+    )
+    return spread(lines, "l_orderkey").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag",
         text.alias("prediction"), truth.alias("truth"),
     )
@@ -308,7 +307,8 @@ def qa_answers(spark: SparkSession, folder: str) -> DataFrame:
         .when(style == 4, F.lit("   "))
         .otherwise(F.concat(said, F.lit(" "), said, F.lit(" "), said, F.lit(" ㅋㅋㅋㅋㅋ")))
     )
-    return table(spark, folder, "orders").select(
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return spread(orders, "o_orderkey").select(
         F.col("o_orderkey").alias("request_id"),
         prediction.alias("prediction"),
         F.concat(F.lit("주문은 "), expected, F.lit(" 상태입니다.")).alias("truth"),
