@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tallymark.operators.joins import small_side
 
-CELLS_PER_OCTAVE = 1024
-SLICES = 1 << 20
+CELLS_PER_OCTAVE = 128
+SLICES = 1 << 16
 _OFFSET = 1100 * CELLS_PER_OCTAVE
 
 

@@ -10,12 +10,11 @@ from counts per (slice, value cell).
 from __future__ import annotations
 
 from bisect import insort
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallymark.functions.sequence import SLICE, ordered_slices
 from tallymark.operators.joins import small_side
@@ -86,6 +85,7 @@ def _bands(sliced: DataFrame, keys: list[str], slices: int | None) -> tuple[Data
 
 
 def _walk(own: DataFrame, band: DataFrame | None, keys: list[str], order: str, kinds: dict[str, str]) -> DataFrame:
+    """Walk each slice once: its band in value order, then its rows in order."""
     rows = own.select(*keys, SLICE, "_o", "_v", "_c", "_m", F.lit(None).cast("long").alias("_below"))
     if band is not None:
         extra = band.select(
@@ -93,25 +93,37 @@ def _walk(own: DataFrame, band: DataFrame | None, keys: list[str], order: str, k
             F.lit(None).cast("long").alias("_m"), "_below",
         )
         rows = rows.unionByName(extra)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        inside = pdf["_below"].notna()
-        near = sorted(pdf.loc[inside, "_v"].tolist())
-        below = int(pdf.loc[inside, "_below"].min()) if near else 0
-        mine = pdf.loc[~inside].sort_values("_o", kind="stable")
-        n = int(mine["_m"].iloc[0]) if len(mine) else 0
-        sizes, medians = [], []
-        for v, c in zip(mine["_v"], mine["_c"]):
-            sizes.append(n)
-            medians.append((near[(n - 1) // 2 - below] + near[n // 2 - below]) / 2 if n else None)
-            if c:
-                insort(near, v)
-                n += 1
-        out = mine[[*keys, "_o"]].rename(columns={"_o": order})
-        return out.assign(n_before=sizes, median_before=pd.Series(medians, index=out.index, dtype="float64"))
+    group = [*keys, SLICE]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, near, n, below = None, [], 0, 0
+        for pdf in batches:
+            sizes, medians = [], []
+            inside = pdf["_below"].notna().tolist()
+            for key, is_band, v, c, m, b in zip(
+                zip(*[pdf[g] for g in group]), inside, pdf["_v"], pdf["_c"], pdf["_m"], pdf["_below"]
+            ):
+                if key != current:
+                    current, near, n, below = key, [], -1, 0
+                if is_band:
+                    below = int(b) if not near else min(below, int(b))
+                    near.append(v)
+                    continue
+                if n < 0:
+                    n = int(m)
+                sizes.append(n)
+                medians.append((near[(n - 1) // 2 - below] + near[n // 2 - below]) / 2 if n else None)
+                if c:
+                    insort(near, v)
+                    n += 1
+            mine = pdf.loc[[not x for x in inside], [*keys, "_o"]].rename(columns={"_o": order})
+            mine["n_before"] = sizes
+            mine["median_before"] = pd.array(medians, dtype="Float64")
+            yield mine
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, order)) + ", n_before bigint, median_before double"
-    walked = rows.groupBy(*keys, SLICE).applyInPandas(walk, schema)
-    return walked.withColumn(
-        "median_before", F.when(F.col("n_before") > 0, F.col("median_before")).otherwise(F.lit(None).cast(T.DoubleType()))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = rows.repartition(n, *group).sortWithinPartitions(
+        *group, F.col("_below").isNull(), F.when(F.col("_below").isNotNull(), F.col("_v")), "_o"
     )
+    return in_order.mapInPandas(walk, schema)

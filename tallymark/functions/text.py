@@ -6,6 +6,7 @@ whole-stage code generation.  Character classes follow Unicode.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -71,11 +72,23 @@ def similarity_bound(prediction: Column, truth: Column) -> Column:
     return F.when(a + b == 0, 1.0).otherwise(2.0 * F.least(a, b) / (a + b))
 
 
+def _opening(pattern: str) -> str:
+    """Plain text every match of the pattern starts with."""
+    plain = re.match(r"[^\\()\[\].*+?{}|^$]*", pattern).group()
+    optional = pattern[len(plain):len(plain) + 1] in ("?", "*", "{")
+    return "" if "|" in re.sub(r"\([^()]*\)", "", pattern) else plain[:-1] if optional else plain
+
+
 def numeric_answer(text: Column, patterns: Sequence[str] = lx.ANSWER_PATTERNS) -> Column:
-    """First number any of the ordered patterns finds; a comma is a decimal point."""
-    found = [
-        F.translate(F.regexp_extract(text, _FLAGS + pattern, 1), ",", ".").try_cast("double") for pattern in patterns
-    ]
+    """First number any of the ordered patterns finds; a comma is a decimal point.
+
+    A pattern that opens with plain text is only tried where that text occurs.
+    """
+    found = []
+    for pattern in patterns:
+        number = F.translate(F.regexp_extract(text, _FLAGS + pattern, 1), ",", ".").try_cast("double")
+        opening = _opening(pattern)
+        found.append(F.when(F.contains(text, F.lit(opening)), number) if opening else number)
     return F.coalesce(*found)
 
 

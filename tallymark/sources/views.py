@@ -203,9 +203,8 @@ def pairs_similar(spark: SparkSession, folder: str) -> DataFrame:
     One pair per document, never all pairs of a group; a frequent opening is
     split by document id in the join.
     """
-    docs = table(spark, folder, "documents").select(
-        "doc_id", "lang", F.substring("text", 1, 40).alias("opening"), "text"
-    )
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = docs.withColumn("opening", F.substring("text", 1, 40))
     first = (
         docs.groupBy("lang", "opening")
         .agg(F.min(F.struct("doc_id", "text")).alias("first"), F.count(F.lit(1)).alias("n"))
