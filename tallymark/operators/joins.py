@@ -13,6 +13,7 @@ BROADCAST_MAX_ROWS = 200_000
 HOT_MIN_ROWS = 1_000_000
 HOT_MAX_KEYS = 1_024
 SALTS = 64
+PROBE_ONE_IN = 64
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
@@ -36,15 +37,22 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= max_rows else stored
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Keys with at least ``min_rows`` rows, the ``HOT_MAX_KEYS`` largest of them.
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], min_rows: int = HOT_MIN_ROWS, one_in: int = PROBE_ONE_IN
+) -> DataFrame:
+    """Keys that hold about ``min_rows`` rows or more, the ``HOT_MAX_KEYS`` largest of them.
 
-    The cut bounds the broadcast and drops no rows from any result: a key past
-    it holds under 1/``HOT_MAX_KEYS`` of the table and is joined unsalted.
+    Only used to decide which keys to split, never to choose rows of a result:
+    one row in ``one_in`` (by a hash of the row id) is counted, which is plenty
+    for keys of that size, and a key past the cut holds under 1/``HOT_MAX_KEYS``
+    of the table.
     """
+    probe = df.select(*dict.fromkeys([*keys, *spread_by]))
+    if one_in > 1:
+        probe = probe.where(F.pmod(F.xxhash64(*spread_by, F.lit(1)), F.lit(one_in)) == 0)
     return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        probe.groupBy(*keys)
+        .agg((F.count(F.lit(1)) * one_in).alias("_rows"))
         .where(F.col("_rows") >= min_rows)
         .orderBy(F.desc("_rows"), *keys)
         .limit(HOT_MAX_KEYS)
@@ -56,21 +64,26 @@ def salted_join(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
-    spread: Sequence[str],
+    spread_by: Sequence[str],
     how: str = "inner",
     min_rows: int = HOT_MIN_ROWS,
     salts: int = SALTS,
+    one_in: int = PROBE_ONE_IN,
 ) -> DataFrame:
     """Equi join of a fact table to a table with one (or few) rows per key.
 
-    Rows of hot keys are spread over ``salts`` sub-keys by a hash of the
-    ``spread`` columns (a row id, so copies of a row part too), and only the
-    matching rows of ``small`` are repeated.  ``how`` is ``inner`` or ``left``.
+    Hot keys are looked for first.  Without any, this is a plain join; otherwise
+    their rows are spread over ``salts`` sub-keys by a hash of ``spread_by`` (a
+    row id, so copies of a row part too), and only the matching rows of
+    ``small`` are repeated.  ``how`` is ``inner`` or ``left``.
     """
-    hot = F.broadcast(hot_keys(big, keys, min_rows))
+    keys = list(keys)
+    hot = small_side(hot_keys(big, keys, spread_by, min_rows, one_in))
+    if hot.isEmpty():
+        return big.join(small, keys, how)
     is_hot = F.col("_hot").isNotNull()
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = big.join(hot, list(keys), "left").withColumn("_salt", salt).drop("_hot")
-    right = small.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    left = big.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -169,7 +169,9 @@ def median_rule(
     before = with_running(trials, [study], [trial], {"_upto": ("sum", done)}, slices).select(
         study, trial, (F.col("_upto") - done).alias("completed_before")
     )
-    joined = salted_join(best.join(medians, [study, trial, step]), before, [study, trial], [step])
+    report = [study, trial, step]
+    known = salted_join(reports.select(*report), before, [study, trial], [step])
+    joined = known.join(best, report).join(medians, report)
     stop = (
         (F.col("completed_before") >= startup_trials)
         & (F.col(step) >= warmup_steps)

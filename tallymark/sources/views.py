@@ -200,21 +200,24 @@ def chat_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def pairs_similar(spark: SparkSession, folder: str) -> DataFrame:
     """Each document against the first one that opens with the same 40 characters.
 
-    One pair per document, never all pairs of a group; a frequent opening is
-    split by document id in the join.
+    One pair per document, never all pairs of a group.  The pairing works on
+    ids and openings; whole texts are only moved for documents that have a
+    pair, and a much-copied first document is split by document id.
     """
     docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
-    docs = docs.withColumn("opening", F.substring("text", 1, 40))
+    opened = docs.select("doc_id", "lang", F.substring("text", 1, 40).alias("opening"))
     first = (
-        docs.groupBy("lang", "opening")
-        .agg(F.min(F.struct("doc_id", "text")).alias("first"), F.count(F.lit(1)).alias("n"))
+        opened.groupBy("lang", "opening")
+        .agg(F.min("doc_id").alias("ref_id"), F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > 1)
-        .select("lang", "opening", F.col("first.doc_id").alias("ref_id"), F.col("first.text").alias("truth"))
-    )
-    pairs = salted_join(docs, first, ["lang", "opening"], ["doc_id"])
-    return pairs.where(F.col("doc_id") > F.col("ref_id")).select(
-        "doc_id", "ref_id", "lang", F.col("text").alias("prediction"), "truth"
+        .drop("n")
     )
+    pairs = salted_join(opened, first, ["lang", "opening"], ["doc_id"]).where(F.col("doc_id") > F.col("ref_id"))
+    texts = docs.select("doc_id", F.col("text").alias("prediction"))
+    truths = docs.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("truth"))
+    truths = truths.join(first.select("ref_id"), "ref_id", "left_semi")
+    with_truth = salted_join(pairs.select("doc_id", "ref_id", "lang"), truths, ["ref_id"], ["doc_id"])
+    return with_truth.join(texts, "doc_id").select("doc_id", "ref_id", "lang", "prediction", "truth")
 
 
 def pairs_contains(spark: SparkSession, folder: str) -> DataFrame:
@@ -239,17 +242,19 @@ def pairs_contains(spark: SparkSession, folder: str) -> DataFrame:
         .select("doc_id", F.xxhash64("_t").alias("anchor"))
     )
     met = hashed.join(small_side(anchors.select("item_id", "anchor")), "anchor").select("doc_id", "item_id")
-    texts = docs.select("doc_id", "source", F.col("text").alias("prediction"))
     truths = anchors.select("item_id", "truth")
-    return salted_join(met.join(texts, "doc_id"), truths, ["item_id"], ["doc_id"])
+    texts = docs.select("doc_id", "source", F.col("text").alias("prediction"))
+    return salted_join(met, truths, ["item_id"], ["doc_id"]).join(texts, "doc_id")
 
 
 def vector_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each vector against the first vector of its label."""
     vectors = table(spark, folder, "embeddings")
-    first = vectors.groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("first"))
-    first = first.select("label", F.col("first.vec_id").alias("ref_id"), F.col("first.embedding").alias("ref"))
-    return salted_join(vectors, first, ["label"], ["vec_id"])
+    first = vectors.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    refs = vectors.join(first, ["label", "vec_id"]).select(
+        "label", F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref")
+    )
+    return salted_join(vectors, refs, ["label"], ["vec_id"])
 
 
 def math_answers(spark: SparkSession, folder: str) -> DataFrame:

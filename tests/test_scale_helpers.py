@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.order_stats import order_statistics
 from tallymark.functions.running_median import with_median_before
 from tallymark.functions.sequence import with_row_number, with_running
-from tallymark.operators.joins import salted_join, small_side
+from tallymark.operators.joins import hot_keys, salted_join, small_side
 
 
 def lopsided(n=3000, seed=5):
@@ -96,7 +96,10 @@ def test_salted_join_splits_a_hot_key_and_loses_nothing(spark, how):
     big = spark.createDataFrame(rows, "key string, id long, v double")
     small = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "key string, x int")
     plain = sorted(map(tuple, big.join(small, ["key"], how).select("key", "id", "x").collect()), key=repr)
-    salted = salted_join(big, small, ["key"], ["id"], how, min_rows=500, salts=8)
+    assert [r["key"] for r in hot_keys(big, ["key"], ["id"], 500, one_in=1).collect()] == ["hot"]
+    salted = salted_join(big, small, ["key"], ["id"], how, min_rows=500, salts=8, one_in=1)
+    assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
+    assert "_salt" not in salted_join(big, small, ["key"], ["id"], how)._jdf.queryExecution().analyzed().toString()
     assert sorted(map(tuple, salted.select("key", "id", "x").collect()), key=repr) == plain
 
 
