@@ -63,10 +63,13 @@ def order_statistics(
     """One row per group with one column per named point.
 
     ``linear`` interpolates between the neighbours of ``p * (n - 1)``;
-    ``index`` takes the value at zero-based rank ``floor(p * n)``.
+    ``index`` takes the value at zero-based rank ``floor(p * n)``; ``approx`` is
+    one pass of Spark's sketch, for when the exact value is not needed.
     Nulls are ignored; key values must not be null.
     """
     keys = list(keys)
+    if method == "approx":
+        return df.groupBy(*keys).agg(*[F.percentile_approx(value, p, 10_000).alias(n) for n, p in points.items()])
     rank_of = _RANKS[method]
     total = F.col("_total")
     rows = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())

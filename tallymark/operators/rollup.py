@@ -62,11 +62,13 @@ def with_expected(rollup: DataFrame, expected: DataFrame, keys: Sequence[str]) -
     return out.na.fill({c: v for c, v in defaults.items() if c in rollup.columns})
 
 
-def latency_block(df: DataFrame, keys: Sequence[str], latency: str = "latency_s") -> DataFrame:
+def latency_block(
+    df: DataFrame, keys: Sequence[str], latency: str = "latency_s", method: str = "linear"
+) -> DataFrame:
     """Mean, interpolated tail and throughput over latencies above 0."""
     timed = df.where(F.col(latency) > 0)
     means = timed.groupBy(*keys).agg(F.avg(latency).alias("avg_latency"), (1.0 / F.avg(latency)).alias("throughput"))
-    return means.join(order_statistics(timed, keys, latency, TAIL), list(keys))
+    return means.join(order_statistics(timed, keys, latency, TAIL, method), list(keys))
 
 
 def optional_means(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:

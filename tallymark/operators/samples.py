@@ -122,6 +122,12 @@ def render_prompt(
     return out.otherwise(question)
 
 
+def prompts_for_model(df: DataFrame, model: str) -> DataFrame:
+    """Samples whose question is the prompt of one model's family."""
+    prompt = render_prompt(model_family(F.lit(model)), F.col("question"), F.col("context"))
+    return df.withColumn("question", prompt)
+
+
 def clean_prompts(df: DataFrame, column: str, limit: int = MAX_PROMPT_CHARS) -> DataFrame:
     """Cut at ``limit`` characters, trim, and flag blank and cut prompts."""
     text = F.col(column)

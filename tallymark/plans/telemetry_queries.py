@@ -10,6 +10,7 @@ from tallymark.operators import rollup as ro
 from tallymark.plans.registry import query, rounded
 from tallymark.plans.rollup_queries import CLASSIFIED, ERROR_STATS, rules_sql
 from tallymark.sources import views
+from tallymark.streaming import scaling as sc
 from tallymark.streaming import telemetry as st
 
 
@@ -95,9 +96,8 @@ def t3_stream(spark, d):
     return _alert_rows(st.run_append(spark, st.alert_stream(ticks_stream(spark, d), "deployment", "1 day"), "alerts"))
 
 
-@query(
-    "t4_scaling_decisions",
-    """WITH RECURSIVE t AS (
+SCALING = """
+    WITH RECURSIVE t AS (
            SELECT deployment, (epoch_us(ts) // 1000000 // 30 * 30)::BIGINT AS tick,
                   sum(cpu_percent) / count(*) / 100 AS load, avg(response_s) AS resp
            FROM host_metrics GROUP BY ALL),
@@ -112,12 +112,23 @@ def t3_stream(spark, d):
                         CASE WHEN n.tick - w.changed < 300 THEN 0 WHEN n.want = 1 AND w.replicas < 10 THEN 1
                              WHEN n.want = -1 AND w.replicas > 1 THEN -1 ELSE 0 END AS s
                  FROM walk w JOIN n ON n.deployment = w.deployment AND n.i = w.i + 1))
-       SELECT deployment, tick, CASE step WHEN 1 THEN 'up' ELSE 'down' END AS action, replicas FROM walk WHERE step <> 0""",
-)
+       SELECT deployment, tick, CASE step WHEN 1 THEN 'up' ELSE 'down' END AS action, replicas FROM walk WHERE step <> 0"""
+
+
+@query("t4_scaling_decisions", SCALING)
 def t4(spark, d):
     return te.scaling_decisions(te.scaling_ticks(views.host_metrics(spark, d), ["deployment"]), "deployment")
 
 
+@query(
+    "t4_scaling_stream",
+    # a tick is sent on once the newest reading is past its end
+    f"{SCALING} AND tick + 30 <= (SELECT epoch_us(max(ts)) / 1000000 FROM host_metrics)",
+)
+def t4_stream(spark, d):
+    return sc.run_scaling(spark, ticks_stream(spark, d), "deployment", "0 seconds")
+
+
 LEVEL = """CASE WHEN utilization < 0.7 THEN 'safe' WHEN utilization < 0.85 THEN 'warning'
                 WHEN utilization < 0.95 THEN 'critical' ELSE 'emergency' END"""
 COUNTS = f"""

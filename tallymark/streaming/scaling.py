@@ -6,10 +6,13 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallymark.operators.telemetry import ScalingPolicy, scale_steps
+from tallymark.session import scratch_path
+from tallymark.streaming.telemetry import append_to, run_append
 
 STATE = "replicas int, changed_at double"
 
@@ -25,6 +28,31 @@ def _advance(
     yield changes
 
 
+def tick_stream(readings: DataFrame, key: str, late: str, every: str = "30 seconds") -> DataFrame:
+    """Mean load and response time per key and tick, sent on once a tick is over."""
+    ticks = (
+        readings.withWatermark("ts", late)
+        .groupBy(key, F.window("ts", every).alias("window"))
+        .agg(
+            (F.sum("cpu_percent") / F.count(F.lit(1)) / 100).alias("load"), F.avg("response_s").alias("response_s")
+        )
+    )
+    return ticks.select(key, F.unix_seconds("window.start").alias("tick"), "load", "response_s")
+
+
+def run_scaling(spark: SparkSession, readings: DataFrame, key: str, late: str) -> DataFrame:
+    """Finish both stages over what is available: ticks to files, files to decisions.
+
+    Keyed state cannot follow an aggregation in one stream, so finished ticks
+    are stored and read on as a stream of their own.
+    """
+    ticks = tick_stream(readings, key, late)
+    stored = scratch_path(spark, "scaling-ticks")
+    append_to(ticks, stored, scratch_path(spark, "scaling-ticks-state"))
+    source = spark.readStream.schema(ticks.schema).parquet(stored)
+    return run_append(spark, scaling_stream(source, key), "scaling")
+
+
 def scaling_stream(ticks: DataFrame, key: str, policy: ScalingPolicy = ScalingPolicy()) -> DataFrame:
     """Scaling changes per key; replicas and the last change carry over batches.
 

@@ -55,6 +55,11 @@ def test_order_statistics_of_integers_past_double_precision(spark):
     assert order_statistics(df, ["k"], "v", {"mid": 0.5}, "index").first()["mid"] == base + 50
 
 
+def test_approximate_percentiles_are_close(spark):
+    df = spark.range(10_001).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
+    assert order_statistics(df, ["k"], "v", {"mid": 0.5}, "approx").first()["mid"] == pytest.approx(5000, abs=5)
+
+
 def test_row_numbers_and_running_totals(spark):
     rows = lopsided()
     df = spark.createDataFrame(rows, "key string, id long, v double").repartition(5)

@@ -91,6 +91,12 @@ def test_prompts(spark):
     assert out[3] == "q"
 
 
+def test_prompts_for_one_model(spark):
+    df = spark.createDataFrame([("q", "c")], "question string, context string")
+    want = lx.PROMPT_TEMPLATES["gemma"][1].replace("{context}", "c").replace("{question}", "q")
+    assert samples.prompts_for_model(df, "google/Gemma-2-9b").first()["question"] == want
+
+
 def test_trend_and_best_trial(spark):
     df = spark.createDataFrame([("m", 0.85, 1), ("m", 0.82, 2)], "model string, best_score double, ts int")
     row = trials.score_trend(df, ["model"], ["ts"]).first()
