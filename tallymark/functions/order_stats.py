@@ -2,11 +2,12 @@
 
 ``percentile`` and ``collect_list`` gather every distinct value of a group in
 one task, and ``percentile_approx`` is not exact.  Here the wanted ranks are
-narrowed down in three passes instead, each a pre-aggregated histogram:
+narrowed down in passes instead, each a pre-aggregated histogram:
 
 1. logarithmic cells of the whole value range;
-2. equal slices of the cells that hold a wanted rank;
-3. the distinct values of the slices that hold one.
+2. equal slices of the cells that hold a wanted rank, where such a cell holds
+   more rows than one task should order;
+3. the distinct values of the cells or slices that hold one.
 
 No task sees more than one histogram of one group, whatever the group's size
 or distribution, and equal values are merged before they are shuffled.
@@ -19,10 +20,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.operators.joins import small_side
+from tallymark.operators.joins import measured_side, small_side
 
 CELLS_PER_OCTAVE = 128
 SLICES = 1 << 16
+CELL_ROWS = 1_000_000
 _OFFSET = 1100 * CELLS_PER_OCTAVE
 
 
@@ -59,6 +61,7 @@ def order_statistics(
     value: str,
     points: Mapping[str, float],
     method: str = "linear",
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """One row per group with one column per named point.
 
@@ -89,36 +92,43 @@ def order_statistics(
         .withColumn("_total", F.sum("_n").over(by_group))
         .withColumn("_want", F.filter(wanted, holds))
         .where(F.size("_want") > 0)
-        .select(*keys, "_cell", "_lo", "_hi", "_want", "_total", (seen - F.col("_n")).alias("_before"))
+        .select(*keys, "_cell", "_n", "_lo", "_hi", "_want", "_total", (seen - F.col("_n")).alias("_before"))
     )
-    picked = small_side(picked)
+    picked, fullest = measured_side(picked, F.col("_n"))
 
     # pass 2: equal slices of the picked cells
-    in_cell = rows.withColumn("_cell", _log_cell(F.col("_v"))).join(picked, [*keys, "_cell"])
-    slices = in_cell.groupBy(*keys, "_cell", _slice(F.col("_v")).alias("_slice")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_lo"),
-        F.max("_v").alias("_hi"),
-        F.min("_before").alias("_before"),
-        F.min("_want").alias("_want"),
-        F.min("_total").alias("_total"),
-    )
-    running = (
-        Window.partitionBy(*keys, "_cell").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    picked = (
-        slices.withColumn("_seen", F.sum("_n").over(running) + F.col("_before"))
-        .withColumn("_want", F.filter("_want", holds))
-        .where(F.size("_want") > 0)
-        .select(*keys, "_cell", "_slice", "_lo", "_hi", "_want", "_total", (seen - F.col("_n")).alias("_before"))
-    )
-    picked = small_side(picked)
+    if (fullest or 0) <= cell_rows:
+        picked = picked.withColumn("_slice", F.lit(0).cast("bigint"))
+    else:
+        in_cell = rows.withColumn("_cell", _log_cell(F.col("_v"))).join(picked.drop("_n"), [*keys, "_cell"])
+        slices = in_cell.groupBy(*keys, "_cell", _slice(F.col("_v")).alias("_slice")).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min("_v").alias("_lo"),
+            F.max("_v").alias("_hi"),
+            F.min("_before").alias("_before"),
+            F.min("_want").alias("_want"),
+            F.min("_total").alias("_total"),
+        )
+        running = (
+            Window.partitionBy(*keys, "_cell")
+            .orderBy("_slice")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        picked = (
+            slices.withColumn("_seen", F.sum("_n").over(running) + F.col("_before"))
+            .withColumn("_want", F.filter("_want", holds))
+            .where(F.size("_want") > 0)
+            .select(
+                *keys, "_cell", "_slice", "_n", "_lo", "_hi", "_want", "_total", (seen - F.col("_n")).alias("_before")
+            )
+        )
+        picked = small_side(picked)
 
     # pass 3: distinct values of the picked slices
     value_in = F.col("_v").between(F.col("_lo"), F.col("_hi"))
     values = (
         rows.withColumn("_cell", _log_cell(F.col("_v")))
-        .join(picked, [*keys, "_cell"])
+        .join(picked.drop("_n"), [*keys, "_cell"])
         .where(value_in)
         .groupBy(*keys, "_cell", "_slice", "_v")
         .agg(

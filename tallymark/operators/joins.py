@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.session import ensure_checkpoint_dir
@@ -32,9 +32,15 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     Beyond ``max_rows`` the written table is returned unmarked, so the join
     that follows is an ordinary shuffle join.
     """
+    return measured_side(df, F.lit(0), max_rows)[0]
+
+
+def measured_side(df: DataFrame, measure: Column, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, object]:
+    """``small_side`` and the largest value of a column, read in the same action."""
     ensure_checkpoint_dir(df.sparkSession)
     stored = df.checkpoint()
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    size, largest = stored.agg(F.count(F.lit(1)), F.max(measure)).first()
+    return (F.broadcast(stored) if size <= max_rows else stored), largest
 
 
 def hot_keys(

@@ -11,6 +11,7 @@ from tallymark.functions.running_median import MAX_GROUP, with_median_before
 from tallymark.functions.sequence import with_running
 from tallymark.operators.joins import salted_join
 from tallymark.operators.samples import seeded_sample
+from tallymark.session import ensure_checkpoint_dir
 
 # The default parameter grid.
 DEFAULT_GRID: Mapping[str, Sequence[float]] = {
@@ -161,6 +162,9 @@ def median_rule(
     of the study reported at the same step, once ``startup_trials`` of them have
     completed and ``warmup_steps`` steps have passed.
     """
+    # read by five steps below: stored once instead of worked out five times
+    ensure_checkpoint_dir(reports.sparkSession)
+    reports = reports.select(study, trial, step, "value", "complete").checkpoint()
     best = with_running(reports, [study, trial], [step], {"best_so_far": ("max", F.col("value"))}, slices)
     medians = with_median_before(reports, [study, step], trial, "value", "complete", max_group, slices)
     # completed trials before each trial: one row per trial
@@ -171,7 +175,7 @@ def median_rule(
     )
     report = [study, trial, step]
     known = salted_join(reports.select(*report), before, [study, trial], [step])
-    joined = known.join(best, report).join(medians, report)
+    joined = known.join(best.drop("complete"), report).join(medians, report)
     stop = (
         (F.col("completed_before") >= startup_trials)
         & (F.col(step) >= warmup_steps)

@@ -473,7 +473,7 @@ def e16(spark, d):
     return rounded(views.responses(spark, d).select("request_id", score.alias("performance_score")))
 
 
-def routed(spark, d):
+def routed(spark, d, native_only=False):
     """Answers of every kind with the evaluator that shall score them."""
     math = views.math_answers(spark, d).select(
         F.concat_ws("-", F.lit("math"), *MATH_KEY).alias("request_id"), "prediction", "truth",
@@ -484,6 +484,8 @@ def routed(spark, d):
         F.when(F.col("request_id") % 17 != 0, F.col("prediction")).alias("prediction"), "truth",
         F.lit("korean_qa").alias("evaluator"),
     )
+    if native_only:
+        return math.unionByName(prose)
     similar = views.pairs_similar(spark, d).select(
         F.concat_ws("-", F.lit("doc"), "doc_id").alias("request_id"), "prediction", "truth",
         F.when(F.col("doc_id") % 3 == 0, "performance").when(F.col("doc_id") % 3 == 1, "basic").otherwise("nonesuch")
@@ -530,7 +532,7 @@ def e18(spark, d):
 )
 def e18_native(spark, d):
     """The dispatch over the evaluators that need no Python."""
-    out = scoring.evaluate(routed(spark, d).where(F.col("evaluator").isin("korean_math", "korean_qa")))
+    out = scoring.evaluate(routed(spark, d, native_only=True))
     return rounded(
         out.groupBy("used").agg(
             F.count(F.lit(1)).alias("n"),

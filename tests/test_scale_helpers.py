@@ -31,12 +31,12 @@ def groups(rows):
     return out
 
 
-@pytest.mark.parametrize("method", ["linear", "index"])
-def test_order_statistics(spark, method):
+@pytest.mark.parametrize("method, cell_rows", [("linear", 1_000_000), ("linear", 20), ("index", 20)])
+def test_order_statistics(spark, method, cell_rows):
     rows = lopsided()
     df = spark.createDataFrame(rows, "key string, id long, v double")
     points = {"lo": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "hi": 1.0}
-    got = {r["key"]: r for r in order_statistics(df, ["key"], "v", points, method).collect()}
+    got = {r["key"]: r for r in order_statistics(df, ["key"], "v", points, method, cell_rows).collect()}
     for key, items in groups(rows).items():
         s = sorted(v for _, v in items)
         for name, p in points.items():
@@ -52,7 +52,9 @@ def test_order_statistics(spark, method):
 def test_order_statistics_of_integers_past_double_precision(spark):
     base = 2**60
     df = spark.range(101).select(F.lit(1).alias("k"), (F.col("id") + base).alias("v"))
-    assert order_statistics(df, ["k"], "v", {"mid": 0.5}, "index").first()["mid"] == base + 50
+    for cell_rows in (10, 1000):
+        got = order_statistics(df, ["k"], "v", {"mid": 0.5}, "index", cell_rows).first()["mid"]
+        assert got == base + 50
 
 
 def test_approximate_percentiles_are_close(spark):
