@@ -80,6 +80,7 @@ PROMPT_TEMPLATES = {
         "질문: {question}<|im_end|>\n<|im_start|>assistant\n",
     ),
 }
+PROMPT_TEMPLATES["llama"] = PROMPT_TEMPLATES["llama2"]
 PROMPT_TEMPLATES["llama3.1"] = PROMPT_TEMPLATES["llama3.2"] = PROMPT_TEMPLATES["llama3"]
 PROMPT_TEMPLATES["qwen1.5"] = PROMPT_TEMPLATES["qwen2.5"] = PROMPT_TEMPLATES["qwen"]
 
