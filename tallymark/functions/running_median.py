@@ -59,7 +59,8 @@ def _bands(sliced: DataFrame, keys: list[str], slices: int | None) -> tuple[Data
     # value cells of even size; ties are split by the row order
     cells = ordered_slices(sliced.where("_c"), keys, ["_v", "_o"], slices, "_cell")
     counts = cells.groupBy(*keys, SLICE, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    # every (slice, cell) of a group: at most slices x cells rows, whatever the data's size
+    # the histogram of every slice: at most slices x cells counts in all, set by the
+    # number of partitions and not by the number of rows
     grid = per_slice.join(counts.select(*keys, "_cell").distinct(), keys).join(counts, [*keys, SLICE, "_cell"], "left")
     in_earlier = Window.partitionBy(*keys, "_cell").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     by_cell = Window.partitionBy(*keys, SLICE).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -100,9 +101,9 @@ def _walk(own: DataFrame, band: DataFrame | None, keys: list[str], order: str, k
         for pdf in batches:
             sizes, medians = [], []
             inside = pdf["_below"].notna().tolist()
-            for key, is_band, v, c, m, b in zip(
-                zip(*[pdf[g] for g in group]), inside, pdf["_v"], pdf["_c"], pdf["_m"], pdf["_below"]
-            ):
+            columns = [pdf[c].tolist() for c in ("_v", "_c", "_m", "_below")]
+            group_keys = zip(*[pdf[g].tolist() for g in group])
+            for key, is_band, v, c, m, b in zip(group_keys, inside, *columns):
                 if key != current:
                     current, near, n, below = key, [], -1, 0
                 if is_band:

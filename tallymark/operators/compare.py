@@ -33,7 +33,11 @@ def bench_runs(responses: DataFrame, hosts: DataFrame, keys: Sequence[str] = ("m
 
 
 def leaderboard(df: DataFrame, metric: str, by: Sequence[str] = ("dataset",), name: str = "model") -> DataFrame:
-    """Rank rows in each group by a metric, best first; cost ranks cheapest first."""
+    """Rank rows in each group by a metric, best first; cost ranks cheapest first.
+
+    Takes rollup rows, one per model and group, so a group is as long as the
+    list of models however many responses stand behind it.
+    """
     ascending = metric.startswith("cost")
     order = F.col(metric).asc() if ascending else F.col(metric).desc()
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, name)))
