@@ -204,7 +204,7 @@ def pairs_similar(spark: SparkSession, folder: str) -> DataFrame:
     ids and openings; whole texts are only moved for documents that have a
     pair, and a much-copied first document is split by document id.
     """
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
     opened = docs.select("doc_id", "lang", F.substring("text", 1, 40).alias("opening"))
     first = (
         opened.groupBy("lang", "opening")
@@ -217,7 +217,11 @@ def pairs_similar(spark: SparkSession, folder: str) -> DataFrame:
     truths = docs.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("truth"))
     truths = truths.join(first.select("ref_id"), "ref_id", "left_semi")
     with_truth = salted_join(pairs.select("doc_id", "ref_id", "lang"), truths, ["ref_id"], ["doc_id"])
-    return with_truth.join(texts, "doc_id").select("doc_id", "ref_id", "lang", "prediction", "truth")
+    # the partitioning this join needs anyway, by number so that a small result
+    # still feeds every core with the costly comparisons that follow
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paired = with_truth.repartition(n, "doc_id").join(texts, "doc_id")
+    return paired.select("doc_id", "ref_id", "lang", "prediction", "truth")
 
 
 def pairs_contains(spark: SparkSession, folder: str) -> DataFrame:
