@@ -154,7 +154,7 @@ WITH lines AS (
 ), later AS (
   SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS n FROM windows) WHERE n > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS at FROM later
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS pos FROM later
 )
 SELECT l.doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(g.pos) AS INTEGER) AS n_removed,
   coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text
