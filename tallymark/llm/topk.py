@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.compute import struct_field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,6 +166,8 @@ class Block:
         sign = (query < 0).astype(int)
         for j in range(int(size.max(initial=0)).bit_length()):
             dims = np.flatnonzero(size >> j & 1)
+            if not len(dims):
+                continue
             for b in range(self.bits):
                 columns.setdefault(j + b, []).append(self.slices[sign[dims], dims, b])
             constant -= (int(sign[dims].sum()) << j) * ((1 << self.bits) - 1)
@@ -208,7 +211,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 get = {c: batch.column(c)[row] for c in batch.schema.names}
                 block = Block(*(get[c].as_py() for c in ("rows", "dims", "bits", "low", "ids", "slices")))
                 own = get["queries"].values
-                ids, matrix = own.field("vec_id").to_numpy(), _matrix(own.field("v"))
+                ids, matrix = struct_field(own, "vec_id").to_numpy(), _matrix(struct_field(own, "v"))
                 found = [block.top(int(i), q, k) for i, q in zip(ids, matrix)]
                 sizes = [len(i) for i, _ in found]
                 yield pa.RecordBatch.from_arrays(
