@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.operators.joins import measured_side, small_side
+from tallymark.operators.joins import measured_side, null_safe_join, small_side
 
 CELLS_PER_OCTAVE = 128
 SLICES = 1 << 16
@@ -68,7 +68,7 @@ def order_statistics(
     ``linear`` interpolates between the neighbours of ``p * (n - 1)``;
     ``index`` takes the value at zero-based rank ``floor(p * n)``; ``approx`` is
     one pass of Spark's sketch, for when the exact value is not needed.
-    Nulls are ignored; key values must not be null.
+    Null values are ignored; null keys form groups like any other.
     """
     keys = list(keys)
     if method == "approx":
@@ -100,7 +100,8 @@ def order_statistics(
     if (fullest or 0) <= cell_rows:
         picked = picked.withColumn("_slice", F.lit(0).cast("bigint"))
     else:
-        in_cell = rows.withColumn("_cell", _log_cell(F.col("_v"))).join(picked.drop("_n"), [*keys, "_cell"])
+        celled = rows.withColumn("_cell", _log_cell(F.col("_v")))
+        in_cell = null_safe_join(celled, picked.drop("_n"), [*keys, "_cell"])
         slices = in_cell.groupBy(*keys, "_cell", _slice(F.col("_v")).alias("_slice")).agg(
             F.count(F.lit(1)).alias("_n"),
             F.min("_v").alias("_lo"),
@@ -126,9 +127,9 @@ def order_statistics(
 
     # pass 3: distinct values of the picked slices
     value_in = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    celled = rows.withColumn("_cell", _log_cell(F.col("_v")))
     values = (
-        rows.withColumn("_cell", _log_cell(F.col("_v")))
-        .join(picked.drop("_n"), [*keys, "_cell"])
+        null_safe_join(celled, picked.drop("_n"), [*keys, "_cell"])
         .where(value_in)
         .groupBy(*keys, "_cell", "_slice", "_v")
         .agg(

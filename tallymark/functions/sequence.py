@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.operators.joins import null_safe_join
 from tallymark.session import ensure_checkpoint_dir
 
 SLICE = "_slice"
@@ -61,7 +62,7 @@ def with_running(
         return F.greatest(local, before)
 
     return (
-        sliced.join(offsets, [*keys, SLICE])
+        null_safe_join(sliced, offsets, [*keys, SLICE])
         .withColumns({n: merged(n, k, c) for n, (k, c) in totals.items()})
         .drop(SLICE, *[f"_{n}" for n in totals])
     )

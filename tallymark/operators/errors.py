@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import builtins
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,16 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import lexicons as lx
 
-HISTORY_LIMIT = 1000
+
+def _family(*roots: type) -> list[str]:
+    """Names of the roots and of all standard exception classes that derive from them."""
+    known = {**vars(builtins), "JSONDecodeError": json.JSONDecodeError}
+    return sorted(n for n, c in known.items() if isinstance(c, type) and issubclass(c, roots))
+
+
+MISSING_MODULE = _family(ImportError)
+NO_ACCESS = _family(OSError)  # the operating system's errors: files, permissions, connections, time-outs
+WRONG_VALUE = _family(ValueError, TypeError)
 
 
 def _strings(values: Sequence[str]) -> Column:
@@ -39,8 +50,8 @@ def classify(df: DataFrame, patterns: Sequence[tuple] = lx.ERROR_PATTERNS, sever
     first = F.get(F.filter(rules, lambda r: F.contains(message, r["pattern"])), F.lit(0))
     category = (
         F.when(has("memory", "cuda"), "memory")
-        .when(kind.isin("ImportError", "ModuleNotFoundError"), "dependency")
-        .when(kind.isin("PermissionError", "OSError", "FileNotFoundError", "ConnectionError", "TimeoutError"), "permission")
+        .when(kind.isin(*MISSING_MODULE), "dependency")
+        .when(kind.isin(*NO_ACCESS), "permission")
         .when(has("config", "setting"), "configuration")
         .when(has("model", "load"), "model_loading")
         .when(has("network", "connection"), "network")
@@ -49,7 +60,7 @@ def classify(df: DataFrame, patterns: Sequence[tuple] = lx.ERROR_PATTERNS, sever
     inferred = (
         F.when(has("cuda out of memory", "device-side assert"), "critical")
         .when(has("memory", "permission denied"), "high")
-        .when(kind.isin("ImportError", "ModuleNotFoundError", "ValueError", "TypeError"), "medium")
+        .when(kind.isin(*MISSING_MODULE, *WRONG_VALUE), "medium")
         .otherwise("low")
     )
     advice = F.when(kind == "ModuleNotFoundError", _strings(lx.GENERIC_ADVICE["ImportError"]))
@@ -81,22 +92,19 @@ def _any(tests: Sequence[Column]) -> Column:
 def first_match(df: DataFrame, patterns: DataFrame) -> DataFrame:
     """Text against a pattern table by ``contains``; the lowest priority wins.
 
-    For pattern tables kept as data.  All patterns are packed into one array
-    that is sent to every task, so a row meets its patterns in place and is
-    never multiplied.  The table's size is checked first.
+    For pattern tables kept as data.  The table is packed into one array by
+    Spark and joined to every row as a column, so a row meets its patterns in
+    place and is never multiplied.  Every row needs every pattern, so the table
+    must fit an executor's memory; it has no other limit.
     """
-    rows = patterns.select("priority", F.lower("pattern").alias("pattern"), "category").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("first_match takes at most 10,000 patterns")
-    rules = F.array(
-        *[
-            F.struct(F.lit(r["pattern"]).alias("pattern"), F.lit(r["category"]).alias("category"))
-            for r in sorted(rows, key=lambda r: r["priority"])
-        ]
+    packed = patterns.agg(
+        F.sort_array(F.collect_list(F.struct("priority", F.lower("pattern").alias("pattern"), "category"))).alias("_rules"),
+        F.lit(0).alias("_all"),
     )
     message = F.lower(F.col("message"))
-    hit = F.get(F.filter(rules, lambda r: F.contains(message, r["pattern"])), F.lit(0))
-    return df.withColumn("_hit", hit).select("*", "_hit.pattern", "_hit.category").drop("_hit")
+    hit = F.get(F.filter("_rules", lambda r: F.contains(message, r["pattern"])), F.lit(0))
+    met = df.withColumn("_all", F.lit(0)).join(F.broadcast(packed), "_all").withColumn("_hit", hit)
+    return met.select(*df.columns, "_hit.pattern", "_hit.category")
 
 
 def error_stats(df: DataFrame) -> DataFrame:
@@ -119,11 +127,13 @@ def error_history(
     category: str | None = None,
     severity: str | None = None,
     limit: int | None = None,
-    per_source: int = HISTORY_LIMIT,
+    per_source: int | None = None,
 ) -> DataFrame:
-    """Newest errors first, after each source's history is cut to its newest rows."""
-    newest = Window.partitionBy("source").orderBy(F.desc("ts"), F.desc("error_id"))
-    out = df.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= per_source).drop("_n")
+    """Newest errors first; with ``per_source`` each source's history is cut to its newest rows before."""
+    out = df
+    if per_source:
+        newest = Window.partitionBy("source").orderBy(F.desc("ts"), F.desc("error_id"))
+        out = df.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= per_source).drop("_n")
     if category:
         out = out.where(F.col("category") == category)
     if severity:

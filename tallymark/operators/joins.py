@@ -43,6 +43,16 @@ def measured_side(df: DataFrame, measure: Column, max_rows: int = BROADCAST_MAX_
     return (F.broadcast(stored) if size <= max_rows else stored), largest
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which a null key is a value like any other, as it is in a group."""
+    other = {k: f"_right_{k}" for k in keys}
+    right = right.withColumnsRenamed(other)
+    same = F.lit(True)
+    for own, theirs in other.items():
+        same &= F.col(own).eqNullSafe(F.col(theirs))
+    return left.join(right, same, how).drop(*other.values())
+
+
 def hot_keys(
     df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], min_rows: int = HOT_MIN_ROWS, one_in: int = PROBE_ONE_IN
 ) -> DataFrame:

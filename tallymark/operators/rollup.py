@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.order_stats import order_statistics
+from tallymark.operators.joins import null_safe_join
 
 TAIL = {"latency_p95": 0.95, "latency_p99": 0.99}
 POINTS = {"latency_p50": 0.5, **TAIL}
@@ -68,7 +69,7 @@ def latency_block(
     """Mean, interpolated tail and throughput over latencies above 0."""
     timed = df.where(F.col(latency) > 0)
     means = timed.groupBy(*keys).agg(F.avg(latency).alias("avg_latency"), (1.0 / F.avg(latency)).alias("throughput"))
-    return means.join(order_statistics(timed, keys, latency, TAIL, method), list(keys))
+    return null_safe_join(means, order_statistics(timed, keys, latency, TAIL, method), keys)
 
 
 def optional_means(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:
@@ -100,7 +101,7 @@ def iteration_metrics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.max("memory_usage_mb").alias("memory_usage_mb"),
         F.when(wall > 0, F.count(F.lit(1)) / wall).otherwise(0.0).alias("throughput"),
     )
-    return base.join(index_percentiles(df, keys), list(keys))
+    return null_safe_join(base, index_percentiles(df, keys), keys)
 
 
 def across_iterations(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -123,7 +124,7 @@ def run_metrics(df: DataFrame, keys: Sequence[str], extra: Sequence[Column] = ()
         *extra,
     )
     points = order_statistics(df.where(F.col("latency_s") > 0), keys, "latency_s", POINTS)
-    return base.join(points, list(keys), "left").na.fill(0.0, list(POINTS))
+    return null_safe_join(base, points, keys, "left").na.fill(0.0, list(POINTS))
 
 
 def mean_accuracy(df: DataFrame, keys: Sequence[str], iteration: str, correct: str = "correct") -> DataFrame:

@@ -120,8 +120,21 @@ def trial_scores(
     ).drop("_mean")
 
 
+def completed_score(df: DataFrame, score: str = "score") -> Column:
+    """A trial's score; null unless it completed, and where it is no number."""
+    valid = ~F.isnan(F.col(score).cast("double"))
+    if "state" in df.columns:
+        valid &= F.col("state") == "complete"
+    return F.when(valid, F.col(score))
+
+
 def best_trial(df: DataFrame, keys: Sequence[str], order: str = "trial") -> DataFrame:
-    """First trial with the highest score above 0, else the defaults with 0."""
+    """First completed trial with the highest score above 0, else the defaults with 0.
+
+    Failed and pruned trials count as trials but never win; without a ``state``
+    column every trial counts as completed.
+    """
+    df = df.withColumn("score", completed_score(df))
     hit = F.col("score") > 0
     params = F.struct(*PARAMS)
     best = F.min_by(params, F.when(hit, F.struct(-F.col("score"), F.col(order))))
@@ -138,8 +151,8 @@ def best_trial(df: DataFrame, keys: Sequence[str], order: str = "trial") -> Data
 
 
 def running_best(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Best score so far (never below 0) and trial number from 0."""
-    out = with_running(df, keys, order, {"_best": ("max", F.col("score")), "_n": ("sum", F.lit(1))})
+    """Best score of completed trials so far (never below 0) and trial number from 0."""
+    out = with_running(df, keys, order, {"_best": ("max", completed_score(df)), "_n": ("sum", F.lit(1))})
     return out.withColumns(
         {"best_so_far": F.greatest(F.col("_best"), F.lit(0.0)), "trial_number": F.col("_n") - 1}
     ).drop("_best", "_n")
@@ -223,6 +236,7 @@ def best_bins(bins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def score_trend(df: DataFrame, keys: Sequence[str], order: Sequence[str], score: str = "best_score") -> DataFrame:
     """First against last score by time, extremes, mean and population variance."""
     at = F.struct(*order)
+    df = df.withColumn(score, F.when(~F.isnan(F.col(score).cast("double")), F.col(score)))
     out = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_experiments"),
         F.min_by(score, at).alias("_first"),
@@ -245,13 +259,14 @@ def study_summary(df: DataFrame, keys: Sequence[str], order: str = "trial") -> D
     """Trial counts by state, best value and success rate per study."""
     done = F.col("state") == "complete"
     n = F.count(F.lit(1))
-    best = F.when(done, F.struct(-F.col("score"), F.col(order)))
+    df = df.withColumn("score", completed_score(df))
+    best = F.when(F.col("score").isNotNull(), F.struct(-F.col("score"), F.col(order)))
     return df.groupBy(*keys).agg(
         n.alias("n_trials"),
         F.count_if(done).alias("successful_trials"),
         F.count_if(F.col("state") == "pruned").alias("pruned_trials"),
         F.count_if(F.col("state") == "failed").alias("failed_trials"),
-        F.max(F.when(done, F.col("score"))).alias("best_value"),
+        F.max("score").alias("best_value"),
         F.min_by(F.col(order), best).alias("best_trial"),
         (F.count_if(done) / n).alias("success_rate"),
     )

@@ -75,11 +75,11 @@ VIEWS = {
                l_orderkey AS o, l_linenumber AS l, l_partkey AS p, l_extendedprice AS x,
                l_discount * 10 AS temperature, 0.1::DOUBLE + l_tax * 10 AS top_p,
                (l_quantity * 2)::INTEGER AS top_k, l_linenumber * 70 AS max_new_tokens,
-               1.0::DOUBLE + l_tax AS repetition_penalty, (l_extendedprice % 1000) / 1000 AS score,
-               CASE WHEN l_returnflag = 'R' THEN 'failed'
-                    WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'pruned' ELSE 'complete' END AS state,
-               l_shipdate AS ts
-        FROM lineitem""",
+               1.0::DOUBLE + l_tax AS repetition_penalty,
+               CASE WHEN state = 'complete' THEN (l_extendedprice % 1000) / 1000 END AS score, state, l_shipdate AS ts
+        FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 'failed'
+                             WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'pruned' ELSE 'complete' END AS state
+              FROM lineitem)""",
     "samples": """
         SELECT doc_id AS sample_id, text AS question, string_split(text, chr(10))[1] AS answer, lang AS language,
                source AS category,
@@ -163,7 +163,7 @@ VIEWS = {
                coalesce(b.score, 0) AS best_score, n AS trials, first_ts, last_ts
         FROM (SELECT study, model, dataset, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts
               FROM trials GROUP BY ALL) g
-        LEFT JOIN (SELECT * FROM trials WHERE score > 0
+        LEFT JOIN (SELECT * FROM trials WHERE score > 0 AND state = 'complete'
                    QUALIFY row_number() OVER (PARTITION BY study ORDER BY score DESC, o, l, p, x) = 1) b
         USING (study, model, dataset)""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.plans.oracle_views import with_views
@@ -18,10 +18,13 @@ ORACLES: dict[str, str] = {}
 # Added before rounding: an exact half is then rounded up by every engine,
 # whichever way its sum was ordered.
 NUDGE = 1e-9
+# Costs of a few tokens are far below a millionth; they are rounded per million.
+FINE = ("cost_per_token_usd", "cost_per_1k_tokens_usd", "min_cost")
+MILLION = 1_000_000.0
 
 
 def nudged(sql: str) -> str:
-    """Add the nudge inside every two-argument round call."""
+    """Add the nudge inside every two-argument round call, and round fine columns per million."""
     out, i = [], 0
     for start in (m.end() for m in re.finditer(r"\bround\(", sql)):
         depth, comma, end = 1, None, start
@@ -31,9 +34,13 @@ def nudged(sql: str) -> str:
             if c == "," and depth == 1:
                 comma = end
             end += 1
-        out.append((start, comma))
+        fine = re.match(rf"\s+AS\s+({'|'.join(FINE)})\b", sql[end:]) is not None
+        out.append((start, "("))
+        out.append((comma, f") * {MILLION} + {NUDGE}" if fine else f") + {NUDGE}"))
+        if fine:
+            out.append((end, f" / {MILLION}"))
     text = []
-    for start, comma in sorted([(a, "(") for a, _ in out] + [(b, f") + {NUDGE}") for _, b in out]):
+    for start, comma in sorted(out):
         text.append(sql[i:start] + comma)
         i = start
     return "".join(text) + sql[i:]
@@ -55,6 +62,10 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles at a fixed number of places, so summation order cannot show."""
-    return df.select(
-        *[F.round(F.col(c) + NUDGE, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
-    )
+
+    def places(c: str) -> Column:
+        if c in FINE:
+            return F.round(F.col(c) * MILLION + NUDGE, digits) / MILLION
+        return F.round(F.col(c) + NUDGE, digits)
+
+    return df.select(*[places(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

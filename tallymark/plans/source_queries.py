@@ -17,7 +17,7 @@ def items(spark, d):
     return docs.select(
         "doc_id",
         F.floor(F.col("doc_id") / 100).alias("part"),
-        F.concat(F.lit("Q"), F.col("doc_id"), F.lit(': "'), F.substring("source", 1, 9), F.lit('"')).alias("problem"),
+        F.concat(F.lit("Q"), F.col("doc_id"), F.lit(': "'), F.col("source"), F.lit('"')).alias("problem"),
         F.when(F.col("doc_id") % 7 != 0, F.concat(F.col("n_chars"), F.lit(" chars"))).alias("solution"),
         F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("language"),
         F.col("source").alias("category"),

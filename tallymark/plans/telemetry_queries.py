@@ -9,6 +9,7 @@ from tallymark.operators import capacity, compare, errors as er, telemetry as te
 from tallymark.operators import rollup as ro
 from tallymark.plans.registry import query, rounded
 from tallymark.plans.rollup_queries import CLASSIFIED, ERROR_STATS, rules_sql
+from tallymark.session import scratch_path
 from tallymark.sources import views
 from tallymark.streaming import scaling as sc
 from tallymark.streaming import telemetry as st
@@ -18,6 +19,13 @@ def ticks_stream(spark, d):
     return st.metric_ticks(st.read_events(spark, d, "events.parquet"))
 
 
+def unsorted_ticks_stream(spark, d):
+    """The same readings from eight files in no order of time, one file per batch."""
+    folder = scratch_path(spark, "unsorted-events")
+    views.table(spark, d, "events").repartition(8, "event_id").write.parquet(folder)
+    return st.metric_ticks(st.read_events(spark, folder, files_per_trigger=1))
+
+
 def error_stream(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
     texts = F.array(*[F.lit(t) for t in views.ERROR_TEXTS])
@@ -63,15 +71,24 @@ def t2_batch(spark, d):
     return rounded(_starts(te.window_summary(hosts, ["deployment"], F.window("ts", "6 hours"))))
 
 
+def _summary(ticks, spark):
+    out = st.windowed_summary(ticks, ["deployment"], "6 hours")
+    return rounded(_starts(st.run_upsert(spark, out, "summary", ["deployment", "window"])))
+
+
 @query("t2_windowed_summary_stream", TUMBLING)
 def t2_stream(spark, d):
-    out = st.windowed_summary(ticks_stream(spark, d), ["deployment"], "6 hours", "1 day")
-    return rounded(_starts(st.run_upsert(spark, out, "summary", ["deployment", "window"])))
+    return _summary(ticks_stream(spark, d), spark)
+
+
+@query("t2_windowed_summary_unsorted_files", TUMBLING)
+def t2_unsorted(spark, d):
+    return _summary(unsorted_ticks_stream(spark, d), spark)
 
 
 @query("t2_sliding_summary_stream", SLIDING)
 def t2_sliding(spark, d):
-    out = st.windowed_summary(ticks_stream(spark, d), ["deployment"], "12 hours", "1 day", slide="6 hours")
+    out = st.windowed_summary(ticks_stream(spark, d), ["deployment"], "12 hours", slide="6 hours")
     return rounded(_starts(st.run_upsert(spark, out, "sliding", ["deployment", "window"])))
 
 
@@ -93,7 +110,12 @@ def t3_batch(spark, d):
 
 @query("t3_alerts_stream", ALERTS)
 def t3_stream(spark, d):
-    return _alert_rows(st.run_append(spark, st.alert_stream(ticks_stream(spark, d), "deployment", "1 day"), "alerts"))
+    return _alert_rows(st.run_append(spark, st.alert_stream(ticks_stream(spark, d), "deployment"), "alerts"))
+
+
+@query("t3_alerts_unsorted_files", ALERTS)
+def t3_unsorted(spark, d):
+    return _alert_rows(st.run_append(spark, st.alert_stream(unsorted_ticks_stream(spark, d), "deployment"), "alerts"))
 
 
 SCALING = """
@@ -120,13 +142,14 @@ def t4(spark, d):
     return te.scaling_decisions(te.scaling_ticks(views.host_metrics(spark, d), ["deployment"]), "deployment")
 
 
-@query(
-    "t4_scaling_stream",
-    # a tick is sent on once the newest reading is past its end
-    f"{SCALING} AND tick + 30 <= (SELECT epoch_us(max(ts)) / 1000000 FROM host_metrics)",
-)
+@query("t4_scaling_stream", SCALING)
 def t4_stream(spark, d):
-    return sc.run_scaling(spark, ticks_stream(spark, d), "deployment", "0 seconds")
+    return sc.run_scaling(spark, ticks_stream(spark, d), "deployment")
+
+
+@query("t4_scaling_unsorted_files", SCALING)
+def t4_unsorted(spark, d):
+    return sc.run_scaling(spark, unsorted_ticks_stream(spark, d), "deployment")
 
 
 LEVEL = """CASE WHEN utilization < 0.7 THEN 'safe' WHEN utilization < 0.85 THEN 'warning'
@@ -142,10 +165,19 @@ def t5_batch(spark, d):
     return _starts(te.level_counts(ticks, ["device"], F.window("ts", "1 day")))
 
 
+def _levels(ticks, spark):
+    out = st.windowed_levels(ticks, ["device"], "1 day")
+    return _starts(st.run_upsert(spark, out, "levels", ["device", "window", "level"]))
+
+
 @query("t5_level_counts_stream", COUNTS)
 def t5_stream(spark, d):
-    out = st.windowed_levels(ticks_stream(spark, d), ["device"], "1 day", "1 day")
-    return _starts(st.run_upsert(spark, out, "levels", ["device", "window", "level"]))
+    return _levels(ticks_stream(spark, d), spark)
+
+
+@query("t5_level_counts_unsorted_files", COUNTS)
+def t5_unsorted(spark, d):
+    return _levels(unsorted_ticks_stream(spark, d), spark)
 
 
 @query(
@@ -231,7 +263,7 @@ def t8_batch(spark, d):
 
 @query("t8_error_classes_stream", CLASSES)
 def t8_stream(spark, d):
-    out = st.classified_errors(error_stream(spark, d)).select("error_id", "category", "severity", "pattern")
+    out = er.classify(error_stream(spark, d)).select("error_id", "category", "severity", "pattern")
     return st.run_append(spark, out, "classes")
 
 
@@ -360,12 +392,22 @@ def f3(spark, d):
     return rounded(capacity.size_scores(hosts))
 
 
-@query(
-    "t7_health_stream",
-    f"""SELECT deployment, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS window_start, bool_and({_OK}) AS healthy,
-               count(*) AS ticks FROM host_metrics GROUP BY ALL""",
-)
-def t7_stream(spark, d):
-    out = st.windowed_summary(ticks_stream(spark, d), ["deployment"], "1 day", "1 day")
+HEALTH = f"""
+    SELECT deployment, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS window_start, bool_and({_OK}) AS healthy,
+           count(*) AS ticks FROM host_metrics GROUP BY ALL"""
+
+
+def _health(ticks, spark):
+    out = st.windowed_summary(ticks, ["deployment"], "1 day")
     stored = st.run_upsert(spark, out, "health", ["deployment", "window"])
     return _starts(stored.select("deployment", "window", "healthy", "ticks"))
+
+
+@query("t7_health_stream", HEALTH)
+def t7_stream(spark, d):
+    return _health(ticks_stream(spark, d), spark)
+
+
+@query("t7_health_unsorted_files", HEALTH)
+def t7_unsorted(spark, d):
+    return _health(unsorted_ticks_stream(spark, d), spark)

@@ -392,18 +392,20 @@ def e11(spark, d):
 
 @query(
     "e11_qa_composite_with_vectors",
-    f"""SELECT v.vec_id, round(e * 0.4 + c * 0.4 + r * 0.2, 6) AS score, e * 0.4 + c * 0.4 + r * 0.2 > 0.7 AS correct
-        FROM (SELECT vec_id, {COSINE} AS c FROM vector_pairs) v
-        JOIN (SELECT request_id, {EXACT} AS e, {RECALL} AS r FROM qa_answers) q ON q.request_id = v.vec_id""",
+    f"""SELECT request_id, round(e * 0.4 + c * 0.4 + r * 0.2, 6) AS score, e * 0.4 + c * 0.4 + r * 0.2 > 0.7 AS correct
+        FROM (SELECT request_id, coalesce(c, 0) AS c, {EXACT} AS e, {RECALL} AS r
+              FROM qa_answers LEFT JOIN (SELECT vec_id AS request_id, {COSINE} AS c FROM vector_pairs) USING (request_id))""",
 )
 def e11_vectors(spark, d):
+    """All answers; one without a vector has no semantic part."""
     p, t = F.col("prediction"), F.col("truth")
     vectors = views.vector_pairs(spark, d).select(
         F.col("vec_id").alias("request_id"), tx.cosine(F.col("embedding"), F.col("ref")).alias("semantic")
     )
-    joined = views.qa_answers(spark, d).join(vectors, "request_id")
-    score = tx.qa_composite(tx.normalized_match(p, t), F.col("semantic"), tx.keyword_recall(p, t))
-    out = joined.select(F.col("request_id").alias("vec_id"), score.alias("score"))
+    joined = views.qa_answers(spark, d).join(vectors, "request_id", "left")
+    semantic = F.coalesce("semantic", F.lit(0.0))
+    score = tx.qa_composite(tx.normalized_match(p, t), semantic, tx.keyword_recall(p, t))
+    out = joined.select("request_id", score.alias("score"))
     return rounded(out.withColumn("correct", F.col("score") > scoring.QA_CORRECT_ABOVE))
 
 

@@ -180,7 +180,7 @@ def p7(spark, d):
     )
 
 
-BINNED = """(SELECT study, parameter, bin, score FROM (
+BINNED = """(SELECT study, parameter, bin, coalesce(score, 0) AS score FROM (
     SELECT study, score, unnest([{'n': 'temperature', 'b': floor(temperature * 10 + 0.5) / 10},
                                  {'n': 'top_p', 'b': floor(top_p * 10 + 0.5) / 10},
                                  {'n': 'top_k', 'b': floor(top_k / 10) * 10},

@@ -82,7 +82,11 @@ ERROR_TEXTS = tuple(f"Run failed: {p[0].upper()} (attempt 1)" for p in lx.ERROR_
     "Connection reset by network peer",
     "Unexpected value in row",
 )
-EXCEPTION_TYPES = ("RuntimeError", "ImportError", "ValueError", "OSError", "MemoryError")
+EXCEPTION_TYPES = (
+    "RuntimeError", "ImportError", "ValueError", "OSError", "MemoryError", "ConnectionResetError", "BrokenPipeError",
+    "JSONDecodeError", "UnicodeDecodeError", "ModuleNotFoundError", "PermissionError", "FileNotFoundError", "TimeoutError",
+    "TypeError", "KeyError", "NotADirectoryError",
+)
 
 
 def errors(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,7 +135,15 @@ def task_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trials(spark: SparkSession, folder: str) -> DataFrame:
-    """Parameter trials; the trial order is (order, line, part, price)."""
+    """Parameter trials; the trial order is (order, line, part, price).
+
+    Failed and pruned trials have no score.
+    """
+    state = (
+        F.when(F.col("l_returnflag") == "R", "failed")
+        .when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), "pruned")
+        .otherwise("complete")
+    )
     return table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("study"),
         F.concat(F.lit("m"), F.col("l_suppkey") % 8).alias("model"),
@@ -147,11 +159,8 @@ def trials(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_quantity") * 2).cast("int").alias("top_k"),
         (F.col("l_linenumber") * 70).alias("max_new_tokens"),
         (F.lit(1.0) + F.col("l_tax")).alias("repetition_penalty"),
-        ((F.col("l_extendedprice") % 1000) / 1000).alias("score"),
-        F.when(F.col("l_returnflag") == "R", "failed")
-        .when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), "pruned")
-        .otherwise("complete")
-        .alias("state"),
+        F.when(state == "complete", (F.col("l_extendedprice") % 1000) / 1000).alias("score"),
+        state.alias("state"),
         F.col("l_shipdate").alias("ts"),
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallymark.operators.telemetry import ScalingPolicy, scale_steps
 from tallymark.session import scratch_path
-from tallymark.streaming.telemetry import append_to, run_append
+from tallymark.streaming.telemetry import run_append, run_upsert
 
 STATE = "replicas int, changed_at double"
 
@@ -28,27 +28,24 @@ def _advance(
     yield changes
 
 
-def tick_stream(readings: DataFrame, key: str, late: str, every: str = "30 seconds") -> DataFrame:
-    """Mean load and response time per key and tick, sent on once a tick is over."""
-    ticks = (
-        readings.withWatermark("ts", late)
-        .groupBy(key, F.window("ts", every).alias("window"))
-        .agg(
-            (F.sum("cpu_percent") / F.count(F.lit(1)) / 100).alias("load"), F.avg("response_s").alias("response_s")
-        )
+def tick_stream(readings: DataFrame, key: str, every: str = "30 seconds") -> DataFrame:
+    """Mean load and response time per key and tick, updated as readings come in any order."""
+    ticks = readings.groupBy(key, F.window("ts", every).alias("window")).agg(
+        (F.sum("cpu_percent") / F.count(F.lit(1)) / 100).alias("load"), F.avg("response_s").alias("response_s")
     )
     return ticks.select(key, F.unix_seconds("window.start").alias("tick"), "load", "response_s")
 
 
-def run_scaling(spark: SparkSession, readings: DataFrame, key: str, late: str) -> DataFrame:
-    """Finish both stages over what is available: ticks to files, files to decisions.
+def run_scaling(spark: SparkSession, readings: DataFrame, key: str) -> DataFrame:
+    """Finish both stages over what is available: readings to ticks, ticks to decisions.
 
-    Keyed state cannot follow an aggregation in one stream, so finished ticks
-    are stored and read on as a stream of their own.
+    Keyed state cannot follow an aggregation in one stream.  The first stream
+    runs to the end of its input, which closes every tick, the last one too,
+    however its files were ordered; the second walks the stored ticks.
     """
-    ticks = tick_stream(readings, key, late)
-    stored = scratch_path(spark, "scaling-ticks")
-    append_to(ticks, stored, scratch_path(spark, "scaling-ticks-state"))
+    ticks = run_upsert(spark, tick_stream(readings, key), "scaling-ticks", [key, "tick"])
+    stored = scratch_path(spark, "scaling-closed")
+    ticks.write.parquet(stored)
     source = spark.readStream.schema(ticks.schema).parquet(stored)
     return run_append(spark, scaling_stream(source, key), "scaling")
 
@@ -56,8 +53,9 @@ def run_scaling(spark: SparkSession, readings: DataFrame, key: str, late: str) -
 def scaling_stream(ticks: DataFrame, key: str, policy: ScalingPolicy = ScalingPolicy()) -> DataFrame:
     """Scaling changes per key; replicas and the last change carry over batches.
 
-    ``ticks`` holds one averaged row per key and tick (see ``scaling_ticks``),
-    so a batch gives a key as many rows as the time it covers has ticks.
+    ``ticks`` holds one averaged row per key and tick (see ``tick_stream``), and
+    batches follow each other in time, so a batch gives a key as many rows as
+    the time it covers has ticks.
     """
     kind = ticks.schema[key].dataType.simpleString()
     return ticks.groupBy(key).applyInPandasWithState(

@@ -67,23 +67,33 @@ def parse_payload(df: DataFrame, column: str = "payload", schema: T.StructType =
     return df.withColumn("_p", F.from_json(column, schema)).select("*", "_p.*").drop("_p", column)
 
 
-def windowed_summary(ticks: DataFrame, keys: Sequence[str], size: str, late: str, slide: str | None = None) -> DataFrame:
+def _bounded(ticks: DataFrame, column: str, late: str | None) -> DataFrame:
+    """State is dropped ``late`` behind the newest reading, or kept for good without a bound.
+
+    Readings older than a bound are lost, so a bound is only for sources that
+    promise one; files in any order are read without.
+    """
+    return ticks.withWatermark(column, late) if late else ticks
+
+
+def windowed_summary(
+    ticks: DataFrame, keys: Sequence[str], size: str, late: str | None = None, slide: str | None = None
+) -> DataFrame:
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return window_summary(ticks.withWatermark("ts", late), keys, window)
+    return window_summary(_bounded(ticks, "ts", late), keys, window)
 
 
-def windowed_levels(ticks: DataFrame, keys: Sequence[str], size: str, late: str) -> DataFrame:
-    return level_counts(ticks.withWatermark("ts", late), keys, F.window("ts", size))
+def windowed_levels(ticks: DataFrame, keys: Sequence[str], size: str, late: str | None = None) -> DataFrame:
+    return level_counts(_bounded(ticks, "ts", late), keys, F.window("ts", size))
 
 
-def alert_stream(ticks: DataFrame, key: str, late: str, rules: Sequence[AlertRule] = ALERT_RULES) -> DataFrame:
+def alert_stream(
+    ticks: DataFrame, key: str, late: str | None = None, rules: Sequence[AlertRule] = ALERT_RULES
+) -> DataFrame:
     """Alerts as they fire, one per key, rule and second."""
     fired = fired_alerts(ticks, rules).select(key, "rule", "severity", "message", "second")
-    return fired.withWatermark("second", late).dropDuplicatesWithinWatermark([key, "rule", "second"])
-
-
-def classified_errors(log: DataFrame) -> DataFrame:
-    return classify(log)
+    same = [key, "rule", "second"]
+    return _bounded(fired, "second", late).dropDuplicatesWithinWatermark(same) if late else fired.dropDuplicates(same)
 
 
 def running_error_stats(log: DataFrame) -> DataFrame:
