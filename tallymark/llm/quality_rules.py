@@ -22,6 +22,7 @@ from tallymark.llm.labelled import sample
 BITS = 17
 TRAINING_ROWS = 4_000  # bound of the labelled sample; every fourth row calibrates
 STEPS = 60
+BLOCK_DOCUMENTS = 128  # training documents that a step looks at together, for memory
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8  # words
@@ -45,22 +46,31 @@ class Model:
 
 
 def _regression(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """Logistic regression by full-batch gradient steps with per-weight scaling."""
-    sizes = [len(k) for _, k, _ in docs]
-    keys = np.concatenate([k for _, k, _ in docs])
-    values = np.concatenate([n / n.sum() for _, _, n in docs])
-    owner = np.repeat(np.arange(len(docs)), sizes)
+    """Logistic regression by full-batch gradient steps with per-weight scaling, a block of documents at a time."""
     label = np.array([y for y, _, _ in docs], float)
     # both classes weigh the same in the fit; calibration brings the true share back
     weight = np.where(label == 1, 0.5 / max(label.sum(), 1), 0.5 / max((1 - label).sum(), 1))
-    scale = 1 / np.sqrt(np.bincount(keys, weight[owner] * values * values, 1 << BITS) + 1e-9)
+    blocks = []
+    for start in range(0, len(docs), BLOCK_DOCUMENTS):
+        part = docs[start : start + BLOCK_DOCUMENTS]
+        keys = np.concatenate([k for _, k, _ in part])
+        values = np.concatenate([(n / n.sum()).astype(np.float32) for _, _, n in part])
+        owner = np.repeat(np.arange(len(part), dtype=np.int32), [len(k) for _, k, _ in part])
+        blocks.append((slice(start, start + len(part)), keys, values, owner))
+    curve = np.full(1 << BITS, 1e-9)
+    for rows, keys, values, owner in blocks:
+        curve += np.bincount(keys, weight[rows][owner] * values * values, 1 << BITS)
+    scale = 1 / np.sqrt(curve)
     weights, bias = np.zeros(1 << BITS), 0.0
     for _ in range(STEPS):
-        margin = np.bincount(owner, weights[keys] * values, len(docs)) + bias
-        error = weight * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - label)
-        slope = np.bincount(keys, error[owner] * values, 1 << BITS)
+        slope, drift = np.zeros(1 << BITS), 0.0
+        for rows, keys, values, owner in blocks:
+            margin = np.bincount(owner, weights[keys] * values, len(label[rows])) + bias
+            error = weight[rows] * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - label[rows])
+            slope += np.bincount(keys, error[owner] * values, 1 << BITS)
+            drift += error.sum()
         weights -= 0.5 * scale * slope
-        bias -= 0.5 * error.sum()
+        bias -= 0.5 * drift
     return weights, bias
 
 
