@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -126,32 +126,44 @@ EVALUATORS: dict[str, Callable[[Column, Column, dict[str, Column]], Column]] = {
     "performance": _performance,
     "basic": _basic,
 }
-_NATIVE = ("korean_math", "korean_qa")
+NEED_SIMILARITY = {"performance", "basic"}
 
 
-def register_evaluator(name: str, build: Callable[[Column, Column, dict[str, Column]], Column]) -> None:
+def register_evaluator(
+    name: str, build: Callable[[Column, Column, dict[str, Column]], Column], needs_similarity: bool = False
+) -> None:
     """Add an evaluator: a function of (prediction, truth, row columns).
 
-    It returns a struct of score, correct and confidence.
+    It returns a struct of score, correct and confidence.  Its rows meet Python
+    only if it asks for ``row["similarity"]``.
     """
     EVALUATORS[name] = build
+    NEED_SIMILARITY.discard(name)
+    if needs_similarity:
+        NEED_SIMILARITY.add(name)
 
 
 def evaluate(df: DataFrame, evaluator: str = "evaluator", use_stats: bool = True) -> DataFrame:
     """Score each row by the evaluator its column names.
 
     Unknown names fall back to ``basic``.  A row without text scores 0 and says
-    so in ``error``.  Only rows that need the similarity are sent to Python.
+    so in ``error``.  Rows are parted by what their evaluator needs, so only those
+    that need the similarity are sent to Python.
     With ``use_stats`` the performance evaluator reads tokens_per_second and
     memory_usage_mb; without it their factor is 1.
     """
-    name = F.when(F.col(evaluator).isin(*EVALUATORS), F.col(evaluator)).otherwise("basic")
+    name = F.coalesce(F.when(F.col(evaluator).isin(*EVALUATORS), F.col(evaluator)), F.lit("basic"))
+    compared = name.isin(*NEED_SIMILARITY)
+    native = [n for n in EVALUATORS if n not in NEED_SIMILARITY]
+    similarity_of = sequence_similarity(F.col("prediction"), F.col("truth"))
+    with_python = _evaluated(df.where(compared).withColumn("_similarity", similarity_of), name, NEED_SIMILARITY, use_stats)
+    return _evaluated(df.where(~compared), name, native, use_stats).unionByName(with_python)
+
+
+def _evaluated(df: DataFrame, name: Column, evaluators: Iterable[str], use_stats: bool) -> DataFrame:
+    """Rows whose evaluator is one of ``evaluators``, scored."""
     p, t = F.col("prediction"), F.col("truth")
-    native = name.isin(*_NATIVE)
-    df = df.withColumn(
-        "_similarity", sequence_similarity(F.when(~native, p), F.when(~native, t))
-    )
-    row = {"similarity": F.col("_similarity")}
+    row = {"similarity": F.col("_similarity")} if "_similarity" in df.columns else {}
     if use_stats and {"tokens_per_second", "memory_usage_mb"} <= set(df.columns):
         row |= {c: F.col(c) for c in ("tokens_per_second", "memory_usage_mb")}
     if "semantic" in df.columns:
@@ -159,8 +171,8 @@ def evaluate(df: DataFrame, evaluator: str = "evaluator", use_stats: bool = True
     missing = p.isNull() | t.isNull()
     nothing = _result(F.lit(0.0), F.lit(False), F.lit(None).cast("double"))
     result = F.when(missing, nothing)
-    for key, build in EVALUATORS.items():
-        result = result.when(name == key, build(p, t, row))
+    for key in evaluators:
+        result = result.when(name == key, EVALUATORS[key](p, t, row))
     kept = [c for c in df.columns if c != "_similarity"]
     # a generator works the struct out once, however many of its fields are used
     return df.select(

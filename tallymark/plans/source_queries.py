@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallymark.operators import compare
+from tallymark.operators.trials import PARAMS, parameter_bins
 from tallymark.plans.registry import query, rounded
 from tallymark.plans.rollup_queries import bench, opt, scored
 from tallymark.session import scratch_path
@@ -100,24 +101,37 @@ def run_documents(spark, d):
                 F.round("best_score", 3).alias("best_score"),
                 F.when(F.col("study") % 2 == 0, F.col("trials") * 2.0).alias("total_time"),
                 F.when(F.col("study") % 2 == 1, F.col("trials") * 3.0).alias("optimization_time"),
+                F.struct(*PARAMS).alias("best_params"),
+                # the two schemas number their trials under different names
                 F.transform(
                     F.sequence(F.lit(0), (F.col("study") % 4).cast("int")),
                     lambda i: F.struct(
-                        i.alias("trial_number"), (i * 0.25).alias("score"), F.when(i == 2, F.lit("timeout")).alias("error")
+                        F.when(F.col("study") % 2 == 0, i).alias("trial_number"),
+                        F.when(F.col("study") % 2 == 1, i).alias("trial"),
+                        F.struct((i * 0.5).alias("temperature"), (i * 10).alias("top_k")).alias("params"),
+                        (i * 0.25).alias("score"), F.when(i == 2, F.lit("timeout")).alias("error"),
+                        F.date_format("first_ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
                     ),
                 ).alias("optimization_history"),
+                F.array(F.lit("advice")).alias("recommendations"),
                 F.date_format("last_ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
             )
         ).alias("value"),
     )
-    b = scored(spark, d).groupBy("model", "dataset").agg(F.max("memory_usage_mb").alias("memory")).select(
+    measured = scored(spark, d).groupBy("model", "dataset").agg(
+        F.max("memory_usage_mb").alias("memory"), F.avg("tokens_per_second").alias("speed")
+    )
+    b = measured.select(
         F.concat(F.lit("bench_"), "model", F.lit("_"), "dataset").alias("run_id"),
         F.to_json(
             F.struct(
                 F.concat(F.lit("bench_"), "model", F.lit("_"), "dataset").alias("test_id"),
                 F.col("model").alias("model_name"),
                 F.col("dataset").alias("dataset_name"),
-                F.create_map(F.lit("memory_usage_mb"), F.col("memory")).alias("performance_metrics"),
+                F.create_map(
+                    F.lit("memory_usage_mb"), F.col("memory"), F.lit("tokens_per_second"), F.col("speed")
+                ).alias("performance_metrics"),
+                F.create_map(F.lit("cost_per_1k_tokens_usd"), F.col("memory") / 1_000_000).alias("cost_analysis"),
                 F.lit("2024-02-01T00:00:00").alias("timestamp"),
             )
         ).alias("value"),
@@ -225,7 +239,63 @@ def s9(spark, d):
     path = scratch_path(spark, "run-lines")
     run_documents(spark, d).select("value").write.text(path)
     good, _ = runs.read_runs(spark, path, lines=True)
-    return runs.explode_history(runs.unify_runs(good))
+    history = runs.explode_history(runs.unify_runs(good))
+    return history.select("run_id", "position", "trial_number", "score", "error")
+
+
+def _loaded(spark, d):
+    """Run files written, read back and unified; cut ones are among the rejects."""
+    path = scratch_path(spark, "run-lines")
+    run_documents(spark, d).select("value").write.text(path)
+    return runs.unify_runs(runs.read_runs(spark, path, lines=True)[0])
+
+
+@query(
+    "s9_history_with_params",
+    f"""SELECT run_id, n AS total_trials, n - (n > 2)::INTEGER AS successful_trials, i AS trial_number, i * 0.5::DOUBLE AS temperature,
+               i * 10 AS top_k, i * 0.25::DOUBLE AS score, strftime(first_ts, '%Y-%m-%dT%H:%M:%S') AS timestamp
+        FROM (SELECT *, (study % 4 + 1)::INTEGER AS n, unnest(range(0, study % 4 + 1))::INTEGER AS i FROM opt_runs
+              WHERE NOT regexp_matches(run_id, '[05]$'))""",
+)
+def s9_params(spark, d):
+    """Trials of both schemas with their parameters, numbered and counted alike."""
+    loaded = _loaded(spark, d).where(F.col("run_type") == "optimize")
+    trials = runs.explode_history(loaded).select("run_id", "trial_number", "temperature", "top_k", "score", "timestamp")
+    return loaded.select("run_id", "total_trials", "successful_trials").join(trials, "run_id")
+
+
+@query(
+    "s4_runs_to_bins",
+    """SELECT parameter, round(bin, 6) AS bin, round(avg(score), 6) AS performance, count(*) AS sample_count
+       FROM (SELECT s.n AS parameter, s.b::DOUBLE AS bin, score FROM (
+                 SELECT round(best_score, 3) AS score, unnest([
+                            {'n': 'temperature', 'b': floor(temperature * 10 + 0.5) / 10}, {'n': 'top_p', 'b': floor(top_p * 10 + 0.5) / 10},
+                            {'n': 'top_k', 'b': floor(top_k / 10) * 10}, {'n': 'max_new_tokens', 'b': floor(max_new_tokens / 100) * 100},
+                            {'n': 'repetition_penalty', 'b': floor(repetition_penalty * 100 + 0.5) / 100}]) AS s
+                 FROM opt_runs WHERE NOT regexp_matches(run_id, '[05]$')))
+       GROUP BY parameter, bin""",
+)
+def s4_bins(spark, d):
+    """From run files to the mean best score per parameter bin."""
+    return rounded(parameter_bins(runs.optimizations(_loaded(spark, d)), score="best_score"))
+
+
+@query(
+    "s4_runs_to_comparison",
+    """SELECT model, round(coalesce(max(best_score), 0), 6) AS best_score, round(coalesce(max(speed), 0), 6) AS best_speed,
+              min(memory) AS min_memory, round(min(cost), 6) AS min_cost, count(DISTINCT dataset) AS datasets
+       FROM (SELECT model, dataset, round(best_score, 3) AS best_score, NULL::DOUBLE AS speed, NULL::DOUBLE AS memory,
+                    NULL::DOUBLE AS cost
+             FROM opt_runs WHERE NOT regexp_matches(run_id, '[05]$')
+             UNION ALL
+             SELECT model, dataset, NULL, avg(tokens_per_second), max(memory_usage_mb), max(memory_usage_mb) / 1000000
+             FROM scored WHERE NOT regexp_matches(dataset, '[05]$') GROUP BY model, dataset)
+       GROUP BY model""",
+)
+def s4_comparison(spark, d):
+    """From run files of both kinds to one row per model."""
+    loaded = _loaded(spark, d)
+    return rounded(compare.merge_by_model(runs.optimizations(loaded), runs.benchmarks(loaded)))
 
 
 @query(

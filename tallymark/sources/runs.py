@@ -13,6 +13,11 @@ _PARAMS = T.StructType(
         T.StructField("top_k", T.IntegerType()),
         T.StructField("max_new_tokens", T.IntegerType()),
         T.StructField("repetition_penalty", T.DoubleType()),
+        T.StructField("length_penalty", T.DoubleType()),
+        T.StructField("num_beams", T.IntegerType()),
+        T.StructField("do_sample", T.BooleanType()),
+        T.StructField("early_stopping", T.BooleanType()),
+        T.StructField("min_new_tokens", T.IntegerType()),
     ]
 )
 
@@ -34,12 +39,20 @@ RUN_SCHEMA = T.StructType(
                 T.StructType(
                     [
                         T.StructField("trial_number", T.IntegerType()),
+                        T.StructField("trial", T.IntegerType()),
+                        T.StructField("params", _PARAMS),
                         T.StructField("score", T.DoubleType()),
                         T.StructField("error", T.StringType()),
+                        T.StructField("timestamp", T.StringType()),
                     ]
                 )
             ),
         ),
+        T.StructField("total_trials", T.IntegerType()),
+        T.StructField("successful_trials", T.IntegerType()),
+        T.StructField("evaluation_summary", T.MapType(T.StringType(), T.DoubleType())),
+        T.StructField("study_summary", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("recommendations", T.ArrayType(T.StringType())),
         T.StructField("performance_metrics", T.MapType(T.StringType(), T.DoubleType())),
         T.StructField("hardware_usage", T.MapType(T.StringType(), T.DoubleType())),
         T.StructField("hardware_efficiency", T.MapType(T.StringType(), T.DoubleType())),
@@ -72,19 +85,49 @@ def read_runs(spark: SparkSession, path: str, glob: str = "*", lines: bool = Fal
 
 
 def unify_runs(runs: DataFrame) -> DataFrame:
-    """Both run schemas as one: id, time and kind of run.
+    """Both run schemas as one: id, time, kind of run, and trials numbered and counted alike.
 
-    A run with a best score is an optimization, any other a benchmark.
+    A run with a best score is an optimization, any other a benchmark.  Trial
+    counts that a record lacks are taken from its history; a trial without an
+    error succeeded.
     """
     def maybe(name: str, kind: str) -> Column:
         return F.col(name) if name in runs.columns else F.lit(None).cast(kind)
 
-    return runs.withColumns(
-        {
-            "run_id": F.coalesce(maybe("test_id", "string"), maybe("trial_id", "string")),
-            "run_time_s": F.coalesce(maybe("total_time", "double"), maybe("optimization_time", "double")),
-            "run_type": F.when(F.col("best_score").isNotNull(), "optimize").otherwise("benchmark"),
+    extra = {
+        "run_id": F.coalesce(maybe("test_id", "string"), maybe("trial_id", "string")),
+        "run_time_s": F.coalesce(maybe("total_time", "double"), maybe("optimization_time", "double")),
+        "run_type": F.when(F.col("best_score").isNotNull(), "optimize").otherwise("benchmark"),
+    }
+    if "optimization_history" in runs.columns:
+        history = F.col("optimization_history")
+        numbered = F.transform(
+            history, lambda t: t.withField("trial_number", F.coalesce(t["trial_number"], t["trial"])).dropFields("trial")
+        )
+        done = F.size(F.filter(history, lambda t: t["error"].isNull()))
+        extra |= {
+            "optimization_history": numbered,
+            "total_trials": F.coalesce(maybe("total_trials", "int"), F.when(history.isNotNull(), F.size(history))),
+            "successful_trials": F.coalesce(maybe("successful_trials", "int"), F.when(history.isNotNull(), done)),
         }
+    return runs.withColumns(extra)
+
+
+def optimizations(runs: DataFrame) -> DataFrame:
+    """Unified optimization runs as the comparisons and bins take them: parameters as columns of their own."""
+    return runs.where(F.col("run_type") == "optimize").select(
+        "run_id", F.col("model_name").alias("model"), F.col("dataset_name").alias("dataset"), "best_score", "run_time_s",
+        "total_trials", "successful_trials", "timestamp", F.coalesce("best_params", "params").alias("_p"),
+    ).select("*", "_p.*").drop("_p")
+
+
+def benchmarks(runs: DataFrame) -> DataFrame:
+    """Unified benchmark runs with the measures that comparisons use."""
+    measure = F.col("performance_metrics")
+    return runs.where(F.col("run_type") == "benchmark").select(
+        "run_id", F.col("model_name").alias("model"), F.col("dataset_name").alias("dataset"), "timestamp",
+        *[measure[m].alias(m) for m in ("tokens_per_second", "latency_p50", "latency_p95", "latency_p99", "memory_usage_mb", "throughput")],
+        F.col("cost_analysis")["cost_per_1k_tokens_usd"].alias("cost_per_1k_tokens_usd"),
     )
 
 
@@ -131,4 +174,4 @@ def explode_history(runs: DataFrame) -> DataFrame:
     """Trial rows of each run; a run without history keeps one empty row."""
     return runs.select(
         "run_id", F.posexplode_outer("optimization_history").alias("position", "_t")
-    ).select("run_id", "position", "_t.trial_number", "_t.score", "_t.error")
+    ).select("run_id", "position", "_t.trial_number", "_t.score", "_t.error", "_t.timestamp", "_t.params.*")
