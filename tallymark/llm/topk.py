@@ -200,8 +200,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         F.collect_list(F.struct("vec_id", "v")).alias("queries")
     )
     # every chunk goes to every block: an equi join on both numbers, dealt evenly
-    names = blocks.select(F.collect_set("block").alias("all")).first()["all"]
-    to_blocks = packs.withColumn("block", F.explode(F.array(*[F.lit(n) for n in sorted(names)]).cast("array<int>")))
+    last = blocks.agg(F.coalesce(F.max("block"), F.lit(0)).alias("n")).first()["n"]
+    to_blocks = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
     to_chunks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     pairs = to_chunks.join(to_blocks, ["block", "chunk"])
 
