@@ -98,6 +98,14 @@ VIEWS = {
         FROM (SELECT doc_id, lang, text, first_value(doc_id) OVER w AS ref_id, first_value(text) OVER w AS truth
               FROM documents WINDOW w AS (PARTITION BY lang, substring(text, 1, 40) ORDER BY doc_id))
         WHERE doc_id > ref_id""",
+    "pairs_by_line": f"""
+        SELECT d.doc_id, d.ref_id, a.text AS prediction, b.text AS truth
+        FROM (SELECT doc_id, min(ref_id) AS ref_id
+              FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, line) AS ref_id
+                    FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents)
+                    WHERE {sql_strip("line")} <> '')
+              WHERE doc_id > ref_id GROUP BY doc_id) d
+        JOIN documents a ON a.doc_id = d.doc_id JOIN documents b ON b.doc_id = d.ref_id""",
     "vector_pairs": """
         SELECT vec_id, label, embedding, first_value(vec_id) OVER w AS ref_id, first_value(embedding) OVER w AS ref
         FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)""",

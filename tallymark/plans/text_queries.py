@@ -8,6 +8,7 @@ from tallymark.functions import lexicons as lx
 from tallymark.functions import text as tx
 from tallymark.operators import pairing, samples as sm, scoring
 from tallymark.operators.catalog import MODELS
+from tallymark.operators.joins import salted_join
 from tallymark.plans.oracle_views import quoted, rows, sql_list, sql_strip, sql_words
 from tallymark.plans.registry import query, rounded
 from tallymark.sources import views
@@ -221,11 +222,15 @@ def j3(spark, d):
                CASE WHEN {sql_strip("prediction")} = '' OR {sql_strip("truth")} = '' THEN 0
                     ELSE (lower({sql_strip("prediction")}) = lower({sql_strip("truth")}))::INT END::DOUBLE AS score,
                (lower({sql_strip("prediction")}) = lower({sql_strip("truth")}))::INT::DOUBLE AS score_blank_equal
-        FROM pairs_similar""",
+        FROM pairs_by_line""",
 )
 def e1(spark, d):
+    """Documents that share a line, compared by digests: no text is shuffled."""
+    digests = views.text_digests(spark, d)
+    pairs = views.pairs_by_line(spark, d).join(digests.withColumnRenamed("digest", "prediction"), "doc_id")
+    truths = digests.select(F.col("doc_id").alias("ref_id"), F.col("digest").alias("truth"))
     p, t = F.col("prediction"), F.col("truth")
-    return views.pairs_similar(spark, d).select(
+    return salted_join(pairs, truths, ["ref_id"], ["doc_id"]).select(
         "doc_id", "ref_id", tx.exact_match(p, t).alias("score"), tx.exact_match(p, t, True).alias("score_blank_equal")
     )
 

@@ -53,3 +53,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused table folder beside the checkpoints."""
     return os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+
+
+def clear_scratch(spark: SparkSession, path: str | None = None) -> None:
+    """Delete a scratch table, or all of this session's, once no result is read from them any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path or os.path.join(ensure_checkpoint_dir(spark), "tables"))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import lexicons as lx
+from tallymark.functions.text import is_blank, strip
 from tallymark.operators.catalog import MODELS
 from tallymark.operators.joins import salted_join, small_side, spread
 
@@ -233,31 +234,72 @@ def pairs_similar(spark: SparkSession, folder: str) -> DataFrame:
     return paired.select("doc_id", "ref_id", "lang", "prediction", "truth")
 
 
+def pairs_by_line(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document against the first one of its language that it shares a whole line with.
+
+    One pair per document.  Only ids and line hashes move, and a line that very
+    many documents hold is split by document id.
+    """
+    docs = table(spark, folder, "documents")
+    lines = docs.select("doc_id", "lang", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    lines = lines.where(~is_blank(F.col("line"))).select("doc_id", "lang", F.xxhash64("line").alias("line"))
+    first = lines.groupBy("lang", "line").agg(F.min("doc_id").alias("ref_id"), F.max("doc_id").alias("_last"))
+    first = first.where(F.col("_last") > F.col("ref_id")).drop("_last")
+    met = salted_join(lines, first, ["lang", "line"], ["doc_id"]).where(F.col("doc_id") > F.col("ref_id"))
+    return met.groupBy("doc_id").agg(F.min("ref_id").alias("ref_id"))
+
+
+def text_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest of each document's stripped, lower-cased text; empty for a blank one.
+
+    Two digests are equal exactly if the texts are, so texts need not move to be compared.
+    """
+    text = F.lower(strip(F.col("text")))
+    digest = F.when(text == "", F.lit("")).otherwise(F.sha2(text.cast("binary"), 256))
+    return table(spark, folder, "documents").select("doc_id", digest.alias("digest"))
+
+
+SHORT_ITEMS = 4_096
+
+
 def pairs_contains(spark: SparkSession, folder: str) -> DataFrame:
     """Documents paired with the benchmark items they may quote.
 
-    A document that quotes an item holds its second to fourth word in a row, so
-    documents meet items through an equi join on those three words instead of a
-    product.  Items of fewer than five words are not paired.
+    A document that quotes an item of five words or more holds its second to
+    fourth word in a row, so documents meet such items through an equi join on
+    those three words instead of a product.  Shorter items have no whole words to
+    be found by; they are packed into arrays of ``SHORT_ITEMS`` and looked for
+    where a document lies.  Texts are read again only beside the pairs found.
     """
     # every run of three words, found at each word's start
     def triples(text):
         return F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\S)(?=(\S+\s+\S+\s+\S+))"), F.lit(1))
 
     items = table(spark, folder, "benchmark").withColumn("_t", triples(F.col("text")))
-    anchors = items.where(F.size("_t") >= 3).select(
-        "item_id", F.col("text").alias("truth"), F.xxhash64(F.get("_t", F.lit(1))).alias("anchor")
-    )
+    anchored = F.size("_t") >= 3
+    anchors = items.where(anchored).select("item_id", F.xxhash64(F.get("_t", F.lit(1))).alias("anchor"))
     docs = table(spark, folder, "documents")
     hashed = (
         spread(docs.select("doc_id", "text"), "doc_id")
         .select("doc_id", F.explode(F.array_distinct(triples(F.col("text")))).alias("_t"))
         .select("doc_id", F.xxhash64("_t").alias("anchor"))
     )
-    met = hashed.join(small_side(anchors.select("item_id", "anchor")), "anchor").select("doc_id", "item_id")
-    truths = anchors.select("item_id", "truth")
-    texts = docs.select("doc_id", "source", F.col("text").alias("prediction"))
-    return salted_join(met, truths, ["item_id"], ["doc_id"]).join(texts, "doc_id")
+    met = hashed.join(small_side(anchors), "anchor").select("doc_id", "item_id")
+    short = items.where(~anchored & ~is_blank(F.col("text"))).select("item_id", "text")
+    blocks = -(-short.count() // SHORT_ITEMS)
+    if blocks:
+        block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")
+        packed = short.groupBy(block.alias("block")).agg(
+            F.collect_list(F.struct("item_id", F.lower(strip(F.col("text"))).alias("quote"))).alias("items")
+        )
+        beside = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(
+            F.broadcast(packed), "block"
+        )
+        quoted = F.filter("items", lambda i: F.contains(F.lower(F.col("text")), i["quote"]))
+        met = met.unionByName(beside.select("doc_id", F.explode(quoted.getField("item_id")).alias("item_id")))
+    truths = items.select("item_id", F.col("text").alias("truth"))
+    pairs = small_side(salted_join(met, truths, ["item_id"], ["doc_id"]))
+    return docs.select("doc_id", "source", F.col("text").alias("prediction")).join(pairs, "doc_id")
 
 
 def vector_pairs(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.operators import errors, rollup, samples, trials
+from tallymark.functions.text import contains_match
+from tallymark.operators import errors, rollup, trials
 from tallymark.operators.telemetry import window_summary
 from tallymark.plans.registry import nudged, rounded
 from tallymark.session import scratch_path
@@ -27,7 +28,6 @@ def test_running_totals_keep_null_keys(spark):
     assert sorted((r.k or "", r.o, r.row_number) for r in with_row_number(df, ["k"], ["o"]).collect()) == [
         ("", 1, 1), ("", 2, 2), ("a", 1, 1)
     ]
-    assert samples is not None
 
 
 def _trials(spark, rows):
@@ -110,3 +110,30 @@ def test_long_source_names_stay_whole(spark, tmp_path):
         str(tmp_path / "documents.parquet")
     )
     assert items(spark, str(tmp_path)).first().problem == 'Q1: "a-long-source"'
+
+
+def test_short_items_are_found(spark, tmp_path):
+    docs = [(1, "He said: Concatenate the two lists now.", "s"), (2, "nothing here", "s"), (3, None, "s"), (4, "x the two lists", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, "cat"), (2, "the two lists"), (3, "CONCATENATE the two lists now."), (4, " "), (5, "lists now"), (6, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    pairs = views.pairs_contains(spark, str(tmp_path)).where(contains_match(F.col("prediction"), F.col("truth")) == 1)
+    assert sorted((r.doc_id, r.item_id) for r in pairs.collect()) == [(1, 1), (1, 2), (1, 3), (1, 5), (4, 2)]
+
+
+def test_exact_match_shuffles_no_text(spark, data):
+    from tallymark.plans import QUERIES
+
+    plan = QUERIES["e1_exact_match"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "text" in line]
+    assert not moved
+
+
+def test_scratch_can_be_cleared(spark):
+    from tallymark.session import clear_scratch
+
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    clear_scratch(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
