@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallymark.functions.order_stats import order_statistics
-from tallymark.operators.joins import salted_join
+from tallymark.operators.joins import salted_join, small_side
 
 
 def assign_halves(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -20,14 +17,14 @@ def assign_halves(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     Only the order value at the middle rank is looked up, so no test is sorted.
     """
     middle = order_statistics(df, keys, order, {"_middle": 0.5}, method="index")
-    out = salted_join(df, middle, list(keys), [order])
+    out = salted_join(df, small_side(middle), list(keys), [order])
     return out.withColumn("variant", F.when(F.col(order) < F.col("_middle"), "a").otherwise("b")).drop("_middle")
 
 
 def assign_by_hash(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """Stable even split by a hash of the row id, with no shuffle at all."""
-    bit = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2))
-    return df.withColumn("variant", F.when(bit == 0, "a").otherwise("b"))
+    """Stable even split by a digest of the row id that any engine can compute, with no shuffle at all."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return df.withColumn("variant", F.when(digest < "8", "a").otherwise("b"))
 
 
 def variant_summary(df: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
@@ -60,47 +57,48 @@ def compare_variants(df: DataFrame, keys: Sequence[str], score: str = "score") -
     )
 
 
-def _beta_tail(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0.0 or x >= 1.0:
-        return min(max(x, 0.0), 1.0)
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - _beta_tail(b, a, 1.0 - x)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    ) / a
-    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    total = d
-    for m in range(1, 2000):
-        for step in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + step * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + step / c
-            c = c if abs(c) > tiny else tiny
-            total *= d * c
-        if abs(d * c - 1.0) < 1e-14:
-            break
-    return front * total
-
-
-def two_sided_p(t: float, dof: float) -> float:
-    return _beta_tail(dof / 2.0, 0.5, dof / (dof + t * t))
-
-
-@F.pandas_udf(T.DoubleType())
-def _p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if pd.isna(a) or pd.isna(b) or b <= 0 else two_sided_p(a, b) for a, b in zip(t, dof)], dtype="float64"
-    )
+def _log_gamma_step(z: Column) -> Column:
+    """Logarithm of gamma(z + 1/2) / gamma(z), by its series ten units further on."""
+    far = z + 10
+
+    def tail(v):
+        return 1 / (12 * v) - 1 / (360 * F.pow(v, F.lit(3))) + 1 / (1260 * F.pow(v, F.lit(5)))
+
+    step = far * F.log1p(0.5 / far) + F.log(far) / 2 - 0.5 + tail(far + 0.5) - tail(far)
+    for k in range(10):
+        step -= F.log1p(0.5 / (z + k))
+    return step
+
+
+def two_sided_p(t: Column, dof: Column) -> Column:
+    """Two-sided p value of Student's t, by the continued fraction of the incomplete beta function.
+
+    The fraction is summed from its far end, so its state is one number; how many
+    terms it needs grows with the root of the degrees of freedom.
+    """
+    half, x = dof / 2, dof / (dof + t * t)
+    swapped = x > (half + 1) / (half + 2.5)
+    p, q = F.when(swapped, 0.5).otherwise(half), F.when(swapped, half).otherwise(0.5)
+    y = F.when(swapped, t * t / (dof + t * t)).otherwise(x)
+
+    def inwards(inner, k):
+        m = F.floor(k / 2)
+        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        return 1 + F.when(k % 2 == 0, even).otherwise(odd) / inner
+
+    terms = (200 + 4 * F.ceil(F.sqrt(dof))).cast("int")
+    fraction = F.aggregate(F.sequence(terms, F.lit(1), F.lit(-1)), F.lit(1.0), inwards)
+    # log of 1 / (p B(p, q)), with gamma(1/2) the root of pi
+    front = _log_gamma_step(half) - F.log(F.pi()) / 2 - F.log(p)
+    tail = F.exp(front + p * F.log(y) + q * F.log1p(-y)) / fraction
+    tail = F.when(y <= 0, 0.0).otherwise(tail)
+    return F.when(dof > 0, F.when(swapped, 1 - tail).otherwise(tail))
 
 
 def with_confidence(compared: DataFrame) -> DataFrame:
     """Confidence in percent, at most 99.9; 50 where the test is undefined."""
-    p = _p_value(F.col("t"), F.col("dof").cast("double"))
+    p = two_sided_p(F.col("t"), F.col("dof").cast("double"))
     return compared.withColumn("p_value", p).withColumn(
         "confidence",
         F.when(F.col("p_value").isNull() | F.isnan("p_value"), 50.0).otherwise(

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.session import ensure_checkpoint_dir
 
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 HOT_MIN_ROWS = 1_000_000
 HOT_MAX_KEYS = 1_024
 SALTS = 64
@@ -26,21 +28,35 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Write ``df`` once, measure it, and mark it for broadcast if it is small.
 
-    Beyond ``max_rows`` the written table is returned unmarked, so the join
-    that follows is an ordinary shuffle join.
+    Beyond ``max_rows`` or ``max_bytes`` the written table is returned unmarked,
+    so the join that follows is an ordinary shuffle join.
     """
-    return measured_side(df, F.lit(0), max_rows)[0]
+    return measured_side(df, F.lit(0), max_rows, max_bytes)[0]
 
 
-def measured_side(df: DataFrame, measure: Column, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, object]:
+def measured_side(
+    df: DataFrame, measure: Column, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
+) -> tuple[DataFrame, object]:
     """``small_side`` and the largest value of a column, read in the same action."""
     ensure_checkpoint_dir(df.sparkSession)
     stored = df.checkpoint()
-    size, largest = stored.agg(F.count(F.lit(1)), F.max(measure)).first()
-    return (F.broadcast(stored) if size <= max_rows else stored), largest
+    size, n_bytes, largest = stored.agg(F.count(F.lit(1)), F.sum(_row_bytes(df)), F.max(measure)).first()
+    return (F.broadcast(stored) if size <= max_rows and (n_bytes or 0) <= max_bytes else stored), largest
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About what a row takes: 16 bytes a column, and what texts and nested values hold."""
+    held = F.lit(16 * len(df.columns)).cast("long")
+    for field in df.schema:
+        kind, value = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            held += F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            held += F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0))
+    return held
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -93,13 +93,8 @@ VIEWS = {
         FROM (SELECT conv_id, turn, role, text AS prediction, lag(role) OVER w AS asked_by, lag(text) OVER w AS question
               FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
         WHERE role = 'assistant' AND asked_by = 'user'""",
-    "pairs_similar": """
-        SELECT doc_id, ref_id, lang, text AS prediction, truth
-        FROM (SELECT doc_id, lang, text, first_value(doc_id) OVER w AS ref_id, first_value(text) OVER w AS truth
-              FROM documents WINDOW w AS (PARTITION BY lang, substring(text, 1, 40) ORDER BY doc_id))
-        WHERE doc_id > ref_id""",
     "pairs_by_line": f"""
-        SELECT d.doc_id, d.ref_id, a.text AS prediction, b.text AS truth
+        SELECT d.doc_id, d.ref_id, a.lang, a.text AS prediction, b.text AS truth
         FROM (SELECT doc_id, min(ref_id) AS ref_id
               FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, line) AS ref_id
                     FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents)

@@ -257,7 +257,7 @@ def e3(spark, d):
 @query(
     "e3_similarity_bound",
     """SELECT doc_id, ref_id, round(2 * least(length(prediction), length(truth)) / (length(prediction) + length(truth)), 6)
-                  AS bound FROM pairs_similar""",
+                  AS bound FROM pairs_by_line""",
 )
 def e3_bound(spark, d):
     pairs = views.pairs_similar(spark, d)

@@ -402,7 +402,10 @@ def b1(spark, d):
     return halves(spark, d).select("dataset", "request_id", "variant")
 
 
-@query("b1_assign_by_hash")
+@query(
+    "b1_assign_by_hash",
+    "SELECT request_id, CASE WHEN md5('0:' || request_id::VARCHAR) < '8' THEN 'a' ELSE 'b' END AS variant FROM scored",
+)
 def b1_hash(spark, d):
     return abtest.assign_by_hash(scored(spark, d), "request_id").select("request_id", "variant")
 
@@ -442,7 +445,33 @@ def b4(spark, d):
     return rounded(abtest.compare_variants(halves(spark, d), ["dataset"]).select("dataset", "dof", "t"))
 
 
-@query("b4_confidence")
+# The same fraction, with the gamma function of the engine.
+_EVEN = "(floor(k / 2)) * (q - floor(k / 2)) * y / ((p + 2 * (floor(k / 2)) - 1) * (p + 2 * (floor(k / 2))))"
+_ODD = "-(p + floor(k / 2)) * (p + q + floor(k / 2)) * y / ((p + 2 * (floor(k / 2))) * (p + 2 * (floor(k / 2)) + 1))"
+P_VALUE = f"""
+    SELECT *, CASE WHEN swapped THEN 1 - tail ELSE tail END AS p_value
+    FROM (SELECT *, CASE WHEN y <= 0 THEN 0
+                         ELSE exp(lgamma(p + q) - lgamma(p) - lgamma(q) - ln(p) + p * ln(y) + q * ln(1 - y))
+                              / list_reduce(
+                                    list_prepend(1.0::DOUBLE, list_transform(range(200 + 4 * ceil(sqrt(dof))::INT, 0, -1), lambda k: k::DOUBLE)),
+                                    lambda below, k: 1 + CASE WHEN k % 2 = 0 THEN {_EVEN} ELSE {_ODD} END / below) END AS tail
+          FROM (SELECT *, CASE WHEN swapped THEN 0.5::DOUBLE ELSE dof / 2 END AS p,
+                       CASE WHEN swapped THEN dof / 2 ELSE 0.5::DOUBLE END AS q,
+                       CASE WHEN swapped THEN t * t / (dof + t * t) ELSE x END AS y
+                FROM (SELECT *, x > (dof / 2 + 1) / (dof / 2 + 2.5) AS swapped
+                      FROM (SELECT *, dof / (dof + t * t) AS x
+                            FROM (SELECT dataset, ma, mb, na + nb - 2 AS dof,
+                                         (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)) AS t
+                                  FROM {MOMENTS})))))"""
+
+
+@query(
+    "b4_confidence",
+    f"""SELECT dataset, round(t, 6) AS t, dof, round(p_value, 6) AS p_value,
+               round(coalesce(least((1 - p_value) * 100, 99.9), 50), 6) AS confidence,
+               CASE WHEN ma > mb THEN 'a' ELSE 'b' END AS winner
+        FROM ({P_VALUE})""",
+)
 def b4_confidence(spark, d):
     out = abtest.with_confidence(abtest.compare_variants(halves(spark, d), ["dataset"]))
     return rounded(out.select("dataset", "t", "dof", "p_value", "confidence", "winner"))

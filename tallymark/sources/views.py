@@ -208,29 +208,18 @@ def chat_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pairs_similar(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document against the first one that opens with the same 40 characters.
+    """The pairs of ``pairs_by_line`` with both whole texts.
 
-    One pair per document, never all pairs of a group.  The pairing works on
-    ids and openings; whole texts are only moved for documents that have a
-    pair, and a much-copied first document is split by document id.
+    Pairs are found on ids and line hashes.  Texts are then read again beside the
+    ids of the pairs, so a text moves only if it has a pair, and a document that
+    very many others meet is split by document id.
     """
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    opened = docs.select("doc_id", "lang", F.substring("text", 1, 40).alias("opening"))
-    first = (
-        opened.groupBy("lang", "opening")
-        .agg(F.min("doc_id").alias("ref_id"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
-        .drop("n")
-    )
-    pairs = salted_join(opened, first, ["lang", "opening"], ["doc_id"]).where(F.col("doc_id") > F.col("ref_id"))
-    texts = docs.select("doc_id", F.col("text").alias("prediction"))
-    truths = docs.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("truth"))
-    truths = truths.join(first.select("ref_id"), "ref_id", "left_semi")
-    with_truth = salted_join(pairs.select("doc_id", "ref_id", "lang"), truths, ["ref_id"], ["doc_id"])
-    # the partitioning this join needs anyway, by number so that a small result
-    # still feeds every core with the costly comparisons that follow
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    paired = with_truth.repartition(n, "doc_id").join(texts, "doc_id")
+    pairs = small_side(pairs_by_line(spark, folder))
+    docs = table(spark, folder, "documents")
+    refs = small_side(pairs.select("ref_id").distinct())
+    texts = spread(docs.select("doc_id", "lang", F.col("text").alias("prediction")), "doc_id").join(pairs, "doc_id")
+    truths = docs.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("truth")).join(refs, "ref_id", "left_semi")
+    paired = salted_join(texts, truths, ["ref_id"], ["doc_id"])
     return paired.select("doc_id", "ref_id", "lang", "prediction", "truth")
 
 
@@ -309,7 +298,7 @@ def vector_pairs(spark: SparkSession, folder: str) -> DataFrame:
     refs = vectors.join(first, ["label", "vec_id"]).select(
         "label", F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref")
     )
-    return salted_join(vectors, refs, ["label"], ["vec_id"])
+    return salted_join(vectors, small_side(refs), ["label"], ["vec_id"])
 
 
 def math_answers(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Files, retention, trial rules and streams beyond what the queries cover."""
 
 import json
+import math
 
 import pandas as pd
 import pytest
@@ -122,8 +123,24 @@ def test_advice(spark):
 
 
 @pytest.mark.parametrize("t, dof, p", [(2.0, 10, 0.07338803), (0.0, 5, 1.0), (1.96, 1e6, 0.04999575), (12.706205, 1, 0.05)])
-def test_two_sided_p(t, dof, p):
-    assert abtest.two_sided_p(t, dof) == pytest.approx(p, rel=1e-5)
+def test_two_sided_p(spark, t, dof, p):
+    row = spark.createDataFrame([(t, float(dof))], "t double, dof double")
+    assert row.select(abtest.two_sided_p(F.col("t"), F.col("dof"))).first()[0] == pytest.approx(p, rel=1e-5)
+
+
+def test_two_sided_p_agrees_with_closed_forms(spark):
+    """One and two degrees have closed forms; very many are the normal distribution."""
+    rows = [(t, dof) for t in (-40.0, -1.5, 0.0, 1e-6, 0.3, 2.0, 9.0) for dof in (1.0, 2.0, 1e9)]
+    df = spark.createDataFrame(rows, "t double, dof double")
+    for r in df.withColumn("p", abtest.two_sided_p(F.col("t"), F.col("dof"))).collect():
+        want = {
+            1.0: 1 - 2 * math.atan(abs(r.t)) / math.pi,
+            2.0: 1 - abs(r.t) / math.sqrt(2 + r.t**2),
+            1e9: math.erfc(abs(r.t) / math.sqrt(2)),
+        }[r.dof]
+        assert r.p == pytest.approx(want, abs=1e-8)
+    nothing = spark.createDataFrame([(None, None), (1.0, 0.0)], "t double, dof double")
+    assert {r[0] for r in nothing.select(abtest.two_sided_p(F.col("t"), F.col("dof"))).collect()} == {None}
 
 
 def test_error_rules(spark):
