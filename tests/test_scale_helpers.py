@@ -10,6 +10,7 @@ from tallymark.functions.order_stats import order_statistics
 from tallymark.functions.running_median import with_median_before
 from tallymark.functions.sequence import with_row_number, with_running
 from tallymark.operators.joins import hot_keys, salted_join, small_side
+from tallymark.sources import views
 
 
 def lopsided(n=3000, seed=5):
@@ -117,3 +118,24 @@ def test_small_side_marks_only_what_is_small(spark):
 
     assert "strategy=broadcast" in joined(100)
     assert "strategy=broadcast" not in joined(10)
+
+
+def test_small_side_is_bounded_in_rows_and_bytes(spark):
+    rows = spark.createDataFrame([(i, "x" * 100, ["y" * 100]) for i in range(10)], "id long, text string, held array<string>")
+
+    def marked(**bounds):
+        plan = small_side(rows, **bounds)._jdf.queryExecution().analyzed().toString()
+        return "ResolvedHint" in plan
+
+    assert marked()
+    assert not marked(max_rows=9)
+    assert not marked(max_bytes=2_000)
+    assert small_side(rows, max_bytes=2_000).count() == 10
+
+
+def test_similar_pairs_need_no_common_opening(spark, tmp_path):
+    texts = [(1, "Opening one.\nthe same second line\nend", "en"), (2, "Another start!\nthe same second line\nend", "en"),
+             (3, "the same second line", "de"), (4, None, "en"), (5, "", "en"), (6, "alone", "en")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in views.pairs_similar(spark, str(tmp_path)).collect()]
+    assert got == [(2, 1, "en", texts[1][1], texts[0][1])]
