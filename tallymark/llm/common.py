@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tallymark.session import scratch_path
 
@@ -45,6 +46,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_all_columns(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType
+) -> DataFrame:
+    """``mapInArrow`` over all columns, whatever their names; Spark's own looks names with dots up as fields."""
+    names = df.columns
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batch.rename_columns(names) for batch in batches):
+            yield batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
+
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
     """The batch's texts one by one; null is the empty text."""
     for value in batch.column(name):

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import column, fresh, raw_texts, written
+from tallymark.llm.common import column, fresh, map_all_columns, raw_texts, written
 
 WINDOW = 3
 
@@ -118,4 +118,4 @@ def dedup(documents: DataFrame, size: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*keep, "removed", "n_lines"])
 
     schema = left.withColumn("removed", F.lit(None).cast("array<int>")).withColumn("n_lines", F.lit(0)).schema
-    return joined.select(*[column(c) for c in keep], column(spans)).mapInArrow(run, schema)
+    return map_all_columns(joined.select(*[column(c) for c in keep], column(spans)), run, schema)

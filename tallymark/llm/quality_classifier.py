@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import raw_texts
+from tallymark.llm.common import map_all_columns, raw_texts
 from tallymark.llm.features import mean_weights
 from tallymark.llm.labelled import fold, sample
 
@@ -109,4 +109,4 @@ def keep_good(documents: DataFrame, model: Model, threshold: float = THRESHOLD)
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(list(raw_texts(batch))) >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_all_columns(documents, run, documents.schema)

@@ -52,15 +52,17 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """``doc_id, print`` (a signed 64-bit number) of every document, next to the scan."""
+    """``doc_id, body`` (hash of the text), ``print`` (a signed 64-bit number) of every document, next to the scan."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in raw_texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "print"])
+            columns = [batch.column("doc_id"), batch.column("body"), pa.array(found)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "print"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, print long")
+    hashed = documents.select("doc_id", F.xxhash64("text").alias("body"), "text")
+    return hashed.mapInArrow(run, f"doc_id {kind}, body long, print long")
 
 
 def grow(prints: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,6 +196,19 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_no
     return ready.mapInArrow(run, "a long, b long").distinct()
 
 
+def _named(documents: DataFrame, radius: int, blocks: int, tree_nodes: int) -> DataFrame:
+    """``doc_id, body, print, component`` (its least fingerprint), ``component_id`` of every document."""
+    seen = written(fingerprints(documents), "prints")
+    nodes = written(seen.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
+    found = written(links(nodes.select("print"), radius, blocks, tree_nodes), "links")
+    labels = components(found)
+    grouped = nodes.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn(
+        "component", F.coalesce("component", "print")
+    )
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    return seen.join(grouped.select("print", "component").join(least, "component"), "print")
+
+
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_nodes: int = TREE_NODES) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document.
 
@@ -203,29 +218,24 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, blocks: int = BL
     ``doc_id`` is never the least unless the whole component has no other;
     repeated rows are returned each; other columns are not read.
     """
-    seen = written(fingerprints(documents), "prints")
-    nodes = written(seen.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
-    found = written(links(nodes.select("print"), radius, blocks, tree_nodes), "links")
-    labels = components(found)
-    grouped = nodes.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn(
-        "component", F.coalesce("component", "print")
-    )
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.select("print", "component").join(least, "component").select("print", "component_id")
-    return seen.join(named, "print").select(
+    return _named(documents, radius, blocks, tree_nodes).select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def one_of_each(documents: DataFrame, **options: int) -> DataFrame:
+def one_of_each(
+    documents: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_nodes: int = TREE_NODES
+) -> DataFrame:
     """The document with the least id of every group, all its columns as they are.
 
-    Repeated rows of that id stay one row.  Rows without an id cannot be named as
-    another's copy and stay.
+    Of a group's rows that share the least id, those of one text (the one with the
+    least hash) stay, as one row; rows that share an id but not a group are documents
+    of their own.  Rows without an id cannot be named as another's copy and stay.
     """
-    found = near_duplicates(documents, **options)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    mark = fresh(documents, "_kept")
-    named = documents.where(F.col("doc_id").isNotNull()).join(keep.withColumn(mark, F.lit(True)), "doc_id", "left_semi")
-    rest = documents.where(F.col("doc_id").isNull())
-    return named.dropDuplicates(["doc_id"]).unionByName(rest).select(*[column(c) for c in documents.columns])
+    named = _named(documents, radius, blocks, tree_nodes).where(F.col("doc_id") == F.col("component_id"))
+    mark, body = fresh(documents, "_doc"), fresh(documents, "_body")
+    keep = named.groupBy("component", "doc_id").agg(F.min("body").alias(body)).select(F.col("doc_id").alias(mark), body).distinct()
+    own = documents.where(F.col("doc_id").isNotNull()).withColumn(body, F.xxhash64("text")).withColumn(mark, F.col("doc_id"))
+    kept = own.join(keep, [mark, body], "left_semi").dropDuplicates([mark, body])
+    columns = [column(c) for c in documents.columns]
+    return kept.select(*columns).unionByName(documents.where(F.col("doc_id").isNull()).select(*columns))

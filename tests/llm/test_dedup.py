@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tallymark.llm import line_dedup, simhash
+from tallymark.llm import line_dedup, quality_classifier, simhash
 from tallymark.llm.components import components
 
 
@@ -113,6 +113,24 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r[0] or -1, r[2]) for r in out.collect()) == [(-1, 4), (-1, 5), (3, 2), (9, 3)]
 
 
+def test_rows_that_share_an_id_but_no_group_are_documents_of_their_own(spark):
+    rows = [(1, "a b c d e f", 1), (1, "q w e r t y u", 2), (1, "q w e r t y u", 2), (2, "A b c d e f", 3), (3, None, 4), (3, "", 5)]
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _body int")).collect()
+    assert sorted((r.doc_id, r._body) for r in out if r.doc_id < 3) == [(1, 1), (1, 2)]
+    # null and empty texts are one group; of its two texts one stays
+    assert len([r for r in out if r.doc_id == 3]) == 1
+
+
+def test_columns_with_dots_pass_through(spark):
+    documents = spark.createDataFrame([(1, "p\nq\nr", 7), (2, "p\nq\nr\ns", 8)], "doc_id long, text string, `odd.name` int")
+    out = line_dedup.dedup(documents)
+    assert out.columns == ["doc_id", "text", "odd.name", "removed", "n_lines"]
+    assert sorted(tuple(r)[:4] for r in out.collect()) == [(1, "p\nq\nr", 7, []), (2, "s", 8, [0, 1, 2])]
+    everything = quality_classifier.Model(np.zeros(1 << quality_classifier.BITS, np.float32), 1.0)
+    kept = quality_classifier.keep_good(documents, everything)
+    assert kept.columns == documents.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, documents.collect()))
+
+
 def test_empty_documents_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
