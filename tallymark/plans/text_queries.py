@@ -250,7 +250,7 @@ def e2(spark, d):
 @query("e3_sequence_similarity")
 def e3(spark, d):
     p, t = F.col("prediction"), F.col("truth")
-    out = views.pairs_similar(spark, d).select("doc_id", "ref_id", scoring.similarity(p, t, True).alias("score"))
+    out = views.pairs_similar(spark, d, every=True).select("doc_id", "ref_id", scoring.similarity(p, t, True).alias("score"))
     return rounded(out.withColumn("correct", F.col("score") > 0.8))
 
 
@@ -268,7 +268,7 @@ def e3_bound(spark, d):
 
 @query("e3_similar_enough")
 def e3_correct(spark, d):
-    pairs = views.pairs_similar(spark, d)
+    pairs = views.pairs_similar(spark, d, every=True)
     return pairs.select("doc_id", "ref_id", scoring.similar_enough(F.col("prediction"), F.col("truth")).alias("correct"))
 
 
@@ -493,8 +493,8 @@ def routed(spark, d, native_only=False):
     )
     if native_only:
         return math.unionByName(prose)
-    similar = views.pairs_similar(spark, d).select(
-        F.concat_ws("-", F.lit("doc"), "doc_id").alias("request_id"), "prediction", "truth",
+    similar = views.pairs_similar(spark, d, every=True).select(
+        F.concat_ws("-", F.lit("doc"), "doc_id", "ref_id").alias("request_id"), "prediction", "truth",
         F.when(F.col("doc_id") % 3 == 0, "performance").when(F.col("doc_id") % 3 == 1, "basic").otherwise("nonesuch")
         .alias("evaluator"),
     )
@@ -504,7 +504,7 @@ def routed(spark, d, native_only=False):
 @query("e17_performance_composite")
 def e17(spark, d):
     """Similarity blended with the speed of the request of the same id."""
-    pairs = views.pairs_similar(spark, d).withColumn("evaluator", F.lit("performance"))
+    pairs = views.pairs_similar(spark, d, every=True).withColumn("evaluator", F.lit("performance"))
     stats = views.responses(spark, d).select(
         F.col("request_id").alias("doc_id"), "tokens_per_second", "memory_usage_mb"
     )

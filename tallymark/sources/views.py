@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import lexicons as lx
@@ -207,14 +207,14 @@ def chat_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return asked.join(answered, ["conv_id", "turn"])
 
 
-def pairs_similar(spark: SparkSession, folder: str) -> DataFrame:
-    """The pairs of ``pairs_by_line`` with both whole texts.
+def pairs_similar(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
+    """The pairs of ``pairs_by_line``, or with ``every`` those of ``partners``, with both whole texts.
 
     Pairs are found on ids and line hashes.  Texts are then read again beside the
     ids of the pairs, so a text moves only if it has a pair, and a document that
     very many others meet is split by document id.
     """
-    pairs = small_side(pairs_by_line(spark, folder))
+    pairs = small_side((partners if every else pairs_by_line)(spark, folder))
     docs = table(spark, folder, "documents")
     refs = small_side(pairs.select("ref_id").distinct())
     texts = spread(docs.select("doc_id", "lang", F.col("text").alias("prediction")), "doc_id").join(pairs, "doc_id")
@@ -223,19 +223,45 @@ def pairs_similar(spark: SparkSession, folder: str) -> DataFrame:
     return paired.select("doc_id", "ref_id", "lang", "prediction", "truth")
 
 
-def pairs_by_line(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document against the first one of its language that it shares a whole line with.
+def _line_partners(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, ref_id``: each document and the first one of its language that has one of its lines, per line.
 
-    One pair per document.  Only ids and line hashes move, and a line that very
-    many documents hold is split by document id.
+    Only ids and line hashes move, and a line that very many documents hold is
+    split by document id.
     """
     docs = table(spark, folder, "documents")
     lines = docs.select("doc_id", "lang", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     lines = lines.where(~is_blank(F.col("line"))).select("doc_id", "lang", F.xxhash64("line").alias("line"))
-    first = lines.groupBy("lang", "line").agg(F.min("doc_id").alias("ref_id"), F.max("doc_id").alias("_last"))
+    return _after_first(lines, ["lang", "line"])
+
+
+def _after_first(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``doc_id, ref_id``: each row's document and the first one with its keys, where that is another."""
+    first = rows.groupBy(*keys).agg(F.min("doc_id").alias("ref_id"), F.max("doc_id").alias("_last"))
     first = first.where(F.col("_last") > F.col("ref_id")).drop("_last")
-    met = salted_join(lines, first, ["lang", "line"], ["doc_id"]).where(F.col("doc_id") > F.col("ref_id"))
-    return met.groupBy("doc_id").agg(F.min("ref_id").alias("ref_id"))
+    met = salted_join(rows, first, keys, ["doc_id"]).where(F.col("doc_id") > F.col("ref_id"))
+    return met.select("doc_id", "ref_id")
+
+
+def pairs_by_line(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document against the first one of its language that it shares a whole line with; one pair per document."""
+    return _line_partners(spark, folder).groupBy("doc_id").agg(F.min("ref_id").alias("ref_id"))
+
+
+def partners(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document against the first one of its language with each of its lines, and the first with its whole text.
+
+    Whole texts are compared stripped and in lower case, by digests.  At most one
+    pair per line and one per document; a pair that several lines give is one.
+    """
+    langs = table(spark, folder, "documents").select("doc_id", "lang", _digest().alias("digest"))
+    copies = _after_first(langs.where(F.col("digest") != ""), ["lang", "digest"])
+    return _line_partners(spark, folder).unionByName(copies).distinct()
+
+
+def _digest() -> Column:
+    text = F.lower(strip(F.col("text")))
+    return F.when(text == "", F.lit("")).otherwise(F.sha2(text.cast("binary"), 256))
 
 
 def text_digests(spark: SparkSession, folder: str) -> DataFrame:
@@ -243,9 +269,7 @@ def text_digests(spark: SparkSession, folder: str) -> DataFrame:
 
     Two digests are equal exactly if the texts are, so texts need not move to be compared.
     """
-    text = F.lower(strip(F.col("text")))
-    digest = F.when(text == "", F.lit("")).otherwise(F.sha2(text.cast("binary"), 256))
-    return table(spark, folder, "documents").select("doc_id", digest.alias("digest"))
+    return table(spark, folder, "documents").select("doc_id", _digest().alias("digest"))
 
 
 SHORT_ITEMS = 4_096

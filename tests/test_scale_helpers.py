@@ -139,3 +139,16 @@ def test_similar_pairs_need_no_common_opening(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got = [tuple(r) for r in views.pairs_similar(spark, str(tmp_path)).collect()]
     assert got == [(2, 1, "en", texts[1][1], texts[0][1])]
+
+
+def test_a_shared_line_hides_no_copy(spark, tmp_path):
+    from tallymark.plans import QUERIES
+
+    licence = "Licensed to all who read it"
+    texts = [(1, f"first\n{licence}", "en"), (2, f"true text\nmore of it\n{licence}", "en"), (3, f"True text\nmore of it\n{licence}", "en"),
+             (4, "  ALL in other case\nhere ", "en"), (5, "all in OTHER case\nHERE", "en"), (6, "ALL in other case\nhere", "de"), (7, None, "en")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = sorted((r.doc_id, r.ref_id) for r in views.partners(spark, str(tmp_path)).collect())
+    assert pairs == [(2, 1), (3, 1), (3, 2), (5, 4)]
+    scores = {(r.doc_id, r.ref_id): r.score for r in QUERIES["e3_sequence_similarity"](spark, str(tmp_path)).collect()}
+    assert sorted(scores) == pairs and scores[3, 2] == 1.0 and scores[3, 1] < 0.8
