@@ -9,18 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, line_dedup, mixing, near_copies, quality_classifier
+from tallymark.llm import bpe, line_dedup, mixing, quality_classifier, simhash
 from tallymark.llm.common import column, table, written
 from tallymark.llm.queries import BYTE_BPE
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts get the score of the model's bias and stay or go together;
+    repeated rows are judged alike; without labels every document stays.
+    """
     return quality_classifier.keep_good(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat earlier ones; what has none left goes."""
+    """Documents without the lines that repeat earlier ones; what has none left goes.
+
+    A null text and one that never had a word stay as they are; ``n_chars``, where
+    there is such a column, follows the cut.
+    """
     cut = line_dedup.dedup(docs)
     left = cut.where((F.size("removed") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
     length = F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -29,17 +37,23 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return near_copies.one_of_each(docs)
+    """One document of each group that SimHash links: three-word shingles, three differing bits.
+
+    Null and empty texts are one group; a row without an id ranks last in its own.
+    """
+    return simhash.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target weight asks for, in hashed order."""
+    """Documents as often as their source's target weight asks for, in hashed order.
+
+    A null source is a source; a document whose draw is zero goes, as the method has it.
+    """
     return mixing.mix(docs).select(*[column(c) for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of ids and decoded text."""
+    """Number of token ids of every document, and digests of ids and decoded text; null is the empty text."""
     ids = bpe.round_trip(docs, BYTE_BPE)
     return bpe.digests(ids)
 
