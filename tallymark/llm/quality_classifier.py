@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import map_all_columns, raw_texts
+from tallymark.llm.common import column, raw_texts
 from tallymark.llm.features import mean_weights
 from tallymark.llm.labelled import fold, sample
 
@@ -102,11 +102,17 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
 
 def keep_good(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the model does not reject, all their columns as they are."""
+    """The documents that the model does not reject, all their columns as they are.
+
+    Only texts go to Python and only scores come back; rows are filtered where they are.
+    Null and empty texts have the score of the bias; repeated rows are judged each.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.scores(list(raw_texts(batch))) >= threshold))
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            raw = [value.as_py() or b"" for value in part.cast(pa.binary())]
+            yield pa.array(shared.value.scores(raw))
 
-    return map_all_columns(documents, run, documents.schema)
+    return documents.where(scores(column("text")) >= threshold)

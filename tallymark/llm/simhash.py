@@ -226,16 +226,20 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, blocks: int = BL
 def one_of_each(
     documents: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_nodes: int = TREE_NODES
 ) -> DataFrame:
-    """The document with the least id of every group, all its columns as they are.
+    """One document of every group, the one with the least id, all its columns as they are.
 
-    Of a group's rows that share the least id, those of one text (the one with the
-    least hash) stay, as one row; rows that share an id but not a group are documents
-    of their own.  Rows without an id cannot be named as another's copy and stay.
+    Rows without an id are copies like any others and rank last in their group; of
+    a group's rows that share the least id, those of one text (the one with the
+    least hash) stay, as one row.  Rows that share an id but no group are documents
+    of their own.  Null and empty texts are one group.  Input columns may have any
+    name; an empty table stays empty.
     """
-    named = _named(documents, radius, blocks, tree_nodes).where(F.col("doc_id") == F.col("component_id"))
+    named = _named(documents, radius, blocks, tree_nodes)
     mark, body = fresh(documents, "_doc"), fresh(documents, "_body")
-    keep = named.groupBy("component", "doc_id").agg(F.min("body").alias(body)).select(F.col("doc_id").alias(mark), body).distinct()
-    own = documents.where(F.col("doc_id").isNotNull()).withColumn(body, F.xxhash64("text")).withColumn(mark, F.col("doc_id"))
-    kept = own.join(keep, [mark, body], "left_semi").dropDuplicates([mark, body])
-    columns = [column(c) for c in documents.columns]
-    return kept.select(*columns).unionByName(documents.where(F.col("doc_id").isNull()).select(*columns))
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "body")).alias("first"))
+    keep = first.select(F.col("first.doc_id").alias(mark), F.col("first.body").alias(body)).distinct()
+    own = documents.withColumn(body, F.xxhash64(column("text"))).withColumn(mark, column("doc_id"))
+    told = keep.select(F.col(mark).alias("_kept_doc"), F.col(body).alias("_kept_body"))
+    same = F.col(mark).eqNullSafe(told["_kept_doc"]) & (F.col(body) == told["_kept_body"])
+    kept = own.join(told, same, "left_semi").dropDuplicates([mark, body])
+    return kept.select(*[column(c) for c in documents.columns])

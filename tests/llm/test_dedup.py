@@ -110,7 +110,7 @@ def test_one_of_each_group_stays(spark):
     rows = [(5, "a b c d e f", 1), (3, "A b c d e f", 2), (3, "A b c d e f", 2), (9, "q w e r t y u", 3), (None, "a b c d e f", 4), (None, None, 5)]
     out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, `odd.name` int"))
     assert out.columns == ["doc_id", "text", "odd.name"]
-    assert sorted((r[0] or -1, r[2]) for r in out.collect()) == [(-1, 4), (-1, 5), (3, 2), (9, 3)]
+    assert sorted((r[0] or -1, r[2]) for r in out.collect()) == [(-1, 5), (3, 2), (9, 3)]
 
 
 def test_rows_that_share_an_id_but_no_group_are_documents_of_their_own(spark):
@@ -121,6 +121,12 @@ def test_rows_that_share_an_id_but_no_group_are_documents_of_their_own(spark):
     assert len([r for r in out if r.doc_id == 3]) == 1
 
 
+def test_rows_without_an_id_are_copies_like_others(spark):
+    rows = [(None, "a b c d e f", 1), (5, "A b c d e f", 2), (None, "p q r s t", 3), (None, "p q r s t", 3), (None, None, 4), (None, "", 4)]
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _kept_id int")).collect()
+    assert sorted((r.doc_id or 0, r._kept_id) for r in out) == [(0, 3), (0, 4), (5, 2)]
+
+
 def test_columns_with_dots_pass_through(spark):
     documents = spark.createDataFrame([(1, "p\nq\nr", 7), (2, "p\nq\nr\ns", 8)], "doc_id long, text string, `odd.name` int")
     out = line_dedup.dedup(documents)
