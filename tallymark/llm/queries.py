@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm import (
-    bpe, chat, line_dedup, mixing, quality_classifier, quality_rules, simhash, token_counts, topk, url_filter,
+    bpe, chat, divergence, jaccard, line_dedup, mixing, quality_classifier, quality_rules, simhash, structure, token_counts, topk, url_filter,
 )
 from tallymark.llm.common import table
 
@@ -180,11 +180,144 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
 """
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11 = r"""
+WITH given AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), words AS (
+  SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM given
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 3
+), cells AS (
+  SELECT w.lang, source, w.term, count(*) AS n FROM words AS w JOIN kept USING (lang, term) GROUP BY w.lang, source, w.term
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), groups AS (
+  SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM given) AS g
+  LEFT JOIN cells AS c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (g.total + l.v)::HUGEINT AS HUGEINT) AS p,
+    CAST(1 + (1000000000 * (k.n + 1)::HUGEINT) // (l.total + l.v)::HUGEINT AS HUGEINT) AS q
+  FROM groups AS g JOIN langs AS l ON l.lang = g.lang JOIN kept AS k ON k.lang = g.lang
+  LEFT JOIN cells AS c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares AS a JOIN shares AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs AS p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every
+) WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return structure.audit(structure.damaged(given), given)
+
+
+def _structure_sql() -> str:
+    """The same repair as a forward recursion over rows: per state the least (cost, edits, rows so far)."""
+
+    def paid(state: str, cost: str, letter: str, said: str = "''") -> str:
+        return f"struct_pack(cost := {state}.cost + {cost}, audit := {state}.audit || '{letter}', said := {state}.said || {said})"
+
+    def least(*choices: str) -> str:
+        return f"list_sort([{', '.join(choices)}])[1]"
+
+    def keep(state: str, initial: str) -> str:
+        rest = paid(state, "short", "K", "role || ':' || text || chr(10)")
+        return f"CASE WHEN initial = '{initial}' AND NOT gone THEN {rest} ELSE never END"
+
+    def rerole(state: str, role: str) -> str:
+        rest = paid(state, "(2 + short)", "R", f"'{role}:' || text || chr(10)")
+        return f"CASE WHEN NOT gone THEN {rest} ELSE never END"
+
+    def delete(state: str) -> str:
+        return paid(state, "3", "D")
+
+    def insert(state: str, role: str) -> str:
+        return paid(state, "2", "I", f"'{role}:' || chr(10)")
+
+    user = [keep(s, "u") for s in ("s0", "s1", "s3")] + [rerole(s, "user") for s in ("s0", "s1", "s3")]
+    return f"""
+WITH RECURSIVE bits AS (
+  SELECT list(v ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+    FROM range(256) AS r(n))
+), given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), diced AS (
+  SELECT given.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS dice FROM given, bits
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN dice = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN dice = 1 THEN '' WHEN dice = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN dice = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM diced WHERE dice <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS n,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, left(role, 1) AS initial FROM damaged
+), twins AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS twin,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM placed
+), faults AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND twin > 1 AS duplicate, bare = '' OR twin > 1 AS gone,
+    CAST(bare <> '' AND twin = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS INTEGER) AS short FROM twins
+), figures AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(CAST(blank AS INTEGER)) AS blank,
+    sum(CAST(duplicate AS INTEGER)) AS duplicate, sum(short) AS truncated,
+    sum(CASE WHEN n > 1 AND coalesce(before, '') || initial NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END) AS illegal
+  FROM faults GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, struct_pack(cost := 0, audit := '', said := '') AS s0,
+    struct_pack(cost := 1000000, audit := '', said := '') AS s1,
+    struct_pack(cost := 2, audit := 'I', said := 'user:' || chr(10)) AS s2,
+    struct_pack(cost := 4, audit := 'II', said := 'user:' || chr(10) || 'assistant:' || chr(10)) AS s3 FROM figures
+  UNION ALL
+  SELECT conv_id, n, t0 AS s0, t1 AS s1, u2 AS s2, {least("t3", insert("u2", "assistant"))} AS s3 FROM (
+    SELECT *, {least("t2", *[insert(t, "user") for t in ("t0", "t1", "t3")])} AS u2 FROM (
+      SELECT *, {delete("s0")} AS t0, {least(delete("s1"), keep("s0", "s"))} AS t1, {least(delete("s2"), *user)} AS t2,
+        {least(delete("s3"), keep("s2", "a"), rerole("s2", "assistant"))} AS t3
+      FROM (SELECT w.conv_id, f.n, s0, s1, s2, s3, f.role, f.text, f.initial, f.gone, f.short,
+              struct_pack(cost := 1000000, audit := '', said := '') AS never
+            FROM walk AS w JOIN faults AS f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.n + 1)
+    )
+  )
+), ended AS (
+  SELECT f.*, {least("s0", "s3")} AS best FROM walk AS w JOIN figures AS f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.rows = w.n
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit,
+  sha256(coalesce(left(best.said, length(best.said) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN ended AS e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+OP12 = _structure_sql()
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_quality_rules, op3_bpe, op4_quality_classifier, op5_simhash, op6_mixing, op7_url_filter,
-        op8_token_counts, op9_line_dedup, op10_topk,
+        op8_token_counts, op9_line_dedup, op10_topk, op11_source_divergence, op12_structure_repair,
+        op13_jaccard_join,
     )
 }
-ORACLES = {"op1_chat_formatting": OP1, "op6_mixing": OP6, "op9_line_dedup": OP9, "op10_topk": OP10}
+ORACLES = {"op1_chat_formatting": OP1, "op6_mixing": OP6, "op9_line_dedup": OP9, "op10_topk": OP10, "op11_source_divergence": OP11, "op12_structure_repair": OP12}
