@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.functions.sequence import SLICE, ordered_slices
+
 
 class AlertRule(NamedTuple):
     """An alert rule; the condition is a SQL predicate over the metric columns."""
@@ -36,6 +38,11 @@ def memory_level(utilization: Column) -> Column:
     )
 
 
+def level_name(utilization: float) -> str:
+    """``memory_level`` of one number."""
+    return "safe" if utilization < 0.70 else "warning" if utilization < 0.85 else "critical" if utilization < 0.95 else "emergency"
+
+
 def healthy(cpu: Column, memory: Column, disk: Column) -> Column:
     return (cpu < 90) & (memory < 95) & (disk < 95)
 
@@ -83,20 +90,24 @@ def level_counts(df: DataFrame, keys: Sequence[str], window: Column) -> DataFram
     )
 
 
-def level_changes(df: DataFrame, keys: Sequence[str], tick: Column) -> DataFrame:
+def level_changes(df: DataFrame, keys: Sequence[str], tick: Column, slices: int | None = None) -> DataFrame:
     """Times at which the level of a key's peak utilisation per tick changed.
 
-    Rows are reduced to one per key and tick before they are ordered, so the
-    ordered part grows with elapsed time and not with the number of readings.
+    Ticks are put in even slices of time.  A slice is summed up by its first and its
+    last level and the changes inside; summaries are combined in the order of slices,
+    so a key of any length is worked on by many tasks.
     """
     ticks = df.groupBy(*keys, tick.alias("tick")).agg(F.max("utilization").alias("utilization"))
-    w = Window.partitionBy(*keys).orderBy("tick")
-    return (
-        ticks.withColumn("level", memory_level(F.col("utilization")))
-        .withColumn("previous_level", F.lag("level").over(w))
-        .where(F.col("previous_level").isNotNull() & (F.col("previous_level") != F.col("level")))
-        .select(*keys, "tick", "previous_level", "level")
-    )
+    levels = ticks.select(*keys, "tick", memory_level(F.col("utilization")).alias("level"))
+    sliced = ordered_slices(levels, keys, ["tick"], slices)
+    inside = Window.partitionBy(*keys, SLICE).orderBy("tick")
+    within = sliced.withColumn("previous_level", F.lag("level").over(inside)).where("previous_level <> level")
+    ends = F.struct("tick", "level")
+    summaries = sliced.groupBy(*keys, SLICE).agg(F.min(ends).alias("first"), F.max(ends).alias("last"))
+    before = F.lag("last").over(Window.partitionBy(*keys).orderBy(SLICE))
+    seams = summaries.withColumn("before", before).where(F.col("before.level") != F.col("first.level"))
+    across = seams.select(*keys, F.col("first.tick").alias("tick"), F.col("before.level").alias("previous_level"), F.col("first.level").alias("level"))
+    return within.select(*keys, "tick", "previous_level", "level").unionByName(across)
 
 
 def status_panel(latest: DataFrame, limit: float = 80.0) -> DataFrame:

@@ -12,6 +12,7 @@ from tallymark.plans.rollup_queries import CLASSIFIED, ERROR_STATS, rules_sql
 from tallymark.session import scratch_path
 from tallymark.sources import views
 from tallymark.streaming import scaling as sc
+from tallymark.streaming import stateful as sf
 from tallymark.streaming import telemetry as st
 
 
@@ -26,6 +27,18 @@ def unsorted_ticks_stream(spark, d):
     return st.metric_ticks(st.read_events(spark, folder, files_per_trigger=1))
 
 
+def ended_ticks_stream(spark, d, late="60 days"):
+    """The unsorted files and, after them, a heartbeat that is later than the bound on lateness."""
+    folder = scratch_path(spark, "ended-events")
+    events = views.table(spark, d, "events")
+    events.repartition(8, "event_id").write.parquet(folder)
+    beat = events.agg((F.max("ts") + F.expr(f"INTERVAL {late}") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    beat.select(*[F.col(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]).write.mode(
+        "append"
+    ).parquet(folder)
+    return st.metric_ticks(st.read_events(spark, folder, files_per_trigger=1))
+
+
 def error_stream(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
     texts = F.array(*[F.lit(t) for t in views.ERROR_TEXTS])
@@ -152,6 +165,14 @@ def t4_unsorted(spark, d):
     return sc.run_scaling(spark, unsorted_ticks_stream(spark, d), "deployment")
 
 
+@query("t4_timers_stream", SCALING)
+def t4_timers(spark, d):
+    """Ticks and decisions in one stream: map state of open ticks, closed by event-time timers."""
+    out = sf.scaling_decisions(ended_ticks_stream(spark, d), "deployment", "60 days")
+    with sf.state_in_rocksdb(spark):
+        return st.run_append(spark, out, "scaling-timers")
+
+
 LEVEL = """CASE WHEN utilization < 0.7 THEN 'safe' WHEN utilization < 0.85 THEN 'warning'
                 WHEN utilization < 0.95 THEN 'critical' ELSE 'emergency' END"""
 COUNTS = f"""
@@ -180,21 +201,31 @@ def t5_unsorted(spark, d):
     return _levels(unsorted_ticks_stream(spark, d), spark)
 
 
-@query(
-    "t5_level_changes",
-    f"""SELECT device, tick, previous_level, level FROM (
-            SELECT device, tick, level, lag(level) OVER (PARTITION BY device ORDER BY tick) AS previous_level
-            FROM (SELECT device, tick, {LEVEL} AS level
-                  FROM (SELECT device, date_trunc('hour', ts) AS tick, max(utilization) AS utilization
-                        FROM device_metrics GROUP BY ALL)))
-        WHERE previous_level <> level""",
-)
+LEVEL_CHANGES = f"""
+    SELECT device, tick, previous_level, level FROM (
+        SELECT device, tick, level, lag(level) OVER (PARTITION BY device ORDER BY tick) AS previous_level
+        FROM (SELECT device, tick, {LEVEL} AS level
+              FROM (SELECT device, date_trunc('hour', ts) AS tick, max(utilization) AS utilization
+                    FROM device_metrics GROUP BY ALL)))
+    WHERE previous_level <> level"""
+
+
+@query("t5_level_changes", LEVEL_CHANGES)
 def t5_changes(spark, d):
     ticks = views.device_metrics(spark, d)
     out = te.level_changes(ticks, ["device"], F.date_trunc("hour", "ts"))
     return out.withColumn("tick", F.col("tick").cast("timestamp_ntz"))
 
 
+@query("t5_level_changes_unsorted_files", LEVEL_CHANGES)
+def t5_changes_unsorted(spark, d):
+    """The same changes from one stream over unsorted files, closed by timers."""
+    out = sf.level_changes(ended_ticks_stream(spark, d), "device", "60 days")
+    with sf.state_in_rocksdb(spark):
+        changes = st.run_append(spark, out, "level-changes")
+    return changes.withColumn("tick", F.timestamp_seconds("second").cast("timestamp_ntz")).drop("second")
+
+
 def latest_devices(spark, d):
     return compare.latest_per_key(
         views.device_metrics(spark, d), ["device"], ["ts", "tick_id"],
@@ -318,6 +349,35 @@ def t9(spark, d):
     return panel.select("deployment", "cpu_percent", "memory_percent", "cpu_flag", "memory_flag", "points")
 
 
+def _newest(spark, d, n, name):
+    readings = unsorted_ticks_stream(spark, d).withColumn("us", F.unix_micros("ts"))
+    out = sf.newest_rows(readings, "deployment", ["us", "tick_id"], ["cpu_percent", "memory_percent"], n)
+    with sf.state_in_rocksdb(spark):
+        return st.run_upsert(spark, out, name, ["deployment", "rank"])
+
+
+@query(
+    "w7_latest_unsorted_files",
+    """SELECT deployment, tick_id, cpu_percent, memory_percent, CASE WHEN cpu_percent > 80 THEN 'alert' ELSE 'normal' END AS cpu_flag,
+              CASE WHEN memory_percent > 80 THEN 'alert' ELSE 'normal' END AS memory_flag
+       FROM host_metrics QUALIFY row_number() OVER (PARTITION BY deployment ORDER BY ts DESC, tick_id DESC) = 1""",
+)
+def w7_unsorted(spark, d):
+    """The newest reading of every deployment, kept by a stream whose readings come late."""
+    return te.status_panel(_newest(spark, d, 1, "newest").drop("rank", "us"))
+
+
+@query(
+    "w8_last_points_unsorted_files",
+    """SELECT deployment, row_number() OVER (PARTITION BY deployment ORDER BY ts DESC, tick_id DESC)::INTEGER AS rank, tick_id,
+              cpu_percent, memory_percent
+       FROM host_metrics QUALIFY rank <= 100""",
+)
+def w8_unsorted(spark, d):
+    """The last 100 points of every deployment from the same kind of stream."""
+    return _newest(spark, d, 100, "last-points").drop("us")
+
+
 def _period_sql(period):
     return f"""SELECT date_trunc('{period}', ts)::DATE AS period, model, round(avg(tokens_per_second), 6) AS tokens_per_second,
                       round(avg(latency_s) FILTER (latency_s > 0), 6) AS latency_avg, max(memory_usage_mb) AS memory_usage_mb,
