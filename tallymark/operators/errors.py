@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import lexicons as lx
+from tallymark.operators import pattern_index
+from tallymark.operators.joins import salted_join, small_side
 
 
 def _family(*roots: type) -> list[str]:
@@ -92,19 +94,18 @@ def _any(tests: Sequence[Column]) -> Column:
 def first_match(df: DataFrame, patterns: DataFrame) -> DataFrame:
     """Text against a pattern table by ``contains``; the lowest priority wins.
 
-    For pattern tables kept as data.  The table is packed into one array by
-    Spark and joined to every row as a column, so a row meets its patterns in
-    place and is never multiplied.  Every row needs every pattern, so the table
-    must fit an executor's memory; it has no other limit.
+    For pattern tables kept as data, of any size: distinct messages are looked up in
+    an index of the patterns' q-grams, and rows meet the result of their message.
+    Case does not count.  Rows without a match, null messages among them, have nulls.
+    Of patterns with one priority the least by (pattern, category) wins.
     """
-    packed = patterns.agg(
-        F.sort_array(F.collect_list(F.struct("priority", F.lower("pattern").alias("pattern"), "category"))).alias("_rules"),
-        F.lit(0).alias("_all"),
-    )
-    message = F.lower(F.col("message"))
-    hit = F.get(F.filter("_rules", lambda r: F.contains(message, r["pattern"])), F.lit(0))
-    met = df.withColumn("_all", F.lit(0)).join(F.broadcast(packed), "_all").withColumn("_hit", hit)
-    return met.select(*df.columns, "_hit.pattern", "_hit.category")
+    rules = patterns.groupBy(F.lower("pattern").alias("pattern"), F.col("priority").alias("rank")).agg(F.min("category").alias("category"))
+    said = df.select(F.lower("message").alias("text")).where(F.col("text").isNotNull()).distinct()
+    hits = pattern_index.occurrences(said.select(F.sha2("text", 256).alias("id"), "text"), rules, first_only=True)
+    named = salted_join(hits, small_side(rules), ["pattern", "rank"], ["id"])
+    found = small_side(named.select(F.col("id").alias("_message"), "pattern", "category"))
+    told = df.drop("pattern", "category").withColumn("_message", F.sha2(F.lower("message"), 256))
+    return told.join(found, "_message", "left").drop("_message")
 
 
 def error_stats(df: DataFrame) -> DataFrame:

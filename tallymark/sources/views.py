@@ -15,6 +15,7 @@ from tallymark.functions import lexicons as lx
 from tallymark.functions.text import is_blank, strip
 from tallymark.operators.catalog import MODELS
 from tallymark.operators.joins import salted_join, small_side, spread
+from tallymark.operators.pattern_index import occurrences
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -272,44 +273,17 @@ def text_digests(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", _digest().alias("digest"))
 
 
-SHORT_ITEMS = 4_096
-
-
 def pairs_contains(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents paired with the benchmark items they may quote.
+    """Documents paired with the benchmark items they quote, case and outer space aside.
 
-    A document that quotes an item of five words or more holds its second to
-    fourth word in a row, so documents meet such items through an equi join on
-    those three words instead of a product.  Shorter items have no whole words to
-    be found by; they are packed into arrays of ``SHORT_ITEMS`` and looked for
-    where a document lies.  Texts are read again only beside the pairs found.
+    Items of any length are found in an index of their q-grams; texts are read again
+    only beside the pairs found.
     """
-    # every run of three words, found at each word's start
-    def triples(text):
-        return F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\S)(?=(\S+\s+\S+\s+\S+))"), F.lit(1))
-
-    items = table(spark, folder, "benchmark").withColumn("_t", triples(F.col("text")))
-    anchored = F.size("_t") >= 3
-    anchors = items.where(anchored).select("item_id", F.xxhash64(F.get("_t", F.lit(1))).alias("anchor"))
+    items = table(spark, folder, "benchmark").where(~is_blank(F.col("text")))
     docs = table(spark, folder, "documents")
-    hashed = (
-        spread(docs.select("doc_id", "text"), "doc_id")
-        .select("doc_id", F.explode(F.array_distinct(triples(F.col("text")))).alias("_t"))
-        .select("doc_id", F.xxhash64("_t").alias("anchor"))
-    )
-    met = hashed.join(small_side(anchors), "anchor").select("doc_id", "item_id")
-    short = items.where(~anchored & ~is_blank(F.col("text"))).select("item_id", "text")
-    blocks = -(-short.count() // SHORT_ITEMS)
-    if blocks:
-        block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")
-        packed = short.groupBy(block.alias("block")).agg(
-            F.collect_list(F.struct("item_id", F.lower(strip(F.col("text"))).alias("quote"))).alias("items")
-        )
-        beside = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(
-            F.broadcast(packed), "block"
-        )
-        quoted = F.filter("items", lambda i: F.contains(F.lower(F.col("text")), i["quote"]))
-        met = met.unionByName(beside.select("doc_id", F.explode(quoted.getField("item_id")).alias("item_id")))
+    quotes = items.select(F.lower(strip(F.col("text"))).alias("pattern"), F.col("item_id").alias("rank"))
+    texts = spread(docs.select(F.col("doc_id").alias("id"), F.lower(strip(F.col("text"))).alias("text")), "id")
+    met = occurrences(texts, quotes).select(F.col("id").alias("doc_id"), F.col("rank").alias("item_id"))
     truths = items.select("item_id", F.col("text").alias("truth"))
     pairs = small_side(salted_join(met, truths, ["item_id"], ["doc_id"]))
     return docs.select("doc_id", "source", F.col("text").alias("prediction")).join(pairs, "doc_id")
