@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,24 +144,133 @@ def register_evaluator(
         NEED_SIMILARITY.add(name)
 
 
-def evaluate(df: DataFrame, evaluator: str = "evaluator", use_stats: bool = True) -> DataFrame:
+#: Evaluators in Python: a function of (prediction, truth, row as a dict) each.
+ROW_EVALUATORS: dict[str, Callable[[str, str, dict], dict]] = {}
+_SCORED = pa.struct([
+    ("score", pa.float64()), ("correct", pa.bool_()), ("confidence", pa.float64()),
+    ("details", pa.map_(pa.string(), pa.string())), ("error", pa.string()),
+])
+
+
+def register_row_evaluator(name: str, score_row: Callable[[str, str, dict], dict]) -> None:
+    """Add an evaluator that is a Python function of one row.
+
+    It returns a dict with ``score`` and, if it likes, ``correct``, ``confidence`` and
+    ``details`` (a dict).  What it raises costs its own row only: that row scores 0
+    and carries the message.
+    """
+    ROW_EVALUATORS[name] = score_row
+
+
+def unregister_evaluator(name: str) -> None:
+    """Forget an evaluator added before."""
+    ROW_EVALUATORS.pop(name, None)
+    EVALUATORS.pop(name, None)
+    NEED_SIMILARITY.discard(name)
+
+
+def _guarded(score_row: Callable[[str, str, dict], dict]) -> Callable[[Column], Column]:
+    """``score_row`` over Arrow batches of rows, an exception kept to its row."""
+
+    @F.arrow_udf("struct<score: double, correct: boolean, confidence: double, details: map<string, string>, error: string>")
+    def run(rows: pa.Array) -> pa.Array:
+        out = []
+        for row in rows.to_pylist():
+            try:
+                told = score_row(row["prediction"], row["truth"], row)
+                details = [(str(k), None if v is None else str(v)) for k, v in (told.get("details") or {}).items()]
+                confidence = told.get("confidence")
+                out.append({
+                    "score": float(told["score"]), "correct": bool(told.get("correct", False)),
+                    "confidence": None if confidence is None else float(confidence), "details": details, "error": None,
+                })
+            except Exception as wrong:  # one bad row must not end the job
+                message = str(wrong) or type(wrong).__name__
+                out.append({"score": 0.0, "correct": False, "confidence": None, "details": [("error", message)], "error": message})
+        return pa.array(out, _SCORED)
+
+    return run
+
+
+def _map(values: dict[str, Column]) -> Column:
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
+
+
+def _math_details(p: Column, t: Column, row: dict[str, Column]) -> dict[str, Column]:
+    return {
+        "extracted_pred": tx.numeric_answer(p), "extracted_gt": tx.numeric_answer(t),
+        "reasoning_quality": tx.reasoning_quality(tx.reasoning_steps(p)), "language": F.lit("korean"),
+    }
+
+
+def _qa_details(p: Column, t: Column, row: dict[str, Column]) -> dict[str, Column]:
+    return {
+        "exact_score": tx.normalized_match(p, t), "semantic_score": row.get("semantic", F.lit(0.0)),
+        "keyword_score": tx.keyword_recall(p, t), "completeness": tx.completeness(p), "fluency": tx.fluency(p),
+    }
+
+
+#: What an evaluator looked at, by name; the others have none.
+DETAILS: dict[str, Callable[[Column, Column, dict[str, Column]], dict[str, Column]]] = {
+    "korean_math": _math_details, "korean_qa": _qa_details,
+}
+
+
+def with_details(df: DataFrame, evaluator: str) -> DataFrame:
+    """Rows scored by one native evaluator, with its details as typed columns beside score, correct and confidence.
+
+    The math evaluator's reasoning steps come as an array.  Rows without text score 0
+    and say so in ``error``; their details are null.
+    """
+    p, t = F.col("prediction"), F.col("truth")
+    row = {"semantic": F.col("semantic")} if "semantic" in df.columns else {}
+    missing = p.isNull() | t.isNull()
+    details = DETAILS[evaluator](p, t, row) if evaluator in DETAILS else {}
+    if evaluator == "korean_math":
+        details["reasoning_steps"] = tx.reasoning_steps(p)
+    result = F.when(missing, _result(F.lit(0.0), F.lit(False), F.lit(None).cast("double"))).otherwise(EVALUATORS[evaluator](p, t, row))
+    scored = df.withColumn("_result", F.get(F.transform(F.array(F.lit(0)), lambda _: result), F.lit(0)))
+    return scored.select(
+        *df.columns, "_result.*", F.when(missing, F.lit("missing text")).alias("error"),
+        *[F.when(~missing, v).alias(k) for k, v in details.items()],
+    )
+
+
+def evaluate(df: DataFrame, evaluator: str = "evaluator", use_stats: bool = True, details: bool = False) -> DataFrame:
     """Score each row by the evaluator its column names.
 
     Unknown names fall back to ``basic``.  A row without text scores 0 and says
-    so in ``error``.  Rows are parted by what their evaluator needs, so only those
-    that need the similarity are sent to Python.
+    so in ``error``, and so does a row on which its Python evaluator fails.  Rows are
+    parted by what their evaluator needs, so only those that need the similarity or a
+    Python evaluator are sent to Python.
     With ``use_stats`` the performance evaluator reads tokens_per_second and
-    memory_usage_mb; without it their factor is 1.
+    memory_usage_mb; without it their factor is 1.  With ``details`` a map says
+    what the evaluator looked at.
     """
-    name = F.coalesce(F.when(F.col(evaluator).isin(*EVALUATORS), F.col(evaluator)), F.lit("basic"))
+    known = [*EVALUATORS, *ROW_EVALUATORS]
+    name = F.coalesce(F.when(F.col(evaluator).isin(*known), F.col(evaluator)), F.lit("basic"))
     compared = name.isin(*NEED_SIMILARITY)
     native = [n for n in EVALUATORS if n not in NEED_SIMILARITY]
     similarity_of = sequence_similarity(F.col("prediction"), F.col("truth"))
-    with_python = _evaluated(df.where(compared).withColumn("_similarity", similarity_of), name, NEED_SIMILARITY, use_stats)
-    return _evaluated(df.where(~compared), name, native, use_stats).unionByName(with_python)
+    with_python = _evaluated(df.where(compared).withColumn("_similarity", similarity_of), name, NEED_SIMILARITY, use_stats, details)
+    out = _evaluated(df.where(name.isin(*native)), name, native, use_stats, details).unionByName(with_python)
+    for own, score_row in ROW_EVALUATORS.items():
+        out = out.unionByName(_row_evaluated(df.where(name == own), own, score_row, details))
+    return out
+
 
+def _row_evaluated(df: DataFrame, name: str, score_row: Callable[[str, str, dict], dict], details: bool) -> DataFrame:
+    """Rows of one Python evaluator; those without text never reach it."""
+    missing = F.col("prediction").isNull() | F.col("truth").isNull()
+    nothing = F.from_json(F.lit('{"score": 0, "correct": false, "error": "missing text"}'),
+                          "score double, correct boolean, confidence double, details map<string, string>, error string")
+    with_text = df.where(~missing).withColumn("_result", _guarded(score_row)(F.struct(*df.columns)))
+    scored = with_text.unionByName(df.where(missing).withColumn("_result", nothing))
+    told = ["error", "score", "correct", "confidence"] + ["details"] * details
+    return scored.select(*df.columns, F.lit(name).alias("used"), *[F.col(f"_result.{c}").alias(c) for c in told])
 
-def _evaluated(df: DataFrame, name: Column, evaluators: Iterable[str], use_stats: bool) -> DataFrame:
+
+def _evaluated(df: DataFrame, name: Column, evaluators: Iterable[str], use_stats: bool, details: bool = False) -> DataFrame:
     """Rows whose evaluator is one of ``evaluators``, scored."""
     p, t = F.col("prediction"), F.col("truth")
     row = {"similarity": F.col("_similarity")} if "_similarity" in df.columns else {}
@@ -175,6 +285,11 @@ def _evaluated(df: DataFrame, name: Column, evaluators: Iterable[str], use_stats
         result = result.when(name == key, EVALUATORS[key](p, t, row))
     kept = [c for c in df.columns if c != "_similarity"]
     # a generator works the struct out once, however many of its fields are used
+    told = F.when(missing, F.create_map().cast("map<string,string>"))
+    for key in evaluators:
+        if key in DETAILS:
+            told = told.when(name == key, _map(DETAILS[key](p, t, row)))
+    more = [told.otherwise(F.create_map().cast("map<string,string>")).alias("details")] if details else []
     return df.select(
-        *kept, name.alias("used"), F.when(missing, F.lit("missing text")).alias("error"), F.inline(F.array(result))
+        *kept, name.alias("used"), F.when(missing, F.lit("missing text")).alias("error"), F.inline(F.array(result)), *more
     )

@@ -81,7 +81,7 @@ VIEWS = {
                              WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'pruned' ELSE 'complete' END AS state
               FROM lineitem)""",
     "samples": """
-        SELECT doc_id AS sample_id, text AS question, string_split(text, chr(10))[1] AS answer, lang AS language,
+        SELECT doc_id AS sample_id, text AS question, text AS answer, lang AS language,
                source AS category,
                CASE WHEN n_chars < 500 THEN 'easy' WHEN n_chars < 2000 THEN 'medium' ELSE 'hard' END AS difficulty
         FROM documents""",

@@ -314,10 +314,12 @@ def _hits(expr, values):
     return "(" + " + ".join(f"contains({expr}, {quoted(v)})::INT" for v in values) + ")"
 
 
+_QUALITY = """CASE WHEN n = 0 THEN 0 ELSE least(0.3 * least(n / 5, 1) + 0.3 * least(c / n, 0.5) + 0.4 * least(f / n, 1), 1) END"""
+
+
 @query(
     "e6_reasoning_quality",
-    f"""SELECT {MATH_KEYS}, round(CASE WHEN n = 0 THEN 0 ELSE least(0.3 * least(n / 5, 1) + 0.3 * least(c / n, 0.5)
-                 + 0.4 * least(f / n, 1), 1) END, 6) AS reasoning_quality
+    f"""SELECT {MATH_KEYS}, round({_QUALITY}, 6) AS reasoning_quality
         FROM (SELECT *, len(s) AS n, coalesce(list_sum(list_transform(s, lambda x: {_hits("x", lx.LOGICAL_WORDS)})), 0) AS c,
                      len(list_filter(s, lambda x: {_hits("x", lx.FORMULA_SIGNS)} > 0)) AS f
               FROM (SELECT *, {_STEPS} AS s FROM math_answers))""",
@@ -327,12 +329,13 @@ def e6(spark, d):
     return rounded(views.math_answers(spark, d).select(*MATH_KEY, quality.alias("reasoning_quality")))
 
 
+_HEDGING = f"""greatest(0, least(1, 0.5 + 0.1 * {_hits("prediction", lx.SURE_WORDS)} - 0.1 * {_hits("prediction", lx.UNSURE_WORDS)}
+                 + 0.2 * (contains(prediction, '=') AND regexp_matches(prediction, '[0-9]'))::INT))"""
+
+
 @query(
     "e7_math_confidence",
-    f"""SELECT {MATH_KEYS}, round(greatest(0, least(1, 0.5 + 0.1 * {_hits("prediction", lx.SURE_WORDS)}
-                 - 0.1 * {_hits("prediction", lx.UNSURE_WORDS)}
-                 + 0.2 * (contains(prediction, '=') AND regexp_matches(prediction, '[0-9]'))::INT)), 6) AS confidence
-        FROM math_answers""",
+    f"SELECT {MATH_KEYS}, round({_HEDGING}, 6) AS confidence FROM math_answers",
 )
 def e7(spark, d):
     return rounded(
@@ -418,13 +421,12 @@ _BLANK = f"{sql_strip('prediction')} = ''"
 _WORDS = sql_words("prediction")
 
 
-@query(
-    "e12_completeness",
-    f"""SELECT request_id, round(CASE WHEN {_BLANK} THEN 0 ELSE
+_COMPLETE = f"""CASE WHEN {_BLANK} THEN 0 ELSE
                  0.4 * ({" OR ".join(f"ends_with({sql_strip('prediction')}, {quoted(e)})" for e in lx.SENTENCE_ENDINGS)})::INT
-                 + 0.3 * (length({sql_strip("prediction")}) >= 5)::INT + 0.3 * (len({_WORDS}) >= 2)::INT END, 6) AS completeness
-        FROM qa_answers""",
-)
+                 + 0.3 * (length({sql_strip("prediction")}) >= 5)::INT + 0.3 * (len({_WORDS}) >= 2)::INT END"""
+
+
+@query("e12_completeness", f"SELECT request_id, round({_COMPLETE}, 6) AS completeness FROM qa_answers")
 def e12(spark, d):
     return rounded(views.qa_answers(spark, d).select("request_id", tx.completeness(F.col("prediction")).alias("completeness")))
 
@@ -434,26 +436,24 @@ _RUN = f"""len(list_filter(range(1, len({_CHARS}) - 2), lambda i: ({_CHARS})[i]
                AND ({_CHARS})[i] = ({_CHARS})[i + 2] AND ({_CHARS})[i] = ({_CHARS})[i + 3])) > 0"""
 
 
-@query(
-    "e13_fluency",
-    f"""SELECT request_id, round(CASE WHEN {_BLANK} THEN 0 ELSE greatest(0, least(1, 0.5
+_FLUENT = f"""CASE WHEN {_BLANK} THEN 0 ELSE greatest(0, least(1, 0.5
                  + CASE WHEN len({_WORDS}) > 1 THEN (len(list_distinct({_WORDS})) / len({_WORDS}) - 0.5) * 0.3 ELSE 0 END
                  + least({_hits("prediction", lx.CONNECTORS)} * 0.1, 0.2) - 0.1 * ({_RUN})::INT
-                 - 0.1 * regexp_matches(prediction, '[가-힣][a-zA-Z][가-힣]')::INT)) END, 6) AS fluency
-        FROM qa_answers""",
-)
+                 - 0.1 * regexp_matches(prediction, '[가-힣][a-zA-Z][가-힣]')::INT)) END"""
+
+
+@query("e13_fluency", f"SELECT request_id, round({_FLUENT}, 6) AS fluency FROM qa_answers")
 def e13(spark, d):
     return rounded(views.qa_answers(spark, d).select("request_id", tx.fluency(F.col("prediction")).alias("fluency")))
 
 
-@query(
-    "e14_qa_confidence",
-    f"""SELECT request_id, round(CASE WHEN {_BLANK} THEN 0 ELSE greatest(0, least(1, 0.5
+_QA_SURE = f"""CASE WHEN {_BLANK} THEN 0 ELSE greatest(0, least(1, 0.5
                  + 0.1 * ({_hits("prediction", lx.SURE_EXPRESSIONS)} - {_hits("prediction", lx.UNSURE_EXPRESSIONS)}
                           + regexp_matches(prediction, '[0-9]')::INT
-                          + (len(regexp_extract_all(prediction, '[가-힣]{{3,}}')) > 2)::INT))) END, 6) AS confidence
-        FROM qa_answers""",
-)
+                          + (len(regexp_extract_all(prediction, '[가-힣]{{3,}}')) > 2)::INT))) END"""
+
+
+@query("e14_qa_confidence", f"SELECT request_id, round({_QA_SURE}, 6) AS confidence FROM qa_answers")
 def e14(spark, d):
     return rounded(views.qa_answers(spark, d).select("request_id", tx.qa_confidence(F.col("prediction")).alias("confidence")))
 
@@ -548,3 +548,63 @@ def e18_native(spark, d):
             F.count("error").alias("errors"),
         )
     )
+
+
+@query(
+    "e18_math_details",
+    f"""SELECT {MATH_KEYS}, coalesce(abs(a - b) < 1e-6, false)::INT::DOUBLE AS score, coalesce(abs(a - b) < 1e-6, false) AS correct,
+               round({_HEDGING}, 6) AS confidence, a AS extracted_pred, b AS extracted_gt, round({_QUALITY}, 6) AS reasoning_quality,
+               'korean' AS language, array_to_string(s, ' | ') AS steps
+        FROM (SELECT *, len(s) AS n, coalesce(list_sum(list_transform(s, lambda x: {_hits("x", lx.LOGICAL_WORDS)})), 0) AS c,
+                     len(list_filter(s, lambda x: {_hits("x", lx.FORMULA_SIGNS)} > 0)) AS f
+              FROM (SELECT *, {_STEPS} AS s, {_number_sql("prediction")} AS a, {_number_sql("truth")} AS b FROM math_answers))""",
+)
+def e18_math(spark, d):
+    """Every math answer with what the evaluator extracted, its steps and their quality."""
+    out = scoring.with_details(views.math_answers(spark, d), "korean_math").withColumn("steps", F.array_join("reasoning_steps", " | "))
+    told = ["score", "correct", "confidence", "extracted_pred", "extracted_gt", "reasoning_quality", "language", "steps"]
+    return rounded(out.select(*MATH_KEY, *told))
+
+
+@query(
+    "e18_qa_details",
+    f"""SELECT request_id, round(exact_score * 0.4 + keyword_score * 0.2, 6) AS score, exact_score * 0.4 + keyword_score * 0.2 > 0.7 AS correct,
+               round({_QA_SURE}, 6) AS confidence, exact_score::DOUBLE AS exact_score, 0.0::DOUBLE AS semantic_score,
+               round(keyword_score, 6) AS keyword_score, round({_COMPLETE}, 6) AS completeness, round({_FLUENT}, 6) AS fluency
+        FROM (SELECT *, {EXACT} AS exact_score, {RECALL} AS keyword_score FROM qa_answers)""",
+)
+def e18_qa(spark, d):
+    """Every prose answer with the parts of its score, its completeness and its fluency."""
+    out = scoring.with_details(views.qa_answers(spark, d), "korean_qa")
+    told = ["score", "correct", "confidence", "exact_score", "semantic_score", "keyword_score", "completeness", "fluency"]
+    return rounded(out.select("request_id", *told))
+
+
+def _word_overlap(prediction: str, truth: str, row: dict) -> dict:
+    """Share of the truth's words that the prediction has; a truth without words can't be scored."""
+    wanted = set(truth.split())
+    score = len(wanted & set(prediction.split())) / len(wanted)
+    return {"score": score, "correct": score > 0.5, "confidence": None, "details": {"wanted": len(wanted)}}
+
+
+@query(
+    "e18_row_failures",
+    """SELECT conv_id, turn, round(CASE WHEN wanted = 0 THEN 0 ELSE shared / wanted END, 6) AS score,
+              coalesce(wanted > 0 AND shared / wanted > 0.5, false) AS correct,
+              CASE WHEN wanted = 0 THEN 'division by zero' END AS error, CASE WHEN wanted > 0 THEN wanted::VARCHAR END AS wanted
+       FROM (SELECT conv_id, turn, len(list_distinct(t)) AS wanted, len(list_intersect(list_distinct(t), p)) AS shared
+             FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(prediction, '[ \\t\\n]+'), lambda x: x <> '') AS p,
+                          CASE WHEN turn % 7 = 3 THEN []::VARCHAR[]
+                               ELSE list_filter(regexp_split_to_array(question, '[ \\t\\n]+'), lambda x: x <> '') END AS t FROM chat_pairs))""",
+)
+def e18_failures(spark, d):
+    """An own Python evaluator that fails on some rows: they score 0 and say why, the others are scored."""
+    pairs = views.chat_pairs(spark, d)
+    empty = F.when(F.col("turn") % 7 == 3, "").otherwise(F.col("question"))
+    asked = pairs.select("conv_id", "turn", "prediction", empty.alias("truth"), F.lit("word_overlap").alias("evaluator"))
+    scoring.register_row_evaluator("word_overlap", _word_overlap)
+    try:
+        out = scoring.evaluate(asked, details=True)
+    finally:
+        scoring.unregister_evaluator("word_overlap")
+    return rounded(out.select("conv_id", "turn", "score", "correct", "error", F.col("details")["wanted"].alias("wanted")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import lexicons as lx
+from tallymark.functions.sequence import with_row_number
 from tallymark.functions.text import is_blank, strip
 from tallymark.operators.catalog import MODELS
 from tallymark.operators.joins import salted_join, small_side, spread
@@ -168,11 +169,11 @@ def trials(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
-    """Question/answer samples; the answer is the first line of the text."""
+    """Question/answer samples over whole texts; a document answers with all of its text."""
     return table(spark, folder, "documents").select(
         F.col("doc_id").alias("sample_id"),
         F.col("text").alias("question"),
-        F.substring_index("text", "\n", 1).alias("answer"),
+        F.col("text").alias("answer"),
         F.col("lang").alias("language"),
         F.col("source").alias("category"),
         F.when(F.col("n_chars") < 500, "easy")
@@ -195,17 +196,19 @@ def models(spark: SparkSession) -> DataFrame:
 
 
 def chat_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """User turns with the assistant turn that answers them.
+    """User turns with the assistant turn that comes next, whatever numbers turns have.
 
-    Turn numbers are gapless, so the answer is found by an equi join on the
-    next number; both keys are unique and no conversation is gathered whole.
+    Turns are numbered in slices, so no conversation is gathered whole, and only
+    keys are put in order; texts meet the pairs found by their own keys.
     """
     turns = table(spark, folder, "conversations")
-    asked = turns.where(F.col("role") == "user").select(
-        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question")
-    )
-    answered = turns.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("prediction"))
-    return asked.join(answered, ["conv_id", "turn"])
+    placed = with_row_number(turns.select("conv_id", "turn", "role"), ["conv_id"], ["turn"], "place")
+    asked = placed.where(F.col("role") == "user").select("conv_id", F.col("turn").alias("asked"), (F.col("place") + 1).alias("place"))
+    answered = placed.where(F.col("role") == "assistant").select("conv_id", "turn", "place")
+    pairs = asked.join(answered, ["conv_id", "place"]).drop("place")
+    questions = turns.select("conv_id", F.col("turn").alias("asked"), F.col("text").alias("question"))
+    answers = turns.select("conv_id", "turn", F.col("text").alias("prediction"))
+    return pairs.join(questions, ["conv_id", "asked"]).join(answers, ["conv_id", "turn"]).select("conv_id", "turn", "question", "prediction")
 
 
 def pairs_similar(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:

@@ -162,3 +162,37 @@ def test_own_evaluator_can_be_registered(spark):
         assert scoring.evaluate(df).first()["score"] == pytest.approx(0.7)
     finally:
         del scoring.EVALUATORS["length"]
+
+
+def test_one_failing_row_of_a_thousand_costs_itself_only(spark):
+    from tallymark.operators import scoring
+
+    def picky(prediction, truth, row):
+        if row["n"] == 417:
+            raise ValueError("no such answer")
+        return {"score": 1, "correct": True, "confidence": 0.5, "details": {"seen": row["n"], "nothing": None}}
+
+    rows = [(n, f"p{n}" if n != 5 else None, "t", "picky" if n % 2 or n == 4 else "korean_math") for n in range(1000)]
+    df = spark.createDataFrame(rows, "n int, prediction string, truth string, kind string")
+    scoring.register_row_evaluator("picky", picky)
+    try:
+        out = {r.n: r for r in scoring.evaluate(df, "kind", details=True).collect()}
+        lean = scoring.evaluate(df, "kind").columns
+    finally:
+        scoring.unregister_evaluator("picky")
+    assert len(out) == 1000 and "details" not in lean
+    assert (out[417].score, out[417].correct, out[417].error, out[417].details) == (0.0, False, "no such answer", {"error": "no such answer"})
+    assert (out[5].score, out[5].error) == (0.0, "missing text")
+    assert out[4].details == {"seen": "4", "nothing": None} and out[4].used == "picky"
+    assert out[2].used == "korean_math" and set(out[2].details) == {"extracted_pred", "extracted_gt", "reasoning_quality", "language"}
+    assert sum(r.error is not None for r in out.values()) == 2
+
+
+def test_turn_numbers_with_gaps_keep_their_pairs(spark, tmp_path):
+    from tallymark.sources import views
+
+    turns = [(1, 0, "user", "q"), (1, 4, "assistant", "a"), (1, 9, "user", "r"), (1, 10, "system", "s"), (1, 11, "assistant", "b"),
+             (2, 3, "assistant", "c"), (2, 5, "user", "t"), (2, 50, "assistant", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(tuple(r) for r in views.chat_pairs(spark, str(tmp_path)).collect())
+    assert got == [(1, 4, "q", "a"), (2, 50, "t", None)]
