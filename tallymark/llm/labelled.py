@@ -13,6 +13,7 @@ from tallymark.llm.common import raw_texts
 from tallymark.llm.features import counted
 
 FOLDS = 5
+SAMPLE_BYTES = 48 << 20  # bound of the sample's texts together
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -20,36 +21,64 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
-def sample(documents: DataFrame, labels: DataFrame, bits: int, rows: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(label, order, buckets, counts)`` of up to ``rows`` labelled documents.
+def _chosen(documents: DataFrame, labels: DataFrame, rows: int, text_bytes: int) -> list[tuple]:
+    """``(doc_id, body, label, place)`` of the sample, at most ``rows`` of them and about ``text_bytes`` of text.
 
-    Rows whose fold is 0 are held out.  The sample is those with the smallest
-    hash of their id, so it does not follow any order of the tables.  A sample row
-    brings at most one pair per bucket to the driver, whatever its text's length.
-    Null ids and null labels take no part; a repeated row is a row.
+    Order is by hashes of id and text, so it does not follow any order of the tables.
+    Only keys and sizes are sorted and collected.
     """
-    chosen = (
+    wanted = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold() != 0))
         .select("doc_id", (F.col("quality") > 0).cast("int").alias("label"), F.xxhash64("doc_id", F.lit(7)).alias("place"))
-        .orderBy("place", "doc_id", "label").limit(rows)
+        .distinct().orderBy("place", "doc_id", "label").limit(rows)
     )
+    own = documents.select("doc_id", F.xxhash64("text").alias("body"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    met = own.join(F.broadcast(wanted), "doc_id").distinct()
+    found, room = [], text_bytes
+    for r in met.orderBy("place", "doc_id", "body", "label").limit(rows).collect():
+        room -= r["size"]
+        if room < 0 and found:
+            break
+        found.append((r["doc_id"], r["body"], r["label"], r["place"]))
+    return found
+
+
+def sample(
+    documents: DataFrame, labels: DataFrame, bits: int, rows: int, text_bytes: int = SAMPLE_BYTES
+) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(label, order, buckets, counts)`` of up to ``rows`` labelled documents and about ``text_bytes`` of text.
+
+    Rows whose fold is 0 are held out.  Rows alike in id and text count once; an id
+    with several texts or labels gives one row for each.  A row brings the driver at most one
+    pair per bucket and never more pairs than four per byte of its text.  Null ids and null labels
+    take no part; null texts are empty.
+    """
+    chosen = _chosen(documents, labels, rows, text_bytes)
+    if not chosen:
+        return []
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    spark = documents.sparkSession
+    wanted = spark.createDataFrame(chosen, f"doc_id {kind}, body long, label int, place long")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counted(t, bits) for t in raw_texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("label"), batch.column("place"),
+                    batch.column("label"), batch.column("place"), batch.column("body"),
                     pa.array([k for k, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int32())),
                 ],
-                ["label", "place", "keys", "counts"],
+                ["label", "place", "body", "keys", "counts"],
             )
 
-    joined = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "place", "text")
-    table = joined.mapInArrow(features, "label int, place long, keys array<int>, counts array<int>").toArrow()
+    own = documents.select("doc_id", F.xxhash64("text").alias("body"), "text")
+    joined = own.join(F.broadcast(wanted), ["doc_id", "body"])
+    once = joined.groupBy("doc_id", "body", "label", "place").agg(F.any_value("text").alias("text"))
+    lean = once.select("label", "place", "body", "text")
+    table = lean.mapInArrow(features, "label int, place long, body long, keys array<int>, counts array<int>").toArrow()
     found = []
     for batch in table.to_batches():
-        for label, place, keys, counts in zip(*(batch.column(c) for c in ("label", "place", "keys", "counts"))):
-            found.append((label.as_py(), place.as_py(), keys.values.to_numpy(), counts.values.to_numpy()))
+        for label, place, body, keys, counts in zip(*(batch.column(c) for c in ("label", "place", "body", "keys", "counts"))):
+            found.append((label.as_py(), place.as_py(), body.as_py(), keys.values.to_numpy(), counts.values.to_numpy()))
     # which task finished first must not show in the model
-    return sorted(found, key=lambda r: (r[1], r[0], len(r[2]), int(r[2].sum()), int(r[3].sum())))
+    return [(y, place, k, n) for y, place, _, k, n in sorted(found, key=lambda r: (r[1], r[0], r[2]))]

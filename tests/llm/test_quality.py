@@ -101,3 +101,17 @@ def test_features_do_not_reach_into_the_next_text():
     weights[alone[0]] = alone[1]
     a = features.mean_weights([b"some words here"], weights)[0]
     assert features.mean_weights([b"other", b"some words here", b"", b"last one"], weights)[1] == pytest.approx(a)
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    from tallymark.llm import labelled
+
+    rows = [(1, f"text {i}") for i in range(500)] + [(2, "same text")] * 300 + [(3, "x " * 3000), (4, None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 0), (2, 1, 0), (3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    kept = [i for i in (1, 2, 3, 4) if zlib.crc32(str(i).encode()) % 5]
+    assert 1 in kept and 2 in kept
+    found = labelled.sample(documents, labels, 10, 100)
+    assert len(found) == 100
+    assert len(labelled.sample(documents, labels, 10, 10_000)) == 500 + 2 + len(set(kept) & {3, 4})
+    assert len(labelled.sample(documents, labels, 10, 10_000, text_bytes=200)) < 40
