@@ -13,6 +13,7 @@ at the boundary is resolved by id.  Nothing is estimated, so nothing is missed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -25,22 +26,31 @@ from tallymark.llm.common import written
 BLOCK_ROWS = 8_192
 CHUNK_QUERIES = 512
 SCALE = 64
-LARGEST = 1 << 26  # quantised components past this size are held there, so that scores stay within a long
+LARGEST = 1 << 57  # size of a quantised component: products of up to 4,096 of them fit a decimal of 38 digits
+PLAIN_BITS = 62  # scores that surely fit are summed as machine integers
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``vec_id, v``: floor(scale * x) of every component; vectors with a null id, null or
-    null or non-finite components take no part."""
+    """``row, vec_id, v``: floor(scale * x) of every component, and a number that tells rows apart.
+
+    Vectors with a null id, null or null or non-finite components take no part.  A
+    component of 2**57 or more in size is an error: its scores could not be returned.
+    """
 
     def bad(x: Column) -> Column:
         x = x.cast("double")
         return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
 
     def step(x: Column) -> Column:
-        return F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(LARGEST)), F.lit(-LARGEST))
+        scaled = F.floor(x.cast("double") * scale)
+        return F.when(F.abs(x.cast("double") * scale) < float(LARGEST), scaled).otherwise(
+            F.raise_error(F.lit(f"a component times {scale} is 2**57 or more in size")).cast("long")
+        )
 
     whole = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad))
-    return whole.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", step).alias("v"))
+    told = whole.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", step).alias("v"))
+    # written, so that a row keeps its number whichever executor reads it
+    return written(told.withColumn("row", F.monotonically_increasing_id()), "vectors").select("row", "vec_id", "v")
 
 
 def _matrix(values: pa.ListArray) -> np.ndarray:
@@ -52,17 +62,17 @@ def _matrix(values: pa.ListArray) -> np.ndarray:
 
 
 def index(vectors: DataFrame) -> DataFrame:
-    """``block, rows, dims, bits, low, ids, slices``: one row per block of ``vec_id, v``.
+    """``block, rows, dims, bits, low, ids, names, slices``: one row per block of ``row, vec_id, v``.
 
-    ``ids`` ascend; ``slices`` holds dims x bits bitmaps of 64-bit words, of the
+    ``ids`` ascend and ``names`` are their rows' numbers; ``slices`` holds dims x bits bitmaps of 64-bit words, of the
     components less ``low``, the block's least component.
     """
     blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
 
-    def sliced(block: int, ids: np.ndarray, values: np.ndarray) -> dict:
-        order = np.argsort(ids, kind="stable")
-        ids, values = ids[order], values[order]
+    def sliced(block: int, ids: np.ndarray, names: np.ndarray, values: np.ndarray) -> dict:
+        order = np.lexsort((names, ids))
+        ids, names, values = ids[order], names[order], values[order]
         low = int(values.min(initial=0))
         bits = max(1, int(values.max(initial=0) - low).bit_length())
         words = -(-len(ids) // 64)
@@ -71,10 +81,10 @@ def index(vectors: DataFrame) -> DataFrame:
             packed = np.packbits(((values.T - low) >> bit & 1).astype(np.uint8), axis=1, bitorder="little")
             raw[:, bit, : packed.shape[1]] = packed
         return {"block": block, "rows": len(ids), "dims": values.shape[1], "bits": bits, "low": low,
-                "ids": ids.astype("<i8").tobytes(), "slices": raw.tobytes()}
+                "ids": ids.astype("<i8").tobytes(), "names": names.astype("<i8").tobytes(), "slices": raw.tobytes()}
 
     schema = pa.schema([("block", pa.int32()), ("rows", pa.int32()), ("dims", pa.int32()), ("bits", pa.int32()),
-                        ("low", pa.int64()), ("ids", pa.binary()), ("slices", pa.binary())])
+                        ("low", pa.int64()), ("ids", pa.binary()), ("names", pa.binary()), ("slices", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -82,7 +92,8 @@ def index(vectors: DataFrame) -> DataFrame:
         def done() -> pa.RecordBatch:
             table = pa.Table.from_batches(kept).combine_chunks()
             ids = table.column("vec_id").to_numpy()
-            row = sliced(table.column("block")[0].as_py(), ids, _matrix(table.column("v").combine_chunks()))
+            names = table.column("row").to_numpy()
+            row = sliced(table.column("block")[0].as_py(), ids, names, _matrix(table.column("v").combine_chunks()))
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
@@ -98,8 +109,8 @@ def index(vectors: DataFrame) -> DataFrame:
         if kept:
             yield done()
 
-    ready = dealt.select("block", "vec_id", "v").repartition("block").sortWithinPartitions("block")
-    return ready.mapInArrow(run, "block int, rows int, dims int, bits int, low long, ids binary, slices binary")
+    ready = dealt.select("block", "row", "vec_id", "v").repartition("block").sortWithinPartitions("block")
+    return ready.mapInArrow(run, "block int, rows int, dims int, bits int, low long, ids binary, names binary, slices binary")
 
 
 def added(columns: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
@@ -147,9 +158,9 @@ def _rows(bitmap: np.ndarray) -> np.ndarray:
 class Block:
     """One block of the index, ready for queries."""
 
-    def __init__(self, rows: int, dims: int, bits: int, low: int, ids: bytes, slices: bytes) -> None:
+    def __init__(self, rows: int, dims: int, bits: int, low: int, ids: bytes, names: bytes, slices: bytes) -> None:
         self.low, self.bits = low, bits
-        self.ids = np.frombuffer(ids, "<i8")
+        self.ids, self.names = np.frombuffer(ids, "<i8"), np.frombuffer(names, "<i8")
         words = -(-rows // 64)
         plain = np.frombuffer(slices, np.uint64).reshape(dims, bits, words)
         self.slices = np.stack([plain, ~plain])
@@ -158,13 +169,14 @@ class Block:
         self.valid = np.packbits(valid, bitorder="little").view(np.uint64)
         self.dims = dims
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best ``k`` rows whose id is not the query's."""
+    def top(self, name: int, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        """Ids and scores of the best ``k`` rows other than the query's own."""
         query = query[: self.dims]
-        size, constant = np.abs(query), self.low * int(query.sum())
+        size, constant = np.abs(query), self.low * sum(query.tolist())
         columns: dict[int, list[np.ndarray]] = {}
         sign = (query < 0).astype(int)
-        for j in range(int(size.max(initial=0)).bit_length()):
+        width = int(size.max(initial=0)).bit_length()
+        for j in range(width):
             dims = np.flatnonzero(size >> j & 1)
             if not len(dims):
                 continue
@@ -174,30 +186,32 @@ class Block:
         sums = [np.zeros_like(self.valid) if s is None else s for s in added(columns)]
         among = self.valid.copy()
         first, last = np.searchsorted(self.ids, [query_id, query_id + 1])
-        for row in range(first, last):
+        for row in first + np.flatnonzero(self.names[first:last] == name):
             among[row >> 6] &= ~(np.uint64(1) << np.uint64(row & 63))
         rows = best_rows(sums, among, k)
-        scores = np.full(len(rows), constant, np.int64)
+        plain = width + self.bits + self.dims.bit_length() <= PLAIN_BITS
+        scores = np.zeros(len(rows), np.int64 if plain else object)
         for weight, bitmap in enumerate(sums):
-            scores += (bitmap[rows >> 6] >> (rows & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64) << weight
-        return self.ids[rows], scores
+            own = bitmap[rows >> 6] >> (rows & 63).astype(np.uint64) & np.uint64(1)
+            scores += own.astype(np.int64) << weight if plain else own.astype(object) << weight
+        return self.ids[rows], [int(s) + constant for s in scores]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` best rows of ``vectors``.
 
-    Both are ``vec_id, v`` (see ``quantised``).  A row is not its own answer; ties
+    Both are ``row, vec_id, v`` (see ``quantised``).  A row is not its own answer; ties
     go to the smaller ``vec_id``; a query with fewer rows to find gets all.  Rows
-    that repeat an id are answers each, and one query, the least vector.  Vectors
+    that repeat an id are answers and queries each, of each other too.  Scores are
+    exact whatever their size; one that does not fit a long is an error.  Vectors
     of different lengths are compared as if the shorter ended in zeros.  Queries
     meet the index in blocks: a chunk of queries and a block of rows at a time.
     """
     blocks = written(index(vectors), "index")
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = written(queries, "queries")
     chunks = max(1, -(-queries.count() // CHUNK_QUERIES))
-    packs = queries.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk")).agg(
-        F.collect_list(F.struct("vec_id", "v")).alias("queries")
+    packs = queries.groupBy(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk")).agg(
+        F.collect_list(F.struct("row", "vec_id", "v")).alias("queries")
     )
     # every chunk goes to every block: an equi join on both numbers, dealt evenly
     last = blocks.agg(F.coalesce(F.max("block"), F.lit(0)).alias("n")).first()["n"]
@@ -209,17 +223,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 get = {c: batch.column(c)[row] for c in batch.schema.names}
-                block = Block(*(get[c].as_py() for c in ("rows", "dims", "bits", "low", "ids", "slices")))
+                block = Block(*(get[c].as_py() for c in ("rows", "dims", "bits", "low", "ids", "names", "slices")))
                 own = get["queries"].values
-                ids, matrix = struct_field(own, "vec_id").to_numpy(), _matrix(struct_field(own, "v"))
-                found = [block.top(int(i), q, k) for i, q in zip(ids, matrix)]
+                names, ids = struct_field(own, "row").to_numpy(), struct_field(own, "vec_id").to_numpy()
+                found = [block.top(int(n), int(i), q, k) for n, i, q in zip(names, ids, _matrix(struct_field(own, "v")))]
                 sizes = [len(i) for i, _ in found]
+                scores = pa.array([Decimal(x) for _, s in found for x in s], pa.decimal128(38, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([i for i, _ in found])),
-                     pa.array(np.concatenate([s for _, s in found]))],
-                    ["query_id", "vec_id", "score"],
+                    [pa.array(np.repeat(names, sizes)), pa.array(np.repeat(ids, sizes)),
+                     pa.array(np.concatenate([i for i, _ in found])), scores],
+                    ["query", "query_id", "vec_id", "score"],
                 )
 
-    local = pairs.drop("block", "chunk").mapInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    local = pairs.drop("block", "chunk").mapInArrow(run, "query long, query_id long, vec_id long, score decimal(38,0)")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ranked = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))

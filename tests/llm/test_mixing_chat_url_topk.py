@@ -156,13 +156,13 @@ def test_url_filter_runs_no_python(spark):
 
 
 def brute_top(rows, k, every=20):
-    own = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows
+    own = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in rows
            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted({i for i, _ in own if i % every == 0}):
-        query = min(v for i, v in own if i == q)
-        scored = sorted((-sum(a * b for a, b in zip(query, v)), i) for i, v in own if i != q)
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    for at, (q, query) in enumerate(own):
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(query, v)), i) for n, (i, v) in enumerate(own) if n != at)
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return out
 
 
@@ -181,6 +181,22 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block, chunk):
     assert sorted(got) == sorted(brute_top(rows, 20))
 
 
+def test_large_components_keep_their_order(spark):
+    rows = [(20, [2.0**21, 1.0]), (1, [2.0**21, 0.0]), (2, [2.0**20, 5.0]), (3, [2.0**22, -1.0]), (40, [2.0**24, 2.0**25]), (41, [-(2.0**24), 3.0])]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [tuple(r) for r in topk.search(vectors, vectors.where("vec_id % 20 = 0"), 20).collect()]
+    assert sorted(got) == sorted(brute_top(rows, 20))
+    with pytest.raises(Exception, match="2\\*\\*57"):
+        topk.quantised(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"))
+
+
+def test_rows_of_one_id_are_queries_each(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (20, [0.0, 1.0])]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = [tuple(r) for r in topk.search(vectors, vectors.where("vec_id % 20 = 0"), 20).collect()]
+    assert sorted(got) == sorted(brute_top(rows, 20)) and len(got) == 9
+
+
 def test_top_k_of_few_rows(spark):
     table = spark.createDataFrame([(0, [0.5, -0.5]), (1, [0.25, 0.0]), (2, [-1.0, 1.0])], "vec_id long, embedding array<float>")
     vectors = topk.quantised(table)
