@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallymark.operators import rollup as ro
+from tallymark.operators import rollup as ro, sketches
 from tallymark.operators.compare import (
     bench_runs, comparison_vector, efficiency_score, leaderboard, merge_by_model, report_summary,
 )
@@ -137,6 +137,29 @@ def a3(spark, d):
     return rounded(ro.latency_block(views.responses(spark, d), RUN))
 
 
+@query(
+    "a3_sketch_rollup",
+    """SELECT model, dataset, count(*) AS responses, round(avg(latency_s) FILTER (latency_s > 0), 6) AS latency_avg,
+              round(count(*) / sum(latency_s) FILTER (latency_s > 0), 6) AS throughput, true AS p95_within, true AS p99_within,
+              true AS distinct_within
+       FROM responses GROUP BY model, dataset""",
+)
+def a3_sketches(spark, d):
+    """Daily summaries united by model and dataset, and whether their sketches keep to their error on the whole log."""
+    log = views.responses(spark, d)
+    daily = sketches.summaries(log, [*RUN, "day"])
+    out = sketches.figures(sketches.united(daily, RUN))
+    timed = log.where(F.col("latency_s") > 0).select(*RUN, "latency_s")
+    for name, rank in (("p95", 0.95), ("p99", 0.99)):
+        share = sketches.rank_range(timed, out, RUN, "latency_s", f"latency_{name}")
+        near = (F.col("low") - sketches.RANK_ERROR <= rank) & (F.col("high") + sketches.RANK_ERROR >= rank)
+        out = out.join(share.select(*RUN, near.alias(f"{name}_within")), RUN)
+    seen = log.select(*RUN, "sample_id").distinct().groupBy(*RUN).agg(F.count(F.lit(1)).alias("seen"))
+    near = F.abs(F.col("distinct_ids") - F.col("seen")) <= F.greatest(F.lit(1.0), F.col("seen") * sketches.DISTINCT_ERROR)
+    out = out.join(seen, RUN).withColumn("distinct_within", near)
+    return rounded(out.select(*RUN, "responses", "latency_avg", "throughput", "p95_within", "p99_within", "distinct_within"))
+
+
 @query(
     "a4_optional_means",
     """SELECT model, dataset, round(avg(output_tokens / latency_s) FILTER (NOT error AND latency_s > 0), 6) AS avg_token_efficiency,

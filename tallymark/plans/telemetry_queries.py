@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallymark.functions.lexicons import ERROR_PATTERNS
-from tallymark.operators import capacity, compare, errors as er, telemetry as te
+from tallymark.operators import asof, capacity, compare, errors as er, sketches, telemetry as te
 from tallymark.operators import rollup as ro
 from tallymark.plans.registry import query, rounded
 from tallymark.plans.rollup_queries import CLASSIFIED, ERROR_STATS, rules_sql
@@ -269,6 +269,34 @@ def t6(spark, d):
     return rounded(capacity.capacity_check(pairs).select("device", "model", "need_gb", "free_gb", "level", "safe"))
 
 
+@query(
+    "t6_capacity_as_of",
+    f"""SELECT device, model, count(*) AS requests, count(*) FILTER (level IS NULL) AS unknown,
+               count(*) FILTER (free_gb >= need_gb + total_gb * 0.1 AND level <> 'emergency') AS safe
+        FROM (SELECT r.request_id, r.model, r.device, need_gb, free_gb, total_gb,
+                     CASE WHEN utilization IS NULL THEN NULL ELSE {LEVEL} END AS level
+              FROM (SELECT *, (request_id * 7) % 16 AS device, ts - INTERVAL 1 MINUTE AS asked FROM responses) r
+              JOIN {need_sql(False)} n ON n.model = r.model
+              ASOF LEFT JOIN (SELECT device, ts, arg_max(total_gb, tick_id) AS total_gb, arg_max(free_gb, tick_id) AS free_gb,
+                                     arg_max(utilization, tick_id) AS utilization FROM device_metrics GROUP BY device, ts) m
+              ON m.device = r.device AND r.asked >= m.ts)
+        GROUP BY device, model""",
+)
+def t6_as_of(spark, d):
+    """Every request against what its device had a minute before: one ordered pass, no inequality join."""
+    asked = views.responses(spark, d).select(
+        "model", ((F.col("request_id") * 7) % 16).alias("device"), (F.col("ts") - F.expr("INTERVAL 1 MINUTE")).alias("ts")
+    )
+    readings = views.device_metrics(spark, d).select("device", "ts", "tick_id", "total_gb", "free_gb", "utilization")
+    met = asof.as_of(asked, readings, ["device"], "ts", ["tick_id"])
+    known = met.join(F.broadcast(views.models(spark)), "model")  # the catalog is a few rows of configuration
+    pairs = capacity.with_need(known).withColumn("level", F.when(F.col("utilization").isNotNull(), te.memory_level(F.col("utilization"))))
+    checked = capacity.capacity_check(pairs)
+    return checked.groupBy("device", "model").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("level").isNull()).alias("unknown"), F.count_if(F.col("safe")).alias("safe")
+    )
+
+
 @query(
     "t7_health_flags",
     f"""SELECT deployment, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS window_start,
@@ -400,6 +428,37 @@ for _p, _name in (("day", "daily"), ("week", "weekly")):
     query(f"t10_{_name}_performance", _period_sql(_p))(_period(_p))
 
 
+MERGED = """
+    SELECT date_trunc('{period}', ts)::DATE AS period, model, count(*) AS responses, round(avg(tokens_per_second), 6) AS tokens_per_second,
+           round(avg(latency_s) FILTER (latency_s > 0), 6) AS latency_avg, max(memory_usage_mb) AS memory_usage_mb,
+           round(count(*) / sum(latency_s) FILTER (latency_s > 0), 6) AS throughput
+    FROM responses GROUP BY 1, 2"""
+
+
+def _merged(daily, period):
+    parts = daily.withColumn("period", F.to_date(F.date_trunc(period, "day"))).drop("day")
+    out = sketches.figures(sketches.united(parts, ["period", "model"]))
+    return rounded(out.select("period", "model", "responses", "tokens_per_second", "latency_avg", "memory_usage_mb", "throughput"))
+
+
+@query("t10_weekly_from_daily", MERGED.format(period="week"))
+def t10_merged(spark, d):
+    """Weekly figures from stored daily summaries; the log is read once, for the daily ones."""
+    path = scratch_path(spark, "daily")
+    daily = sketches.summaries(views.responses(spark, d), ["day", "model"])
+    daily.write.parquet(path)
+    return _merged(spark.read.schema(daily.schema).parquet(path), "week")
+
+
+@query("t10_monthly_stream_unsorted_files", MERGED.format(period="month"))
+def t10_stream(spark, d):
+    """Daily summaries kept by a stream over unsorted files, united by month."""
+    folder = scratch_path(spark, "unsorted-responses")
+    views.table(spark, d, "events").repartition(8, "event_id").write.parquet(folder)
+    log = views.responses_of(st.read_events(spark, folder, files_per_trigger=1))
+    return _merged(st.run_upsert(spark, sketches.summaries(log, ["day", "model"]), "daily", ["day", "model"]), "month")
+
+
 def _need(parity):
     def run(spark, d):
         log = views.responses(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("responses"))
@@ -452,6 +511,27 @@ def f3(spark, d):
     return rounded(capacity.size_scores(hosts))
 
 
+@query(
+    "f3_size_scores_by_band",
+    """SELECT deployment, day, model_size, gpu_gb, score, round(greatest(least(gpu_gb * 5, 100) * factor, 0), 6) AS predicted_speed
+       FROM (SELECT deployment, ts::DATE AS day, max(gpu_memory_gb) * 20 AS gpu_gb FROM host_metrics GROUP BY ALL),
+            (SELECT * FROM (VALUES
+                 ('7B', 0.9::DOUBLE, [1.0, 1.0, 1.0, 1.0, 0.8, 0.5]), ('13B', 0.7::DOUBLE, [1.0, 1.0, 1.0, 0.7, 0.3, 0.0]),
+                 ('30B', 0.4::DOUBLE, [1.0, 1.0, 0.8, 0.2, 0.0, 0.0]), ('70B', 0.2::DOUBLE, [1.0, 0.7, 0.3, 0.0, 0.0, 0.0]))
+             AS t(model_size, factor, scores)),
+       LATERAL (SELECT scores[CASE WHEN gpu_gb >= 160 THEN 1 WHEN gpu_gb >= 80 THEN 2 WHEN gpu_gb >= 32 THEN 3
+                                   WHEN gpu_gb >= 16 THEN 4 WHEN gpu_gb >= 8 THEN 5 ELSE 6 END]::DOUBLE AS score)""",
+)
+def f3_bands(spark, d):
+    """Every host day in the tier its memory lies in; tiers are a table, met by bands and not by a chain of cases."""
+    hosts = views.host_metrics(spark, d).groupBy("deployment", F.to_date("ts").alias("day")).agg((F.max("gpu_memory_gb") * 20).alias("gpu_gb"))
+    sizes = F.explode(F.array(*[F.lit(s) for s in capacity.SPEED_FACTORS])).alias("model_size")
+    tiers = asof.tier_rows(spark, capacity.TIERS, capacity.SPEED_FACTORS)
+    met = asof.banded(hosts.select("*", sizes), tiers, ["model_size"], "gpu_gb", "floor_gb")
+    speed = F.greatest(F.least(F.col("gpu_gb") * 5, F.lit(100.0)) * F.col("factor"), F.lit(0.0))
+    return rounded(met.select("deployment", "day", "model_size", "gpu_gb", "score", speed.alias("predicted_speed")))
+
+
 HEALTH = f"""
     SELECT deployment, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS window_start, bool_and({_OK}) AS healthy,
            count(*) AS ticks FROM host_metrics GROUP BY ALL"""

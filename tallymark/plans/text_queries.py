@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import lexicons as lx
 from tallymark.functions import text as tx
-from tallymark.operators import pairing, samples as sm, scoring
+from tallymark.operators import pairing, samples as sm, scoring, vector_join
 from tallymark.operators.catalog import MODELS
 from tallymark.operators.joins import salted_join
 from tallymark.plans.oracle_views import quoted, rows, sql_list, sql_strip, sql_words
@@ -386,6 +386,23 @@ def e10(spark, d):
     )
 
 
+SIMILAR_VECTORS = 0.3
+
+
+@query(
+    "e10_similar_vectors",
+    f"""SELECT label, a, b, round(cosine, 6) AS cosine FROM (
+            SELECT x.label, x.vec_id AS a, y.vec_id AS b, {_dot("x.embedding", "y.embedding")}
+                   / (sqrt({_dot("x.embedding", "x.embedding")}) * sqrt({_dot("y.embedding", "y.embedding")})) AS cosine
+            FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id)
+        WHERE cosine >= {SIMILAR_VECTORS}""",
+)
+def e10_pairs(spark, d):
+    """All pairs of a label whose cosine reaches the threshold."""
+    vectors = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    return rounded(vector_join.pairs_above(vectors, SIMILAR_VECTORS))
+
+
 @query(
     "e11_qa_composite",
     f"""SELECT request_id, round(score, 6) AS score, score > 0.7 AS correct

@@ -25,9 +25,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
     """One generation per row: who answered, how fast, how large, did it fail."""
+    return responses_of(table(spark, folder, "events"))
+
+
+def responses_of(events: DataFrame) -> DataFrame:
+    """The same of event rows, stored or streamed."""
     k = F.get_json_object("props", "$.k").cast("int")
     latency = F.col("value") / 100
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("event_id").alias("request_id"),
         "ts",
         F.concat(F.lit("m"), F.col("user_id") % 8).alias("model"),
