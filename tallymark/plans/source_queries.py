@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tallymark.operators import compare
@@ -9,7 +11,8 @@ from tallymark.operators.trials import PARAMS, parameter_bins
 from tallymark.plans.registry import query, rounded
 from tallymark.plans.rollup_queries import bench, opt, scored
 from tallymark.session import scratch_path
-from tallymark.sources import runs, samples_io, views
+from tallymark.sources import runs, sample_source, samples_io, views
+from tallymark.streaming.telemetry import append_to
 
 
 def items(spark, d):
@@ -60,6 +63,40 @@ def s1(spark, d):
     return _part(_flat(loaded)).select(SHAPE)
 
 
+@query(
+    "s1_files_with_rejects",
+    f"""SELECT part, pos::VARCHAR AS sample_id, problem AS question, solution AS answer, language, category, {META}, false AS rejected
+        FROM {ITEMS} WHERE doc_id % 7 <> 0 AND part % 4 <> 1
+        UNION ALL SELECT DISTINCT part, NULL, NULL, NULL, NULL, NULL, NULL, true FROM {ITEMS} WHERE part % 4 = 1""",
+)
+def s1_rejects(spark, d):
+    """Array files of which every fourth is cut short: samples of the others, and a reject row for each."""
+    path = scratch_path(spark, "list-files")
+    whole = samples_io.array_files(items(spark, d), "part", "doc_id", FIELDS)
+    cut = F.when(F.col("part") % 4 == 1, F.expr("substring(value, 1, length(value) - 9)")).otherwise(F.col("value"))
+    whole.withColumn("value", cut).write.partitionBy("part").text(path)
+    good, rejects = sample_source.read_samples(spark, path, "list", samples_io.FORMATS["korean_math"])
+    told = _part(_flat(good)).select(SHAPE).withColumn("rejected", F.lit(False))
+    lost = _part(rejects).select("part", *[F.lit(None).cast("string").alias(c) for c in SHAPE if c != "part"], F.lit(True).alias("rejected"))
+    return told.unionByName(lost)
+
+
+@query(
+    "s2_stream_of_files",
+    f"""SELECT part, doc_id::VARCHAR AS sample_id, problem AS question, solution AS answer, language, category, {META}
+        FROM {ITEMS} WHERE doc_id % 7 <> 0""",
+)
+def s2_stream(spark, d):
+    """Object files as a stream: half of them first, the others after a restart from the same checkpoint."""
+    path, out, state = (scratch_path(spark, n) for n in ("keyed-files", "keyed-rows", "keyed-state"))
+    rows = items(spark, d)
+    for half in (0, 1):
+        samples_io.write_keyed_files(rows.where(F.col("part") % 2 == half), f"{path}/half={half}", "part", "doc_id", FIELDS)
+        good, _ = sample_source.read_samples(spark, path, "keyed", samples_io.FORMATS["korean_math"], stream=True)
+        append_to(good, out, state)
+    return _part(_flat(spark.read.schema(good.schema).parquet(out))).select(SHAPE)
+
+
 @query(
     "s2_keyed_files",
     f"""SELECT part, doc_id::VARCHAR AS sample_id, problem AS question, solution AS answer, language, category, {META}
@@ -226,6 +263,20 @@ def s8(spark, d):
     return aged.groupBy("model", "status").agg(F.count(F.lit(1)).alias("runs"), F.max("ts").alias("newest"))
 
 
+@query(
+    "s8_store_by_day",
+    """SELECT model, strftime(ts, '%Y-%m-%d') AS run_day, count(*) AS runs, max(ts) AS newest
+       FROM responses WHERE ts >= TIMESTAMP '2024-01-20 12:00:00' GROUP BY ALL""",
+)
+def s8_days(spark, d):
+    """Responses stored by day and expired: old days deleted, the border's day cut, all others untouched."""
+    path = scratch_path(spark, "by-day")
+    runs.store_by_day(views.responses(spark, d).select("request_id", "model", "ts"), path)
+    runs.expire(spark, path, datetime(2024, 1, 27, 12), days=7)
+    left = spark.read.option("basePath", path).parquet(path)
+    return left.groupBy("model", F.date_format("ts", "yyyy-MM-dd").alias("run_day")).agg(F.count(F.lit(1)).alias("runs"), F.max("ts").alias("newest"))
+
+
 @query(
     "s9_trial_history",
     f"""SELECT run_id, i AS position, i AS trial_number, CASE WHEN i IS NOT NULL THEN i * 0.25::DOUBLE END AS score,

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymark.session import clear_scratch, scratch_path
+
+DAY = "run_day"
+
 _PARAMS = T.StructType(
     [
         T.StructField("temperature", T.DoubleType()),
@@ -170,6 +176,65 @@ def keep_recent(runs: DataFrame, path: str, now: Column, days: int = 30, by: str
     store_runs(kept, path, mode="errorifexists")
 
 
+def store_by_day(runs: DataFrame, path: str, by: str = "ts", mode: str = "append") -> None:
+    """Append runs as Parquet, one folder per day, from where the rows lie."""
+    runs.withColumn(DAY, F.date_format(by, "yyyy-MM-dd")).write.mode(mode).partitionBy(DAY).parquet(path)
+
+
+def _days(spark: SparkSession, path: str) -> dict[str, tuple[object, int]]:
+    """Day folders of a store with their paths and numbers of files."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {}
+    for entry in files.listStatus(root):
+        name = entry.getPath().getName()
+        if entry.isDirectory() and name.startswith(f"{DAY}="):
+            parts = [f for f in files.listStatus(entry.getPath()) if f.getPath().getName().startswith("part-")]
+            found[name.split("=", 1)[1]] = (entry.getPath(), len(parts))
+    return found
+
+
+def _replace_day(spark: SparkSession, path: str, day: str, rows: DataFrame) -> None:
+    """Put ``rows`` in the place of one day's folder; all other folders stay untouched."""
+    held = scratch_path(spark, "day")
+    rows.drop(DAY).write.parquet(held)  # a folder cannot be read and replaced at once
+    kept = spark.read.schema(rows.drop(DAY).schema).parquet(held).withColumn(DAY, F.lit(day))
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
+    clear_scratch(spark, held)
+
+
+def expire(spark: SparkSession, path: str, now: datetime, days: int = 30, by: str = "ts", most_files: int = 8) -> dict[str, list[str]]:
+    """Drop what is older than ``days`` from a store by day; returns which days went, were cut or were compacted.
+
+    Folders before the border's day are deleted as they are, the border's own day is
+    filtered and replaced, later ones are not touched, except that a day with more than
+    ``most_files`` files is written again as one file per 128 MB.
+    """
+    border = now - timedelta(days=days)
+    edge = border.strftime("%Y-%m-%d")
+    found = _days(spark, path)
+    done: dict[str, list[str]] = {"dropped": [], "cut": [], "compacted": []}
+    for day, (folder, n_files) in sorted(found.items()):
+        own = spark.read.option("basePath", path).parquet(folder.toString()) if day >= edge else None
+        if day < edge:
+            clear_scratch(spark, folder.toString())
+            done["dropped"].append(day)
+        elif day == edge:
+            kept = own.where(F.col(by) >= F.lit(border).cast(own.schema[by].dataType))
+            if kept.isEmpty():
+                clear_scratch(spark, folder.toString())
+                done["dropped"].append(day)
+            else:
+                _replace_day(spark, path, day, kept)
+                done["cut"].append(day)
+        elif n_files > most_files:
+            size = sum(f.getLen() for f in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder))
+            _replace_day(spark, path, day, own.repartition(max(1, -(-size // (128 << 20)))))
+            done["compacted"].append(day)
+    return done
+
+
 def explode_history(runs: DataFrame) -> DataFrame:
     """Trial rows of each run; a run without history keeps one empty row."""
     return runs.select(

@@ -115,22 +115,22 @@ register_loader("keyed", read_keyed)
 register_loader("lines", read_lines)
 
 
-def write_array_files(df: DataFrame, path: str, file_key: str, order: str, item: Mapping[str, str] | None = None) -> None:
-    """Write rows as JSON array files, one text file per ``file_key`` value.
-
-    ``file_key`` must give files of bounded size (an id range, for example).
-    """
+def array_files(df: DataFrame, file_key: str, order: str, item: Mapping[str, str] | None = None) -> DataFrame:
+    """``file_key, value``: the text of a JSON array file for every ``file_key`` value."""
     columns = [F.col(c).alias(k) for k, c in (item or {c: c for c in df.columns if c != file_key}).items()]
     body = F.transform(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.to_json(F.struct(*columns)).alias("j")))),
         lambda x: x["j"],
     )
-    (
-        df.groupBy(file_key)
-        .agg(F.concat(F.lit("["), F.array_join(body, ",\n"), F.lit("]")).alias("value"))
-        .write.partitionBy(file_key)
-        .text(path)
-    )
+    return df.groupBy(file_key).agg(F.concat(F.lit("["), F.array_join(body, ",\n"), F.lit("]")).alias("value"))
+
+
+def write_array_files(df: DataFrame, path: str, file_key: str, order: str, item: Mapping[str, str] | None = None) -> None:
+    """Write rows as JSON array files, one text file per ``file_key`` value.
+
+    ``file_key`` must give files of bounded size (an id range, for example).
+    """
+    array_files(df, file_key, order, item).write.partitionBy(file_key).text(path)
 
 
 def write_keyed_files(df: DataFrame, path: str, file_key: str, id_column: str, item: Mapping[str, str]) -> None:
