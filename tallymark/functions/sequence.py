@@ -41,11 +41,20 @@ def with_running(
     order: Sequence[str],
     totals: Mapping[str, tuple[str, Column]],
     slices: int | None = None,
+    lean: bool = False,
 ) -> DataFrame:
     """Running sums or maxima of each group, up to and with the row.
 
-    ``totals`` maps a new column to ``("sum" | "max", expression)``.
+    ``totals`` maps a new column to ``("sum" | "max", expression)``.  With ``lean``
+    only keys, order and the values are put in slices and stored, and rows get their
+    totals by key and order, which must be unique then.
     """
+    if lean:
+        values = {f"_v{i}": value for i, (_, value) in enumerate(totals.values())}
+        own = df.select(*keys, *order, *[v.alias(n) for n, v in values.items()])
+        named = {name: (kind, F.col(v)) for v, (name, (kind, _)) in zip(values, totals.items())}
+        told = with_running(own, keys, order, named, slices).select(*keys, *order, *totals)
+        return null_safe_join(df, told, [*keys, *order])
     sliced = ordered_slices(df, keys, order, slices)
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     so_far = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -71,5 +80,5 @@ def with_running(
 def with_row_number(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_number", slices: int | None = None
 ) -> DataFrame:
-    """One-based position of each row in its group."""
-    return with_running(df, keys, order, {name: ("sum", F.lit(1))}, slices)
+    """One-based position of each row in its group; ``order`` is unique in it."""
+    return with_running(df, keys, order, {name: ("sum", F.lit(1))}, slices, lean=set(df.columns) > {*keys, *order})

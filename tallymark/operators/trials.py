@@ -152,7 +152,7 @@ def best_trial(df: DataFrame, keys: Sequence[str], order: str = "trial") -> Data
 
 def running_best(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Best score of completed trials so far (never below 0) and trial number from 0."""
-    out = with_running(df, keys, order, {"_best": ("max", completed_score(df)), "_n": ("sum", F.lit(1))})
+    out = with_running(df, keys, order, {"_best": ("max", completed_score(df)), "_n": ("sum", F.lit(1))}, lean=True)
     return out.withColumns(
         {"best_so_far": F.greatest(F.col("_best"), F.lit(0.0)), "trial_number": F.col("_n") - 1}
     ).drop("_best", "_n")
@@ -272,15 +272,15 @@ def study_summary(df: DataFrame, keys: Sequence[str], order: str = "trial") -> D
     )
 
 
-# Advice codes with their texts; the texts are fixed values.
+# Advice codes with their texts; the texts are fixed values, figures go where the braces are.
 ADVICE = {
     "low_temperature": "매우 낮은 temperature로 일관성이 높지만 창의성이 제한될 수 있습니다.",
     "high_temperature": "높은 temperature로 창의적이지만 일관성이 떨어질 수 있습니다.",
     "low_top_p": "낮은 top_p로 보수적인 토큰 선택을 합니다.",
     "high_memory": "메모리 사용량이 높습니다. 배치 크기를 줄이거나 양자화를 고려하세요.",
     "high_cpu": "CPU 사용률이 높습니다. 동시 처리 수를 줄여보세요.",
-    "low_success": "Trial 성공률이 낮습니다. 메모리나 시간 제한을 확인하세요.",
-    "high_utilization": "장치 사용률이 높습니다. 배치 크기를 줄이거나 양자화를 고려하세요.",
+    "low_success": "Trial 성공률이 낮습니다 ({success_rate}). 메모리나 시간 제한을 확인하세요.",
+    "high_utilization": "{device} 사용률이 높습니다 ({utilization}). 배치 크기를 줄이거나 양자화를 고려하세요.",
     "low_score": "전체 성능이 낮습니다. 모델 크기를 늘리거나 다른 모델을 고려하세요.",
     "high_score": "매우 좋은 성능입니다. 이 설정을 프로덕션에 적용하는 것을 권장합니다.",
 }
@@ -304,7 +304,23 @@ def recommendations(df: DataFrame, memory_limit: float = 80.0) -> DataFrame:
     return df.withColumn("advice", F.array_compact(F.array(*codes)))
 
 
-def advice_texts(codes: Column) -> Column:
-    """Texts of an array of advice codes."""
+def percent(share: Column) -> Column:
+    """A share as a percentage with one place; an exact half is rounded up."""
+    return F.format_string("%.1f%%", share * 100 + 1e-9)
+
+
+def advice_texts(codes: Column, figures: Mapping[str, Column] | None = None) -> Column:
+    """Texts of an array of advice codes, with the run's figures (success_rate, utilization, device) put in.
+
+    A figure that is not given, or null, is said by its name.
+    """
     lookup = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
-    return F.transform(codes, lambda c: F.try_element_at(lookup, c))
+    given = {name: F.coalesce((figures or {}).get(name, F.lit(None).cast("string")), F.lit(name)) for name in ("success_rate", "utilization", "device")}
+
+    def told(code: Column) -> Column:
+        text = F.try_element_at(lookup, code)
+        for name, value in given.items():
+            text = F.replace(text, F.lit("{" + name + "}"), value)
+        return text
+
+    return F.transform(codes, told)

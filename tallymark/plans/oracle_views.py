@@ -93,13 +93,16 @@ VIEWS = {
         FROM (SELECT conv_id, turn, role, text AS prediction, lag(role) OVER w AS asked_by, lag(text) OVER w AS question
               FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
         WHERE role = 'assistant' AND asked_by = 'user'""",
-    "pairs_by_line": f"""
+    "partners": f"""
         SELECT d.doc_id, d.ref_id, a.lang, a.text AS prediction, b.text AS truth
-        FROM (SELECT doc_id, min(ref_id) AS ref_id
+        FROM (SELECT DISTINCT doc_id, ref_id
               FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, line) AS ref_id
                     FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents)
-                    WHERE {sql_strip("line")} <> '')
-              WHERE doc_id > ref_id GROUP BY doc_id) d
+                    WHERE {sql_strip("line")} <> ''
+                    UNION ALL
+                    SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, lower({sql_strip("text")})) FROM documents
+                    WHERE {sql_strip("text")} <> '')
+              WHERE doc_id > ref_id) d
         JOIN documents a ON a.doc_id = d.doc_id JOIN documents b ON b.doc_id = d.ref_id""",
     "vector_pairs": """
         SELECT vec_id, label, embedding, first_value(vec_id) OVER w AS ref_id, first_value(embedding) OVER w AS ref

@@ -222,12 +222,12 @@ def j3(spark, d):
                CASE WHEN {sql_strip("prediction")} = '' OR {sql_strip("truth")} = '' THEN 0
                     ELSE (lower({sql_strip("prediction")}) = lower({sql_strip("truth")}))::INT END::DOUBLE AS score,
                (lower({sql_strip("prediction")}) = lower({sql_strip("truth")}))::INT::DOUBLE AS score_blank_equal
-        FROM pairs_by_line""",
+        FROM partners""",
 )
 def e1(spark, d):
-    """Documents that share a line, compared by digests: no text is shuffled."""
+    """Documents against every partner they share a line or their text with, compared by digests: no text is shuffled."""
     digests = views.text_digests(spark, d)
-    pairs = views.pairs_by_line(spark, d).join(digests.withColumnRenamed("digest", "prediction"), "doc_id")
+    pairs = views.partners(spark, d).join(digests.withColumnRenamed("digest", "prediction"), "doc_id")
     truths = digests.select(F.col("doc_id").alias("ref_id"), F.col("digest").alias("truth"))
     p, t = F.col("prediction"), F.col("truth")
     return salted_join(pairs, truths, ["ref_id"], ["doc_id"]).select(
@@ -250,14 +250,14 @@ def e2(spark, d):
 @query("e3_sequence_similarity")
 def e3(spark, d):
     p, t = F.col("prediction"), F.col("truth")
-    out = views.pairs_similar(spark, d, every=True).select("doc_id", "ref_id", scoring.similarity(p, t, True).alias("score"))
+    out = views.pairs_similar(spark, d).select("doc_id", "ref_id", scoring.similarity(p, t, True).alias("score"))
     return rounded(out.withColumn("correct", F.col("score") > 0.8))
 
 
 @query(
     "e3_similarity_bound",
     """SELECT doc_id, ref_id, round(2 * least(length(prediction), length(truth)) / (length(prediction) + length(truth)), 6)
-                  AS bound FROM pairs_by_line""",
+                  AS bound FROM partners""",
 )
 def e3_bound(spark, d):
     pairs = views.pairs_similar(spark, d)
@@ -268,7 +268,7 @@ def e3_bound(spark, d):
 
 @query("e3_similar_enough")
 def e3_correct(spark, d):
-    pairs = views.pairs_similar(spark, d, every=True)
+    pairs = views.pairs_similar(spark, d)
     return pairs.select("doc_id", "ref_id", scoring.similar_enough(F.col("prediction"), F.col("truth")).alias("correct"))
 
 
@@ -510,7 +510,7 @@ def routed(spark, d, native_only=False):
     )
     if native_only:
         return math.unionByName(prose)
-    similar = views.pairs_similar(spark, d, every=True).select(
+    similar = views.pairs_similar(spark, d).select(
         F.concat_ws("-", F.lit("doc"), "doc_id", "ref_id").alias("request_id"), "prediction", "truth",
         F.when(F.col("doc_id") % 3 == 0, "performance").when(F.col("doc_id") % 3 == 1, "basic").otherwise("nonesuch")
         .alias("evaluator"),
@@ -521,7 +521,7 @@ def routed(spark, d, native_only=False):
 @query("e17_performance_composite")
 def e17(spark, d):
     """Similarity blended with the speed of the request of the same id."""
-    pairs = views.pairs_similar(spark, d, every=True).withColumn("evaluator", F.lit("performance"))
+    pairs = views.pairs_similar(spark, d).withColumn("evaluator", F.lit("performance"))
     stats = views.responses(spark, d).select(
         F.col("request_id").alias("doc_id"), "tokens_per_second", "memory_usage_mb"
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallymark.operators import abtest, compare
 from tallymark.operators import rollup as ro
 from tallymark.operators import trials as tr
+from tallymark.plans.oracle_views import quoted
 from tallymark.plans.registry import query, rounded
 from tallymark.plans.rollup_queries import RUN, bench, opt, scored
 from tallymark.sources import views
@@ -253,6 +254,33 @@ def p10(spark, d):
     )
 
 
+def _advice_sql():
+    texts = {code: quoted(text) for code, text in tr.ADVICE.items()}
+    rate = "printf('%.1f%%', success_rate * 100 + 1e-9)"
+    use = "printf('%.1f%%', utilization * 100 + 1e-9)"
+    low = f"replace({texts['low_success']}, '{{success_rate}}', {rate})"
+    high = f"replace(replace({texts['high_utilization']}, '{{utilization}}', {use}), '{{device}}', 'cuda:' || device)"
+    return f"""
+        SELECT run_id, concat_ws(' | ', CASE WHEN success_rate < 0.5 THEN {low} END, CASE WHEN utilization > 0.9 THEN {high} END,
+                   CASE WHEN best_score < 0.7 THEN {texts['low_score']} END, CASE WHEN best_score > 0.9 THEN {texts['high_score']} END) AS advice
+        FROM opt_runs JOIN (SELECT study, count(*) FILTER (state = 'complete') / count(*) AS success_rate FROM trials GROUP BY study) USING (study)
+        JOIN (SELECT device, avg(utilization) * 1.5 AS utilization FROM device_metrics GROUP BY device) ON device = study % 16"""
+
+
+@query("p10_advice_texts", _advice_sql())
+def p10_texts(spark, d):
+    """The texts themselves, with each run's success rate and its device's utilisation in them."""
+    rates = tr.study_summary(views.trials(spark, d), ["study"]).select("study", "success_rate")
+    devices = views.device_metrics(spark, d).groupBy("device").agg((F.avg("utilization") * 1.5).alias("utilization"))
+    runs = opt(spark, d).select("run_id", "study", "best_score").join(rates, "study").withColumn("device", F.col("study") % 16).join(devices, "device")
+    figures = {
+        "success_rate": tr.percent(F.col("success_rate")), "utilization": tr.percent(F.col("utilization")),
+        "device": F.concat(F.lit("cuda:"), F.col("device").cast("string")),
+    }
+    advised = tr.recommendations(runs)
+    return advised.select("run_id", F.array_join(tr.advice_texts(F.col("advice"), figures), " | ").alias("advice"))
+
+
 def _board(metric, sql_order):
     return f"""SELECT model, dataset, day, round({metric}, 6) AS {metric},
                       row_number() OVER (PARTITION BY dataset, day ORDER BY {sql_order}, model)::INTEGER AS "rank"

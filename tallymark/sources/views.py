@@ -216,14 +216,14 @@ def chat_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.join(questions, ["conv_id", "asked"]).join(answers, ["conv_id", "turn"]).select("conv_id", "turn", "question", "prediction")
 
 
-def pairs_similar(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
-    """The pairs of ``pairs_by_line``, or with ``every`` those of ``partners``, with both whole texts.
+def pairs_similar(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs of ``partners`` with both whole texts.
 
     Pairs are found on ids and line hashes.  Texts are then read again beside the
     ids of the pairs, so a text moves only if it has a pair, and a document that
     very many others meet is split by document id.
     """
-    pairs = small_side((partners if every else pairs_by_line)(spark, folder))
+    pairs = small_side(partners(spark, folder))
     docs = table(spark, folder, "documents")
     refs = small_side(pairs.select("ref_id").distinct())
     texts = spread(docs.select("doc_id", "lang", F.col("text").alias("prediction")), "doc_id").join(pairs, "doc_id")
@@ -252,11 +252,6 @@ def _after_first(rows: DataFrame, keys: list[str]) -> DataFrame:
     return met.select("doc_id", "ref_id")
 
 
-def pairs_by_line(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document against the first one of its language that it shares a whole line with; one pair per document."""
-    return _line_partners(spark, folder).groupBy("doc_id").agg(F.min("ref_id").alias("ref_id"))
-
-
 def partners(spark: SparkSession, folder: str) -> DataFrame:
     """Each document against the first one of its language with each of its lines, and the first with its whole text.
 

@@ -137,3 +137,23 @@ def test_scratch_can_be_cleared(spark):
     clear_scratch(spark, path)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_advice_says_the_measured_figures(spark):
+    from tallymark.operators import trials
+
+    df = spark.createDataFrame([(0.125, 0.955, "cuda:3"), (0.9, 0.2, None)], "success_rate double, utilization double, device string")
+    figures = {"success_rate": trials.percent(F.col("success_rate")), "utilization": trials.percent(F.col("utilization")), "device": F.col("device")}
+    out = trials.recommendations(df).select(trials.advice_texts(F.col("advice"), figures).alias("t"), trials.advice_texts(F.col("advice")).alias("plain")).collect()
+    assert out[0].t == ["Trial 성공률이 낮습니다 (12.5%). 메모리나 시간 제한을 확인하세요.", "cuda:3 사용률이 높습니다 (95.5%). 배치 크기를 줄이거나 양자화를 고려하세요."]
+    assert out[1].t == [] and "(success_rate)" in out[0].plain[0]
+
+
+def test_running_totals_by_key_equal_those_of_whole_rows(spark):
+    from tallymark.functions.sequence import with_running
+
+    rows = [(k, i, float((i * 7) % 5), "payload") for k in ("a", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, i int, v double, text string")
+    totals = {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}
+    one, two = (with_running(df, ["k"], ["i"], totals, 4, lean=x).select("k", "i", "text", "s", "m").collect() for x in (False, True))
+    assert sorted(map(tuple, one), key=repr) == sorted(map(tuple, two), key=repr) and len(two) == 100
