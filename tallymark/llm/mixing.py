@@ -73,7 +73,9 @@ def mix(
     """
     keep = [c for c in documents.columns if c not in ("copy", "mix_key")]
     docs = documents.select(*[column(c) for c in keep])
-    rate, parts, steps, source, salt = (fresh(docs, n) for n in ("_rate", "_parts", "_steps", "_source", "_salt"))
+    rate, parts, steps, source, salt, share = (fresh(docs, n) for n in ("_rate", "_parts", "_steps", "_source", "_salt", "_share"))
+    # rows that repeat id and text have one key; where they were read deals them apart
+    docs = docs.withColumn(share, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     table = rates(documents, weights, total, alpha).select(
         F.col("source").alias(source), (F.col("rate") / F.greatest(F.lit(1.0), F.ceil(F.col("rate") / STEP))).alias(rate),
         F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int").alias(parts),
@@ -101,4 +103,5 @@ def mix(
     keyed = copies.withColumn(
         "mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), key, F.col("copy").cast("string")).cast("binary"))
     )
-    return keyed.select(*[column(c) for c in keep], "copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
+    dealt = keyed.select(*[column(c) for c in keep], "copy", "mix_key", share).repartition("mix_key", share)
+    return dealt.sortWithinPartitions("mix_key").drop(share)
