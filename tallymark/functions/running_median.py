@@ -1,7 +1,7 @@
 """Exact median of the rows before each row, in groups of any size.
 
-Groups up to ``max_group`` rows are walked in order by one task.  A larger
-group is cut into slices of its order.  While a slice is walked, the median can
+Groups up to ``window_group`` rows, the usual ones, are a window function's work.
+Those up to ``max_group`` rows are walked in order by one task.  A larger group is cut into slices of its order.  While a slice is walked, the median can
 only move by the rows of the slice, so the slice needs no more of the earlier
 rows than a band around their median; which values lie in that band is found
 from counts per (slice, value cell).
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.sequence import SLICE, ordered_slices
 from tallymark.operators.joins import small_side
 
+WINDOW_GROUP = 512  # a window sorts what it has seen once per row
 MAX_GROUP = 100_000
 _SALTS = 256
 
@@ -31,6 +32,7 @@ def with_median_before(
     counted: str,
     max_group: int = MAX_GROUP,
     slices: int | None = None,
+    window_group: int = WINDOW_GROUP,
 ) -> DataFrame:
     """Add ``n_before`` and ``median_before`` over earlier rows flagged ``counted``.
 
@@ -39,15 +41,29 @@ def with_median_before(
     """
     keys = list(keys)
     lean = df.select(*keys, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"), F.col(counted).alias("_c"))
-    large = lean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_group).select(*keys)
-    large = small_side(large)
-    own = lean.join(large, keys, "left_anti").withColumn(SLICE, F.lit(0)).withColumn("_m", F.lit(0).cast("long"))
+    sizes = lean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > window_group)
+    sizes = small_side(sizes)
+    if sizes.isEmpty():
+        return _by_window(lean, keys, order)
+    usual = _by_window(lean.join(sizes, keys, "left_anti"), keys, order)
+    rest = lean.join(sizes, keys)
+    own = rest.where(F.col("_n") <= max_group).drop("_n").withColumn(SLICE, F.lit(0)).withColumn("_m", F.lit(0).cast("long"))
     band = None
-    if not large.isEmpty():
-        sliced = ordered_slices(lean.join(large, keys, "left_semi"), keys, ["_o"], slices)
+    if not sizes.where(F.col("_n") > max_group).isEmpty():
+        sliced = ordered_slices(rest.where(F.col("_n") > max_group).drop("_n"), keys, ["_o"], slices)
         band, own_large = _bands(sliced, keys, slices)
         own = own.unionByName(own_large)
-    return _walk(own, band, keys, order, dict(df.dtypes))
+    return usual.unionByName(_walk(own, band, keys, order, dict(df.dtypes)))
+
+
+def _by_window(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Groups of a bounded size, without leaving the JVM."""
+    before = Window.partitionBy(*keys).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    kept = F.when(F.col("_c"), F.col("_v"))
+    return rows.select(
+        *keys, F.col("_o").alias(order), F.coalesce(F.count_if("_c").over(before), F.lit(0)).alias("n_before"),
+        F.percentile(kept, 0.5).over(before).alias("median_before"),
+    )
 
 
 def _bands(sliced: DataFrame, keys: list[str], slices: int | None) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.running_median import MAX_GROUP, with_median_before
+from tallymark.functions.running_median import MAX_GROUP, WINDOW_GROUP, with_median_before
 from tallymark.functions.sequence import with_running
 from tallymark.operators.joins import salted_join
 from tallymark.operators.samples import seeded_sample
@@ -167,6 +167,7 @@ def median_rule(
     warmup_steps: int = 2,
     max_group: int = MAX_GROUP,
     slices: int | None = None,
+    window_group: int = WINDOW_GROUP,
 ) -> DataFrame:
     """Which reports the median rule would have stopped.
 
@@ -179,7 +180,7 @@ def median_rule(
     ensure_checkpoint_dir(reports.sparkSession)
     reports = reports.select(study, trial, step, "value", "complete").checkpoint()
     best = with_running(reports, [study, trial], [step], {"best_so_far": ("max", F.col("value"))}, slices)
-    medians = with_median_before(reports, [study, step], trial, "value", "complete", max_group, slices)
+    medians = with_median_before(reports, [study, step], trial, "value", "complete", max_group, slices, window_group)
     # completed trials before each trial: one row per trial
     trials = reports.groupBy(study, trial).agg(F.bool_and("complete").alias("_done"))
     done = F.col("_done").cast("long")

@@ -81,11 +81,12 @@ def test_row_numbers_and_running_totals(spark):
             assert running[key, i] == (top, total)
 
 
-def test_running_median_of_large_and_small_groups(spark):
+@pytest.mark.parametrize("window_group", [0, 45, 10_000])
+def test_running_median_of_large_and_small_groups(spark, window_group):
     r = random.Random(11)
     rows = [(k, i, round(v, 1) if i % 3 else v, r.random() < 0.8) for k, i, v in lopsided(1500, 9)]
     df = spark.createDataFrame(rows, "key string, id long, v double, done boolean").repartition(6)
-    out = with_median_before(df, ["key"], "id", "v", "done", max_group=60, slices=9).collect()
+    out = with_median_before(df, ["key"], "id", "v", "done", max_group=60, slices=9, window_group=window_group).collect()
     got = {(x["key"], x["id"]): (x["n_before"], x["median_before"]) for x in out}
     assert len(got) == len(rows)
     earlier = {}
