@@ -11,10 +11,16 @@ from tallymark.functions.sequence import with_row_number
 from tallymark.operators import rollup
 
 
-def bench_runs(responses: DataFrame, hosts: DataFrame, keys: Sequence[str] = ("model", "dataset", "day")) -> DataFrame:
+def bench_runs(
+    responses: DataFrame,
+    hosts: DataFrame | None = None,
+    keys: Sequence[str] = ("model", "dataset", "day"),
+    cpu: Column | None = None,
+) -> DataFrame:
     """One row per run: performance, accuracy, efficiency and cost.
 
-    ``hosts`` holds cpu_avg per run key.
+    CPU load is a column expression ``cpu`` of the responses, averaged in the same
+    pass, or comes as ``cpu_avg`` per run key in ``hosts``.
     """
     keys = list(keys)
     perf = rollup.run_metrics(
@@ -24,8 +30,11 @@ def bench_runs(responses: DataFrame, hosts: DataFrame, keys: Sequence[str] = ("m
             (F.count_if(F.col("correct")) / F.count(F.lit(1))).alias("accuracy"),
             F.max("ts").alias("ts"),
             (rollup.seconds_between(F.min("ts"), F.max("ts")) / 3600).alias("duration_h"),
+            *([] if cpu is None else [F.avg(cpu).alias("cpu_avg")]),
         ),
-    ).join(hosts, keys)
+    )
+    if hosts is not None:
+        perf = perf.join(hosts, keys)
     tps, mem = F.col("tokens_per_second"), F.col("memory_usage_mb")
     return perf.withColumns(
         {**rollup.efficiency_by_cpu(tps, mem, F.col("cpu_avg")), **rollup.cost_by_rental(tps, mem, F.col("duration_h"))}

@@ -20,16 +20,14 @@ def scored(spark, d):
     return views.scored(spark, d).withColumn("correct", F.coalesce(F.col("score") > 0.8, F.lit(False)))
 
 
-def host_by_run(spark, d):
-    r = views.responses(spark, d)
-    return r.groupBy("model", "dataset", "day").agg(
-        F.avg(F.least(F.lit(100.0), F.col("latency_s") * 100)).alias("cpu_avg")
-    )
+def cpu_load():
+    """CPU load of the host while it answered, from the response's latency."""
+    return F.least(F.lit(100.0), F.col("latency_s") * 100)
 
 
 def bench(spark, d):
     """Benchmark run rows built from the response log."""
-    return bench_runs(scored(spark, d), host_by_run(spark, d))
+    return bench_runs(scored(spark, d), cpu=cpu_load())
 
 
 def opt(spark, d):
@@ -72,9 +70,7 @@ EVAL = """
 )
 def flagship(spark, d):
     """Which model is best per dataset, and what does it cost?"""
-    r = views.responses(spark, d)
-    cpu = r.groupBy(*RUN).agg(F.avg(F.least(F.lit(100.0), F.col("latency_s") * 100)).alias("cpu_avg"))
-    runs = bench_runs(scored(spark, d), cpu, RUN)
+    runs = bench_runs(scored(spark, d), keys=RUN, cpu=cpu_load())
     ranked = leaderboard(runs, "accuracy")
     return rounded(
         ranked.select(

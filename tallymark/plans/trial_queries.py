@@ -9,7 +9,7 @@ from tallymark.operators import rollup as ro
 from tallymark.operators import trials as tr
 from tallymark.plans.oracle_views import quoted
 from tallymark.plans.registry import query, rounded
-from tallymark.plans.rollup_queries import RUN, bench, opt, scored
+from tallymark.plans.rollup_queries import RUN, bench, cpu_load, opt, scored
 from tallymark.sources import views
 
 ORDER = "o, l, p, x"
@@ -410,8 +410,7 @@ def w8(spark, d):
 )
 def w10(spark, d):
     kept = compare.filter_runs(scored(spark, d), ["m1", "m3", "m5"], ["d0", "d2"])
-    hosts = kept.groupBy(*RUN, "day").agg(F.avg(F.least(F.lit(100.0), F.col("latency_s") * 100)).alias("cpu_avg"))
-    ranked = compare.leaderboard(compare.bench_runs(kept, hosts), "accuracy", ["dataset", "day"])
+    ranked = compare.leaderboard(compare.bench_runs(kept, cpu=cpu_load()), "accuracy", ["dataset", "day"])
     return rounded(ranked.select(*RUN, "day", "accuracy", "tokens_per_second", "rank"))
 
 
