@@ -149,6 +149,15 @@ def test_model_learns_from_n_grams(spark):
     assert url_filter.judge(pages.limit(0), queries.RULES, url_filter.labelled_by_rules(pages.limit(0), queries.RULES)).count() == 0
 
 
+def test_model_is_right_on_urls_held_out_of_the_labelled_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    labelled = url_filter.labelled_by_rules(pages, queries.RULES).withColumn("fold", F.pmod(F.xxhash64("host", "path"), F.lit(5)))
+    held = labelled.where("fold = 0").select(F.xxhash64("host", "path").alias("page_id"), F.concat(F.lit("http://"), "host", "path").alias("url"), "blocked")
+    judged = url_filter.judge(held.select("page_id", "url"), [], labelled.where("fold <> 0").drop("fold")).join(held.select("page_id", "blocked"), "page_id").collect()
+    right = sum((r.verdict == "block") == r.blocked for r in judged)
+    assert len(judged) > 50 and right > 0.9 * len(judged)
+
+
 def test_url_filter_runs_no_python(spark):
     pages = spark.createDataFrame([(1, "http://a.com/de/"), (2, "http://b.org/")], "page_id long, url string")
     plan = url_filter.judge(pages, queries.RULES, url_filter.labelled_by_rules(pages, queries.RULES))._jdf.queryExecution().toString()
