@@ -80,8 +80,8 @@ def _probe(texts: DataFrame) -> np.ndarray:
     return total
 
 
-def _filed(patterns: DataFrame, seen: np.ndarray) -> DataFrame:
-    """``pattern, rank, gram`` with the gram each pattern is filed under."""
+def _filed(patterns: DataFrame, seen: np.ndarray, blocks: int) -> DataFrame:
+    """``pattern, rank, gram, block``: the gram each pattern is filed under, and the block that holds the gram."""
     shared = patterns.sparkSession.sparkContext.broadcast(seen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,11 +90,12 @@ def _filed(patterns: DataFrame, seen: np.ndarray) -> DataFrame:
             for text in batch.column("pattern").to_pylist():
                 own = _own_grams(text)
                 codes.append(own[np.lexsort((own, shared.value[_place(own, _COUNTERS)]))[0]])
-            gram = pa.array(np.array(codes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("pattern"), batch.column("rank"), gram], ["pattern", "rank", "gram"])
+            own = np.array(codes, np.uint64)
+            columns = [batch.column("pattern"), batch.column("rank"), pa.array(own.view(np.int64)), pa.array(_block(own, blocks))]
+            yield pa.RecordBatch.from_arrays(columns, ["pattern", "rank", "gram", "block"])
 
     kind = patterns.schema["rank"].dataType.simpleString()
-    return patterns.select("pattern", "rank").mapInArrow(run, f"pattern string, rank {kind}, gram long")
+    return patterns.select("pattern", "rank").mapInArrow(run, f"pattern string, rank {kind}, gram long, block long")
 
 
 def _bitmap(filed: DataFrame) -> np.ndarray:
@@ -128,8 +129,8 @@ def occurrences(texts: DataFrame, patterns: DataFrame, first_only: bool = False)
     """
     spark = texts.sparkSession
     given = patterns.where(F.col("pattern").isNotNull())
-    filed = _stored(_filed(given, _probe(texts)), "filed")
-    blocks = max(1, -(-(filed.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0) // BLOCK_BYTES))
+    blocks = max(1, -(-(given.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0) // BLOCK_BYTES))
+    filed = _stored(_filed(given, _probe(texts), blocks), "filed")
     known = spark.sparkContext.broadcast(_bitmap(filed))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,22 +146,17 @@ def occurrences(texts: DataFrame, patterns: DataFrame, first_only: bool = False)
                 [batch.column("id"), batch.column("text"), pa.array(out, pa.list_(pa.int64()))], ["id", "text", "blocks"]
             )
 
-    @F.arrow_udf("long")
-    def block_of(codes: pa.Array) -> pa.Array:
-        return pa.array(_block(codes.to_numpy(zero_copy_only=False).view(np.uint64), blocks))
-
     kind, rank = texts.schema["id"].dataType.simpleString(), patterns.schema["rank"].dataType.simpleString()
     asked = texts.where(F.col("text").isNotNull()).select("id", "text").mapInArrow(visits, f"id {kind}, text string, blocks array<long>")
     asked = _stored(asked.where(F.size("blocks") > 0), "asked").select("id", "text", F.explode("blocks").alias("block"))
-    placed = _stored(filed.withColumn("block", block_of("gram")), "placed")
     # a gram that very many patterns are filed under makes a block too large for one automaton
-    parts = placed.groupBy("block").agg(F.ceil(F.sum(F.octet_length("pattern")) / (2 * BLOCK_BYTES)).cast("int").alias("parts"))
+    parts = filed.groupBy("block").agg(F.ceil(F.sum(F.octet_length("pattern")) / (2 * BLOCK_BYTES)).cast("int").alias("parts"))
     parts = parts.withColumn("parts", F.greatest("parts", F.lit(1)))
     shares = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TEXTS_PER_SHARE).cast("int").alias("shares"))
     sizes = small_side(parts.join(shares, "block"))
     up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["block", "part", "share", "pattern", "rank", "id", "text"]
-    own = placed.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("pattern"), F.col("parts")).cast("int"))
+    own = filed.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("pattern"), F.col("parts")).cast("int"))
     own = own.withColumn("share", up_to("shares")).withColumn("id", F.lit(None).cast(kind)).withColumn("text", F.lit(None).cast("string"))
     theirs = asked.join(sizes, "block").withColumn("share", F.pmod(F.xxhash64("id", "text"), F.col("shares")).cast("int"))
     theirs = theirs.withColumn("part", up_to("parts")).withColumn("pattern", F.lit(None).cast("string")).withColumn("rank", F.lit(None).cast(rank))
