@@ -153,7 +153,7 @@ def _sums(rows: list[tuple[str, str, str, int]]) -> pa.RecordBatch:
 
 
 def joint_corrections(rows: DataFrame) -> DataFrame:
-    """``lang, source, item, value`` from ``lang, path, times``; equal beginnings lie together, and trees are bounded."""
+    """``lang, source, item, value`` from ``lang, path, times``: in a partition rows that begin alike follow each other, and trees are bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, tree = None, Tree()

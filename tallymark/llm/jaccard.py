@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import raw_texts, written
+from tallymark.llm.common import raw_texts, sized_broadcast, written
 from tallymark.llm.components import components
 
 SHINGLE = 3
@@ -295,12 +295,38 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), blocks.alias("blocks"))
 
 
-def _part(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _roots(met: DataFrame) -> DataFrame:
+    """``region, pivot, root``: pivots that links join, directly or through a row linked to both, have one root.
+
+    What meets per region are pairs of its pivots, a bounded number.
+    """
+    pairs = met.where(F.size("members") > 0).select("region", F.explode(F.transform("members", lambda b: F.struct(F.get("members", F.lit(0)).alias("a"), b.alias("b")))).alias("p"))
+    packed = pairs.groupBy("region").agg(F.collect_set("p").alias("pairs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for region, own in zip(batch.column("region").to_pylist(), batch.column("pairs").to_pylist()):
+                root = {x: x for p in own for x in (p["a"], p["b"])}
+                for _ in root:  # a chain has no more steps than pivots
+                    for p in own:
+                        root[p["a"]] = root[p["b"]] = min(root[p["a"]], root[p["b"]])
+                out += [(region, x, r) for x, r in root.items()]
+            columns = [pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ()))]
+            yield pa.RecordBatch.from_arrays(columns, ["region", "pivot", "root"])
+
+    return packed.mapInArrow(run, "region long, pivot long, root long")
+
+
+def _part(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One distributed round over crowded regions: links with pivots, new regions, rows that windows cannot part."""
-    met = written(_compare_pivots(rows, _sizes(rows)), "met")
-    links = written(met.select(F.col("id").alias("a"), F.explode("linked").alias("b")), "linked")
-    labels = components(links)
-    told = met.join(labels, met["id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "id"))
+    own = F.when(F.array_min("known") == 0, F.array("id")).otherwise(F.array().cast("array<long>"))  # a pivot is at 0 from itself
+    compared = _compare_pivots(rows, _sizes(rows)).withColumn("members", F.sort_array(F.concat("linked", own)))
+    met = written(compared, "met")
+    links = met.select(F.col("id").alias("a"), F.explode("linked").alias("b"))
+    roots, _ = sized_broadcast(written(_roots(met), "roots"), F.lit(24))
+    first = F.get("members", F.lit(0))
+    told = met.withColumn("pivot", first).join(roots, ["region", "pivot"], "left").withColumn("component", F.coalesce("root", "id"))
     by_part = told.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
     main = by_part.groupBy("region").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts"))
     home = F.array_min("known")
@@ -316,7 +342,7 @@ def _part(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     split = told.join(parted, "region", "left_semi").withColumn("to", F.explode("goes"))
     split = split.select(F.xxhash64("region", "to").alias("region"), "id", "n", "hashes")
     stuck = told.join(parted, "region", "left_anti").select("region", "id", "n", "hashes", (F.col("component") == F.col("main")).alias("main"))
-    return links, split, stuck, labels
+    return links, split, stuck
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
@@ -359,7 +385,7 @@ def links(rows: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         if sizes.where("blocks > 1").isEmpty():
             return found
-        pivots, split, stuck, _ = _part(crowded)
+        pivots, split, stuck = _part(crowded)
         rows = written(split, "split")
         sizes = written(_sizes(rows), "sizes")
         more = join_regions(rows.join(sizes.where("blocks > 1"), "region", "left_anti"))
