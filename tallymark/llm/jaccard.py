@@ -38,7 +38,7 @@ SPARE = 2  # parts beyond what the bound asks for, so that empty parts need not
 WIDTH = 1.3  # ratio of neighbouring size classes
 PIVOTS = 8
 LEAF = 24
-ROWS = 4_096  # of a region that one task joins
+ROWS = 1_024  # of a region that one task joins
 HASHES = 1 << 21
 ROUNDS = 3
 GROWTH = 1.5  # windows that copy more than this no longer part a region
