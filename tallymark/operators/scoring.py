@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions import text as tx
+from tallymark.functions.matching import letters_bound, matching_ratio
 
 CORRECT_ABOVE = 0.8
 QA_CORRECT_ABOVE = 0.7
@@ -38,7 +38,7 @@ def _matcher(measure: Callable[[str, str], object]) -> Callable[[str | None, str
 
 
 def _ratio(a: str, b: str) -> float:
-    return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+    return 1.0 if a == b else matching_ratio(a, b)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -57,10 +57,7 @@ def _passes(threshold: float) -> Callable:
     """Whether the ratio passes; letter counts alone rule most pairs out."""
 
     def test(a: str, b: str) -> bool:
-        if a == b:
-            return True
-        matcher = difflib.SequenceMatcher(None, a, b)
-        return matcher.quick_ratio() > threshold and matcher.ratio() > threshold
+        return a == b or (letters_bound(a, b) > threshold and matching_ratio(a, b) > threshold)
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         passes = _matcher(test)
