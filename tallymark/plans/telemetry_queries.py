@@ -20,23 +20,30 @@ def ticks_stream(spark, d):
     return st.metric_ticks(st.read_events(spark, d, "events.parquet"))
 
 
+UNSORTED_BATCHES = 8
+
+
+def unsorted_events(spark, d, name):
+    """Event files in no order of time, read in eight batches; a batch has a file for every core."""
+    folder, cores = scratch_path(spark, name), spark.sparkContext.defaultParallelism
+    views.table(spark, d, "events").repartition(UNSORTED_BATCHES * cores, "event_id").write.parquet(folder)
+    return folder, st.read_events(spark, folder, files_per_trigger=cores)
+
+
 def unsorted_ticks_stream(spark, d):
-    """The same readings from eight files in no order of time, one file per batch."""
-    folder = scratch_path(spark, "unsorted-events")
-    views.table(spark, d, "events").repartition(8, "event_id").write.parquet(folder)
-    return st.metric_ticks(st.read_events(spark, folder, files_per_trigger=1))
+    """The same readings from files in no order of time, in eight batches."""
+    return st.metric_ticks(unsorted_events(spark, d, "unsorted-events")[1])
 
 
 def ended_ticks_stream(spark, d, late="60 days"):
     """The unsorted files and, after them, a heartbeat that is later than the bound on lateness."""
-    folder = scratch_path(spark, "ended-events")
+    folder, stream = unsorted_events(spark, d, "ended-events")
     events = views.table(spark, d, "events")
-    events.repartition(8, "event_id").write.parquet(folder)
     beat = events.agg((F.max("ts") + F.expr(f"INTERVAL {late}") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
     beat.select(*[F.col(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]).write.mode(
         "append"
     ).parquet(folder)
-    return st.metric_ticks(st.read_events(spark, folder, files_per_trigger=1))
+    return st.metric_ticks(stream)
 
 
 def error_stream(spark, d):
@@ -379,9 +386,7 @@ def t9(spark, d):
 
 def _newest(spark, d, n, name):
     readings = unsorted_ticks_stream(spark, d).withColumn("us", F.unix_micros("ts"))
-    out = sf.newest_rows(readings, "deployment", ["us", "tick_id"], ["cpu_percent", "memory_percent"], n)
-    with sf.state_in_rocksdb(spark):
-        return st.run_upsert(spark, out, name, ["deployment", "rank"])
+    return st.run_newest(spark, readings, "deployment", ["us", "tick_id"], ["cpu_percent", "memory_percent"], n, name)
 
 
 @query(
@@ -453,9 +458,7 @@ def t10_merged(spark, d):
 @query("t10_monthly_stream_unsorted_files", MERGED.format(period="month"))
 def t10_stream(spark, d):
     """Daily summaries kept by a stream over unsorted files, united by month."""
-    folder = scratch_path(spark, "unsorted-responses")
-    views.table(spark, d, "events").repartition(8, "event_id").write.parquet(folder)
-    log = views.responses_of(st.read_events(spark, folder, files_per_trigger=1))
+    log = views.responses_of(unsorted_events(spark, d, "unsorted-responses")[1])
     return _merged(st.run_upsert(spark, sketches.summaries(log, ["day", "model"]), "daily", ["day", "model"]), "month")
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,3 +152,63 @@ def run_upsert(spark: SparkSession, df: DataFrame, name: str, keys: Sequence[str
     out = scratch_path(spark, name)
     upsert_to(df, out, scratch_path(spark, f"{name}-state"))
     return read_upserts(spark, out, df.schema, keys)
+
+
+def _newest(rows: DataFrame, key: str, order: Sequence[str], n: int) -> DataFrame:
+    """The newest ``n`` rows per key with their rank; nulls are oldest."""
+    others = [c for c in rows.columns if c not in (key, "rank", *order)]
+    place = Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in (*order, *others)])
+    return rows.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= n)
+
+
+def run_newest(
+    spark: SparkSession, readings: DataFrame, key: str, order: Sequence[str], values: Sequence[str], n: int, name: str
+) -> DataFrame:
+    """``key, rank, order, values`` of the newest ``n`` rows per key, after a stream's end.
+
+    Each batch writes a new state of ``n`` rows a key from the state before and its own
+    rows, wherever they lie in time; no key is handed to Python.  A replayed batch starts
+    from the state before it and overwrites its own.
+    """
+    out = scratch_path(spark, name)
+    columns = [key, *order, *values]
+    held = readings.select(*columns)
+    schema = T.StructType([held.schema[key], T.StructField("rank", T.IntegerType()), *held.schema.fields[1:]])
+    done: list[int] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        before = [b for b in done if b < batch_id]
+        if before:
+            batch = session.read.schema(schema).parquet(os.path.join(out, f"batch={before[-1]}")).select(*columns).unionByName(batch)
+        _newest(batch, key, order, n).select(*schema.names).write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+        done[:] = [*before, batch_id]
+
+    query = (
+        held.writeStream.foreachBatch(write).option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(os.path.join(out, f"batch={done[-1]}"))
+
+
+def run_partials(spark: SparkSession, df: DataFrame, name: str, reduce: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``reduce`` makes of each batch of a finished stream, all batches together.
+
+    For sums that are only asked for at the end of the input: no state is kept between
+    batches, and a replayed batch overwrites its own folder.
+    """
+    out = scratch_path(spark, name)
+    schemas: list[T.StructType] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        part = reduce(batch)
+        schemas[:] = [part.schema]
+        part.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+
+    query = df.writeStream.foreachBatch(write).option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not schemas:
+        return reduce(spark.createDataFrame([], df.schema))
+    return spark.read.schema(schemas[0]).parquet(out)
