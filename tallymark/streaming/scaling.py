@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallymark.operators.telemetry import ScalingPolicy, scale_steps
 from tallymark.session import scratch_path
-from tallymark.streaming.telemetry import run_append, run_upsert
+from tallymark.streaming.telemetry import run_append, run_partials
 
 STATE = "replicas int, changed_at double"
 
@@ -36,14 +36,28 @@ def tick_stream(readings: DataFrame, key: str, every: str = "30 seconds") -> Dat
     return ticks.select(key, F.unix_seconds("window.start").alias("tick"), "load", "response_s")
 
 
+def _tick_sums(readings: DataFrame, key: str, every_s: int = 30) -> DataFrame:
+    tick = (F.floor(F.unix_seconds("ts") / every_s) * every_s).alias("tick")
+    return readings.groupBy(key, tick).agg(
+        F.sum("cpu_percent").alias("cpu"), F.count(F.lit(1)).alias("n"),
+        F.sum("response_s").alias("response"), F.count("response_s").alias("answered"),
+    )
+
+
 def run_scaling(spark: SparkSession, readings: DataFrame, key: str) -> DataFrame:
     """Finish both stages over what is available: readings to ticks, ticks to decisions.
 
     Keyed state cannot follow an aggregation in one stream.  The first stream
     runs to the end of its input, which closes every tick, the last one too,
-    however its files were ordered; the second walks the stored ticks.
+    however its files were ordered; the second walks the stored ticks.  A tick is
+    only read once all is closed, so batches write their sums and keep no state.
     """
-    ticks = run_upsert(spark, tick_stream(readings, key), "scaling-ticks", [key, "tick"])
+    lean = readings.select(key, "ts", "cpu_percent", "response_s")
+    parts = run_partials(spark, lean, "scaling-ticks", lambda batch: _tick_sums(batch, key))
+    sums = parts.groupBy(key, "tick").agg(*[F.sum(c).alias(c) for c in ("cpu", "n", "response", "answered")])
+    ticks = sums.select(
+        key, "tick", (F.col("cpu") / F.col("n") / 100).alias("load"), F.try_divide("response", "answered").alias("response_s")
+    )
     stored = scratch_path(spark, "scaling-closed")
     ticks.write.parquet(stored)
     source = spark.readStream.schema(ticks.schema).parquet(stored)
