@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tallymark.functions import text as tx
 from tallymark.functions.matching import letters_bound, matching_ratio
+from tallymark.operators.joins import null_safe_join, small_side
 
 CORRECT_ABOVE = 0.8
 QA_CORRECT_ABOVE = 0.7
@@ -95,8 +96,13 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _math_parts(p: Column, t: Column) -> dict[str, Column]:
+    return {"extracted_pred": tx.numeric_answer(p), "extracted_gt": tx.numeric_answer(t), "reasoning_steps": tx.reasoning_steps(p)}
+
+
 def _math(p: Column, t: Column, row: dict[str, Column]) -> Column:
-    correct = tx.numbers_agree(tx.numeric_answer(p), tx.numeric_answer(t))
+    known = _math_parts(p, t) | row
+    correct = tx.numbers_agree(known["extracted_pred"], known["extracted_gt"])
     return _once(correct, lambda c: _result(c.cast("double"), c, tx.math_confidence(p)))
 
 
@@ -194,9 +200,10 @@ def _map(values: dict[str, Column]) -> Column:
 
 
 def _math_details(p: Column, t: Column, row: dict[str, Column]) -> dict[str, Column]:
+    known = _math_parts(p, t) | row
     return {
-        "extracted_pred": tx.numeric_answer(p), "extracted_gt": tx.numeric_answer(t),
-        "reasoning_quality": tx.reasoning_quality(tx.reasoning_steps(p)), "language": F.lit("korean"),
+        "extracted_pred": known["extracted_pred"], "extracted_gt": known["extracted_gt"],
+        "reasoning_quality": tx.reasoning_quality(known["reasoning_steps"]), "language": F.lit("korean"),
     }
 
 
@@ -212,6 +219,9 @@ DETAILS: dict[str, Callable[[Column, Column, dict[str, Column]], dict[str, Colum
     "korean_math": _math_details, "korean_qa": _qa_details,
 }
 
+#: What an evaluator uses more than once; it is worked out once a row.
+PARTS: dict[str, Callable[[Column, Column], dict[str, Column]]] = {"korean_math": _math_parts}
+
 
 def with_details(df: DataFrame, evaluator: str) -> DataFrame:
     """Rows scored by one native evaluator, with its details as typed columns beside score, correct and confidence.
@@ -222,17 +232,33 @@ def with_details(df: DataFrame, evaluator: str) -> DataFrame:
     p, t = F.col("prediction"), F.col("truth")
     row = {"semantic": F.col("semantic")} if "semantic" in df.columns else {}
     missing = p.isNull() | t.isNull()
+    columns = df.columns
+    parts = PARTS[evaluator](p, t) if evaluator in PARTS else {}
+    if parts:
+        # a generator works the struct out once, however often its fields are used
+        df = df.select(*columns, F.inline(F.array(F.struct(*[v.alias(f"_part_{k}") for k, v in parts.items()]))))
+        row |= {k: F.col(f"_part_{k}") for k in parts}
     details = DETAILS[evaluator](p, t, row) if evaluator in DETAILS else {}
     if evaluator == "korean_math":
-        details["reasoning_steps"] = tx.reasoning_steps(p)
+        details["reasoning_steps"] = row["reasoning_steps"]
     result = F.when(missing, _result(F.lit(0.0), F.lit(False), F.lit(None).cast("double"))).otherwise(EVALUATORS[evaluator](p, t, row))
-    scored = df.withColumn("_result", F.get(F.transform(F.array(F.lit(0)), lambda _: result), F.lit(0)))
+    scored = df.select("*", F.inline(F.array(F.struct(result.alias("_result")))))
     return scored.select(
-        *df.columns, "_result.*", F.when(missing, F.lit("missing text")).alias("error"),
+        *columns, "_result.*", F.when(missing, F.lit("missing text")).alias("error"),
         *[F.when(~missing, v).alias(k) for k, v in details.items()],
     )
 
 
+def with_details_by_text(df: DataFrame, evaluator: str) -> DataFrame:
+    """``with_details`` worked out once for each pair of texts, for tables whose texts repeat.
+
+    The distinct pairs are scored and meet all rows again by both texts: by broadcast
+    if they are few, else by a shuffle.
+    """
+    texts = ["prediction", "truth"]
+    return null_safe_join(df, small_side(with_details(df.select(*texts).distinct(), evaluator)), texts)
+
+
 def evaluate(df: DataFrame, evaluator: str = "evaluator", use_stats: bool = True, details: bool = False) -> DataFrame:
     """Score each row by the evaluator its column names.
 
