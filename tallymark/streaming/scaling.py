@@ -52,7 +52,7 @@ def run_scaling(spark: SparkSession, readings: DataFrame, key: str) -> DataFrame
     however its files were ordered; the second walks the stored ticks.  A tick is
     only read once all is closed, so batches write their sums and keep no state.
     """
-    lean = readings.select(key, "ts", "cpu_percent", "response_s")
+    lean = readings.where(F.col("ts").isNotNull()).select(key, "ts", "cpu_percent", "response_s")
     parts = run_partials(spark, lean, "scaling-ticks", lambda batch: _tick_sums(batch, key))
     sums = parts.groupBy(key, "tick").agg(*[F.sum(c).alias(c) for c in ("cpu", "n", "response", "answered")])
     ticks = sums.select(

@@ -58,7 +58,7 @@ def test_scaling_over_batches_keeps_no_state_of_ticks(spark, tmp_path, monkeypat
     monkeypatch.setattr(st, "upsert_to", lambda *_: (_ for _ in ()).throw(AssertionError("a tick is kept as state")))
     data = spark.createDataFrame(rows, SCHEMA)
     want = telemetry.scaling_decisions(telemetry.scaling_ticks(data, ["deployment"]).where("deployment IS NOT NULL AND tick IS NOT NULL"), "deployment")
-    got = scaling.run_scaling(spark, stream.where("deployment IS NOT NULL AND ts IS NOT NULL"), "deployment")
+    got = scaling.run_scaling(spark, stream.where("deployment IS NOT NULL"), "deployment")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
 
 
