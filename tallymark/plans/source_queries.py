@@ -182,7 +182,7 @@ def run_documents(spark, d):
 
 def written_runs(spark, d):
     path = scratch_path(spark, "runs")
-    run_documents(spark, d).write.partitionBy("run_id").text(path)
+    runs.write_documents(run_documents(spark, d), path)
     return path
 
 
@@ -203,9 +203,9 @@ RUN_ROWS = """(
 )
 def s4(spark, d):
     """One JSON document per file; unreadable ones become rejects."""
-    good, rejects = runs.read_runs(spark, written_runs(spark, d))
-    both = good.select(F.lit(False).alias("rejected")).unionAll(rejects.select(F.lit(True).alias("rejected")))
-    return both.groupBy("rejected").agg(F.count(F.lit(1)).alias("files"))
+    parsed = runs.parsed_runs(spark, written_runs(spark, d))
+    told = parsed.select(F.col(runs.CORRUPT).isNotNull().alias("rejected"))
+    return told.groupBy("rejected").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query(

@@ -66,17 +66,19 @@ RUN_SCHEMA = T.StructType(
         T.StructField("timestamp", T.StringType()),
     ]
 )
-_CORRUPT = "_corrupt_record"
+CORRUPT = "_corrupt_record"
+FOLDER = "run_folder"
+FOLDERS = 64  # Spark lists more than 32 folders by tasks
 
 
-def read_runs(spark: SparkSession, path: str, glob: str = "*", lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Run files and rejects: (readable runs, unreadable records with their file).
+def parsed_runs(spark: SparkSession, path: str, glob: str = "*", lines: bool = False) -> DataFrame:
+    """Every run record with its file, read once; a record that cannot be parsed stands in ``CORRUPT``.
 
     One pretty-printed JSON document per file, or one per line with ``lines``.
     """
-    schema = T.StructType([*RUN_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    raw = (
+    schema = T.StructType([*RUN_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return (
         spark.read.option("pathGlobFilter", glob)
         .text(path, wholetext=not lines)
         .select(
@@ -86,8 +88,31 @@ def read_runs(spark: SparkSession, path: str, glob: str = "*", lines: bool = Fal
         )
         .select("_r.*", "file", "modified_at")
     )
-    good = raw.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
-    return good, raw.where(F.col(_CORRUPT).isNotNull()).select("file", F.col(_CORRUPT).alias("record"))
+
+
+def read_runs(spark: SparkSession, path: str, glob: str = "*", lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Run files and rejects: (readable runs, unreadable records with their file).
+
+    One pretty-printed JSON document per file, or one per line with ``lines``.  Who
+    needs both at once reads every file once with ``parsed_runs``.
+    """
+    raw = parsed_runs(spark, path, glob, lines)
+    good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return good, raw.where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("record"))
+
+
+def write_documents(documents: DataFrame, path: str, folders: int = FOLDERS) -> None:
+    """One text file per row of ``run_id, value``, in a bounded number of folders dealt by the id.
+
+    A file costs the same however short its text is, so rows are dealt to ``folders``
+    tasks, not packed by size.  A folder per run would cost several calls of the file
+    system more, and the driver would move every one when the job commits; here tasks
+    move their own files.  That leaves files behind if the job fails, so ``path`` must
+    be new.  Rows that share an id, or have none, get a file each.
+    """
+    dealt = documents.select("value", F.pmod(F.xxhash64("run_id"), F.lit(folders)).cast("int").alias(FOLDER))
+    writer = dealt.repartition(folders).write.partitionBy(FOLDER).option("maxRecordsPerFile", 1)
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", 2).mode("errorifexists").text(path)
 
 
 def unify_runs(runs: DataFrame) -> DataFrame:

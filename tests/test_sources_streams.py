@@ -211,3 +211,25 @@ def test_stream_over_many_batches_equals_batch(spark, data, tmp_path):
         return sorted(tuple(x) for x in df.select("deployment", "window.start", "cpu_peak", "ticks", "healthy").collect())
 
     assert plain(out) == plain(batch)
+
+
+def test_run_documents_get_a_file_each_in_a_bounded_number_of_folders(spark, tmp_path):
+    rows = [(f"r{i}", '{"test_id": "r%d"}' % i if i % 3 else '{"test') for i in range(200)]
+    rows += [("r7", '{"test_id": "again"}'), (None, '{"test_id": "no id"}'), (None, '{"test')]
+    path = str(tmp_path / "runs")
+    runs.write_documents(spark.createDataFrame(rows, "run_id string, value string").coalesce(1), path, folders=40)
+    folders = [p for p in (tmp_path / "runs").iterdir() if p.is_dir()]
+    files = [f.read_text() for p in folders for f in p.glob("part-*")]
+    assert len(folders) <= 40
+    assert sorted(files) == sorted(value + "\n" for _, value in rows)
+    parsed = runs.parsed_runs(spark, path).groupBy(runs.CORRUPT).count().collect()
+    bad = sum(value == '{"test' for _, value in rows)
+    assert {(r[0] or "").strip(): r["count"] for r in parsed} == {"": len(rows) - bad, '{"test': bad}
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        runs.write_documents(spark.createDataFrame(rows, "run_id string, value string"), path)
+
+
+def test_no_run_documents_leave_no_file(spark, tmp_path):
+    path = str(tmp_path / "none")
+    runs.write_documents(spark.createDataFrame([], "run_id string, value string"), path)
+    assert not list((tmp_path / "none").rglob("part-*"))
