@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.functions.report_walk import with_reports_before
 from tallymark.functions.running_median import MAX_GROUP, WINDOW_GROUP, with_median_before
 from tallymark.functions.sequence import with_running
-from tallymark.operators.joins import salted_join
+from tallymark.operators.joins import salted_join, small_side
 from tallymark.operators.samples import seeded_sample
-from tallymark.session import ensure_checkpoint_dir
+from tallymark.session import ensure_checkpoint_dir, scratch_path
 
 # The default parameter grid.
 DEFAULT_GRID: Mapping[str, Sequence[float]] = {
@@ -174,11 +175,39 @@ def median_rule(
     A report (study, trial, step, value, complete) is stopped when the best
     value of its trial so far is below the median that earlier completed trials
     of the study reported at the same step, once ``startup_trials`` of them have
-    completed and ``warmup_steps`` steps have passed.
+    completed and ``warmup_steps`` steps have passed.  Studies up to ``max_group``
+    reports, the usual ones, are walked whole by one task; larger ones are cut.  A
+    report without study, trial or step is not judged.
     """
+    # written once: read for the sizes of studies and for the walk
+    kind, path = reports.schema["value"].dataType, scratch_path(reports.sparkSession, "reports")
+    reports = reports.select(study, trial, step, F.col("value").cast("double").alias("value"), "complete")
+    reports.where(F.col(study).isNotNull()).write.parquet(path)
+    reports = reports.sparkSession.read.schema(reports.schema).parquet(path)
+    sizes = reports.groupBy(study).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_group)
+    large = small_side(sizes.select(study))
+    if large.isEmpty():
+        told = with_reports_before(reports, study, trial, step)
+    else:
+        usual = with_reports_before(reports.join(large, study, "left_anti"), study, trial, step)
+        rest = reports.join(large, study, "left_semi")
+        told = usual.unionByName(_large_studies(rest, study, trial, step, max_group, slices, window_group))
+    stop = (
+        (F.col("completed_before") >= startup_trials)
+        & (F.col(step) >= warmup_steps)
+        & (F.col("best_so_far") < F.col("median_before"))
+    )
+    judged = told.withColumn("stop", F.coalesce(stop, F.lit(False)))
+    return judged.withColumns({c: F.col(c).cast(kind) for c in ("value", "best_so_far")})
+
+
+def _large_studies(
+    reports: DataFrame, study: str, trial: str, step: str, max_group: int, slices: int | None, window_group: int
+) -> DataFrame:
+    """What ``with_reports_before`` gives, for studies that no single task should walk."""
     # read by five steps below: stored once instead of worked out five times
     ensure_checkpoint_dir(reports.sparkSession)
-    reports = reports.select(study, trial, step, "value", "complete").checkpoint()
+    reports = reports.checkpoint()
     best = with_running(reports, [study, trial], [step], {"best_so_far": ("max", F.col("value"))}, slices)
     medians = with_median_before(reports, [study, step], trial, "value", "complete", max_group, slices, window_group)
     # completed trials before each trial: one row per trial
@@ -189,13 +218,7 @@ def median_rule(
     )
     report = [study, trial, step]
     known = salted_join(reports.select(*report), before, [study, trial], [step])
-    joined = known.join(best.drop("complete"), report).join(medians, report)
-    stop = (
-        (F.col("completed_before") >= startup_trials)
-        & (F.col(step) >= warmup_steps)
-        & (F.col("best_so_far") < F.col("median_before"))
-    )
-    return joined.withColumn("stop", F.coalesce(stop, F.lit(False)))
+    return known.join(best.drop("complete"), report).join(medians, report)
 
 
 def _tenths(value: Column, per_unit: int) -> Column:

@@ -153,3 +153,42 @@ def test_a_shared_line_hides_no_copy(spark, tmp_path):
     assert pairs == [(2, 1), (3, 1), (3, 2), (5, 4)]
     scores = {(r.doc_id, r.ref_id): r.score for r in QUERIES["e3_sequence_similarity"](spark, str(tmp_path)).collect()}
     assert sorted(scores) == pairs and scores[3, 2] == 1.0 and scores[3, 1] < 0.8
+
+
+@pytest.mark.parametrize("max_group", [1, 400, 100_000])
+def test_median_rule_walks_studies_whole_or_cut_alike(spark, max_group):
+    from tallymark.operators.trials import median_rule
+
+    r = random.Random(5)
+    rows = [
+        (s, t, p, None if r.random() < 0.05 else round(r.random(), 2), t % 5 != 0)
+        for s, trials in ((1, 150), (2, 30), (3, 1)) for t in range(trials) for p in range(r.randrange(1, 5))
+    ]
+    r.shuffle(rows)
+    if max_group < 100_000:  # the bands of cut groups hold numbers only
+        rows = [(s, t, p, 0.5 if v is None else v, c) for s, t, p, v, c in rows]
+    df = spark.createDataFrame(rows, "study long, trial long, step int, value double, complete boolean").repartition(5)
+    out = median_rule(df, max_group=max_group, slices=5, window_group=20)
+    assert out.columns == [
+        "study", "trial", "step", "completed_before", "value", "best_so_far", "n_before", "median_before", "stop"
+    ]
+    got = {(x["study"], x["trial"], x["step"]): tuple(x)[3:] for x in out.collect()}
+    assert len(got) == len(rows)
+    for s, t, p, v, c in rows:
+        earlier = [x for x in rows if x[0] == s and x[1] < t]
+        own = [x[3] for x in rows if x[:2] == (s, t) and x[2] <= p and x[3] is not None]
+        at = [x[3] for x in earlier if x[2] == p and x[4]]
+        told = [x for x in at if x is not None]
+        done, best = len({x[1] for x in earlier if x[4]}), max(own, default=None)
+        median = statistics.median(told) if told else None
+        stop = done >= 3 and p >= 2 and best is not None and median is not None and best < median
+        assert got[s, t, p] == (done, v, best, len(at), median if median is None else pytest.approx(median), stop)
+
+
+def test_median_rule_of_usual_studies_has_one_pass_and_no_window_over_earlier_trials(spark):
+    from tallymark.operators.trials import median_rule
+
+    rows = [(s, t, p, float(t), True) for s in range(3) for t in range(4) for p in range(2)]
+    plan = median_rule(spark.createDataFrame(rows, "study long, trial long, step int, value double, complete boolean"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in text and "Join" not in text and "percentile" not in text
