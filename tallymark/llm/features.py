@@ -9,6 +9,7 @@ white space, so memory does not grow with a text's length.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 
@@ -22,16 +23,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's step and of its inverse, modulo 2**64."""
+@cache
+def _powers(n: int = 2 * (PIECE_BYTES + GROUP_BYTES) + 1) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's step and of its inverse, modulo 2**64; made where texts are hashed, never on the driver."""
     up, down = np.full(n, _STEP), np.full(n, np.uint64(pow(int(_STEP), -1, 1 << 64)))
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-_UP, _DOWN = _powers(2 * (PIECE_BYTES + GROUP_BYTES) + 1)
-
-
 def _mixed(h: np.ndarray, kind: int, bits: int) -> np.ndarray:
     """Bucket of each hash; features of different kinds are hashed apart."""
     h = (h ^ (h >> np.uint64(29))) * _PRIME + np.uint64(kind * 0x2545F4914F6CDD1D % (1 << 64))
@@ -87,8 +86,9 @@ def buckets(group: list[bytes], bits: int) -> Iterator[tuple[np.ndarray, np.ndar
     if not len(first):
         return
     last = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]]))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * _UP[: len(raw)], dtype=np.uint64)])
-    words = (total[last + 1] - total[first]) * _DOWN[first]
+    up, down = _powers()
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * up[: len(raw)], dtype=np.uint64)])
+    words = (total[last + 1] - total[first]) * down[first]
     yield piece[first], _mixed(words, 11, bits)
     same = piece[first[:-1]] == piece[first[1:]]
     pairs = words[:-1] * _STEP + words[1:] * np.uint64(3)

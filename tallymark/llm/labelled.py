@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,18 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
+def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending buckets as gaps, then counts, deflated: about a quarter of the pairs as they are."""
+    gaps = np.diff(keys, prepend=np.int32(0))
+    return zlib.compress(gaps.astype("<i4").tobytes() + counts.astype("<i4").tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts again; counts in the narrowest kind of number that holds them."""
+    gaps, counts = np.frombuffer(zlib.decompress(raw), "<i4").reshape(2, -1)
+    return np.cumsum(gaps, dtype=np.int32), counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def _chosen(documents: DataFrame, labels: DataFrame, rows: int, text_bytes: int) -> list[tuple]:
     """``(doc_id, body, label, place)`` of the sample, at most ``rows`` of them and about ``text_bytes`` of text.
 
@@ -50,7 +63,7 @@ def sample(
 
     Rows whose fold is 0 are held out.  Rows alike in id and text count once; an id
     with several texts or labels gives one row for each.  A row brings the driver at most one
-    pair per bucket and never more pairs than four per byte of its text.  Null ids and null labels
+    pair per bucket and never more pairs than four per byte of its text, packed.  Null ids and null labels
     take no part; null texts are empty.
     """
     chosen = _chosen(documents, labels, rows, text_bytes)
@@ -62,23 +75,19 @@ def sample(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [counted(t, bits) for t in raw_texts(batch)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("label"), batch.column("place"), batch.column("body"),
-                    pa.array([k for k, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int32())),
-                ],
-                ["label", "place", "body", "keys", "counts"],
-            )
+            found = [packed(*counted(t, bits)) for t in raw_texts(batch)]
+            columns = [batch.column("label"), batch.column("place"), batch.column("body"), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "place", "body", "pairs"])
 
     own = documents.select("doc_id", F.xxhash64("text").alias("body"), "text")
     joined = own.join(F.broadcast(wanted), ["doc_id", "body"])
     once = joined.groupBy("doc_id", "body", "label", "place").agg(F.any_value("text").alias("text"))
     lean = once.select("label", "place", "body", "text")
-    table = lean.mapInArrow(features, "label int, place long, body long, keys array<int>, counts array<int>").toArrow()
-    found = []
-    for batch in table.to_batches():
-        for label, place, body, keys, counts in zip(*(batch.column(c) for c in ("label", "place", "body", "keys", "counts"))):
-            found.append((label.as_py(), place.as_py(), body.as_py(), keys.values.to_numpy(), counts.values.to_numpy()))
+    table = lean.mapInArrow(features, "label int, place long, body long, pairs binary").toArrow()
     # which task finished first must not show in the model
-    return [(y, place, k, n) for y, place, _, k, n in sorted(found, key=lambda r: (r[1], r[0], r[2]))]
+    ordered = table.sort_by([("place", "ascending"), ("label", "ascending"), ("body", "ascending")])
+    del table
+    found = []
+    for label, place, pairs in zip(*(ordered.column(c) for c in ("label", "place", "pairs"))):
+        found.append((label.as_py(), place.as_py(), *unpacked(pairs.as_py())))
+    return found

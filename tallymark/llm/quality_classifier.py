@@ -51,14 +51,16 @@ def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], seed: int = 11) -
     dice = np.random.default_rng(seed)
     vectors = dice.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << BITS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
-    docs = [(y, k, (n / n.sum()).astype(np.float32)) for y, _, k, n in rows if len(k)]
+    docs = [(y, k, n) for y, _, k, n in rows if len(k)]
     if not docs:
         share = (sum(r[0] for r in rows) + 1) / (len(rows) + 2)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
     steps, done = EPOCHS * len(docs), 0
     for _ in range(EPOCHS):
         for i in dice.permutation(len(docs)):
-            label, keys, share = docs[i]
+            label, keys, counts = docs[i]
+            # worked out at each visit: kept, the shares of all rows would be most of the driver's numbers
+            share = (counts / counts.sum()).astype(np.float32)
             rate = RATE * (1 - done / steps)
             done += 1
             own = vectors[keys]

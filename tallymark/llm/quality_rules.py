@@ -91,7 +91,7 @@ def _calibration(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Model:
     """Fit and calibrate.  Without rows of both labels on either side the share of
     good rows stands for every probability, and 1 without any row."""
-    docs = [(y, k, n) for y, _, k, n in rows if len(k)]
+    docs = [(y, k, n.astype(np.int32)) for y, _, k, n in rows if len(k)]
     fitted, held = [d for i, d in enumerate(docs) if i % 4], docs[::4]
     if len({y for y, _, _ in fitted}) < 2 or len({y for y, _, _ in held}) < 2:
         share = (sum(r[0] for r in rows) + 1) / (len(rows) + 1)

@@ -115,3 +115,32 @@ def test_sample_is_bounded_whatever_repeats(spark):
     assert len(found) == 100
     assert len(labelled.sample(documents, labels, 10, 10_000)) == 500 + 2 + len(set(kept) & {3, 4})
     assert len(labelled.sample(documents, labels, 10, 10_000, text_bytes=200)) < 40
+
+
+def test_sample_comes_to_the_driver_packed_and_whole(spark, monkeypatch):
+    from tallymark.llm import labelled
+
+    dice = random.Random(3)
+    rows = [(i, " ".join(f"word{dice.randrange(900)}" for _ in range(700))) for i in range(40)] + [(40, "a " * 40_000), (41, None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    came, plain = [], type(documents).toArrow
+    monkeypatch.setattr(type(documents), "toArrow", lambda df: came.append(plain(df)) or came[-1])
+    found = labelled.sample(documents, labels, 17, 100)
+    want = Counter()
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            keys, counts = features.counted((text or "").encode(), 17)
+            want[i % 2, tuple(keys.tolist()), tuple(counts.tolist())] += 1
+    assert Counter((y, tuple(k.tolist()), tuple(n.tolist())) for y, _, k, n in found) == want
+    assert [place for _, place, _, _ in found] == sorted(place for _, place, _, _ in found)
+    pairs = sum(len(k) for _, _, k, _ in found)
+    assert came[0].nbytes < 8 * pairs / 2
+
+
+def test_hashing_tables_are_made_where_texts_are_hashed():
+    import subprocess
+    import sys
+
+    said = "import tallymark.llm.queries; from tallymark.llm import features; print(features._powers.cache_info().currsize)"
+    assert subprocess.run([sys.executable, "-c", said], capture_output=True, text=True, check=True).stdout.strip() == "0"
