@@ -25,6 +25,11 @@ from tallymark.llm.common import written
 
 BLOCK_ROWS = 8_192
 CHUNK_QUERIES = 512
+CELL_QUERIES = 65_536  # whose best rows a task keeps
+CELL_BYTES = 64 << 20  # of the index, or of queries, that a task reads
+CELLS_A_CORE = 4
+ANSWER_BYTES = 24  # of one row found, shuffled
+BLOCK_FIELDS = ("rows", "dims", "bits", "low", "ids", "names", "slices")
 SCALE = 64
 LARGEST = 1 << 57  # size of a quantised component: products of up to 4,096 of them fit a decimal of 38 digits
 PLAIN_BITS = 62  # scores that surely fit are summed as machine integers
@@ -169,7 +174,7 @@ class Block:
         self.valid = np.packbits(valid, bitorder="little").view(np.uint64)
         self.dims = dims
 
-    def top(self, name: int, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+    def top(self, name: int, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best ``k`` rows other than the query's own."""
         query = query[: self.dims]
         size, constant = np.abs(query), self.low * sum(query.tolist())
@@ -189,12 +194,34 @@ class Block:
         for row in first + np.flatnonzero(self.names[first:last] == name):
             among[row >> 6] &= ~(np.uint64(1) << np.uint64(row & 63))
         rows = best_rows(sums, among, k)
-        plain = width + self.bits + self.dims.bit_length() <= PLAIN_BITS
+        plain = max(width + self.bits + self.dims.bit_length(), abs(constant).bit_length()) <= PLAIN_BITS
         scores = np.zeros(len(rows), np.int64 if plain else object)
         for weight, bitmap in enumerate(sums):
             own = bitmap[rows >> 6] >> (rows & 63).astype(np.uint64) & np.uint64(1)
             scores += own.astype(np.int64) << weight if plain else own.astype(object) << weight
-        return self.ids[rows], [int(s) + constant for s in scores]
+        return self.ids[rows], scores + constant
+
+
+def better(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the best ``k`` of two lists of them; ties go to the smaller id."""
+    ids, scores = np.concatenate([one[0], other[0]]), np.concatenate([one[1], other[1]])
+    if scores.dtype == object:
+        order = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
+    else:
+        order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
+
+
+def grid(blocks: int, chunks: int, index_bytes: int, query_bytes: int, answer_bytes: int, cells: int) -> tuple[int, int]:
+    """Into how many groups blocks and chunks of queries are dealt; every group of either meets all of the other's.
+
+    Blocks are copied for each group of chunks; chunks, and the answers found, for each of blocks.  Of the ways to
+    have about ``cells`` cells that a task can hold, the one that copies the fewest bytes.
+    """
+    least_b = min(blocks, max(1, -(-index_bytes // CELL_BYTES)))
+    least_c = min(chunks, max(1, -(-query_bytes // CELL_BYTES), -(-chunks * CHUNK_QUERIES // CELL_QUERIES)))
+    ways = [(min(blocks, max(least_b, -(-cells // c))), c) for c in range(least_c, min(chunks, max(cells, least_c)) + 1)]
+    return min(ways, key=lambda w: (max(0, cells - w[0] * w[1]), w[1] * index_bytes + w[0] * (query_bytes + answer_bytes)))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -204,38 +231,65 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     go to the smaller ``vec_id``; a query with fewer rows to find gets all.  Rows
     that repeat an id are answers and queries each, of each other too.  Scores are
     exact whatever their size; one that does not fit a long is an error.  Vectors
-    of different lengths are compared as if the shorter ended in zeros.  Queries
-    meet the index in blocks: a chunk of queries and a block of rows at a time.
+    of different lengths are compared as if the shorter ended in zeros.  Groups of
+    queries meet groups of blocks, each pair of groups in one task: it holds the
+    queries and their best rows so far, and blocks pass by.  Nothing is joined.
     """
     blocks = written(index(vectors), "index")
     queries = written(queries, "queries")
-    chunks = max(1, -(-queries.count() // CHUNK_QUERIES))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias("bytes")
+    asked = queries.agg(F.count(F.lit(1)).alias("n"), total(8 * F.size("v"))).first()
+    built = blocks.agg(F.coalesce(F.max("block"), F.lit(0)).alias("last"), total(F.length("slices"))).first()
+    chunks = max(1, -(-asked["n"] // CHUNK_QUERIES))
+    wanted = CELLS_A_CORE * vectors.sparkSession.sparkContext.defaultParallelism
+    of_blocks, of_chunks = grid(built["last"] + 1, chunks, built["bytes"], asked["bytes"], asked["n"] * k * ANSWER_BYTES, wanted)
+
     packs = queries.groupBy(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk")).agg(
         F.collect_list(F.struct("row", "vec_id", "v")).alias("queries")
     )
-    # every chunk goes to every block: an equi join on both numbers, dealt evenly
-    last = blocks.agg(F.coalesce(F.max("block"), F.lit(0)).alias("n")).first()["n"]
-    to_blocks = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    to_chunks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    pairs = to_chunks.join(to_blocks, ["block", "chunk"])
+
+    def cells(name: str, groups: int, times: int, row: int, column: int) -> Column:
+        """Numbers of the cells of a row's group: as many as the other side has groups."""
+        copies = F.sequence(F.lit(0), F.lit(times - 1))
+        return F.explode(F.transform(copies, lambda i: (F.col(name) % groups * row + i * column).cast("int"))).alias("cell")
+
+    given = packs.select(cells("chunk", of_chunks, of_blocks, 1, of_chunks), "queries")
+    passing = blocks.select(cells("block", of_blocks, of_chunks, of_chunks, 1), *BLOCK_FIELDS)
+    both = given.unionByName(passing, allowMissingColumns=True)
+    dealt = both.repartitionById(of_blocks * of_chunks, "cell").sortWithinPartitions("cell", F.col("queries").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                get = {c: batch.column(c)[row] for c in batch.schema.names}
-                block = Block(*(get[c].as_py() for c in ("rows", "dims", "bits", "low", "ids", "names", "slices")))
-                own = get["queries"].values
-                names, ids = struct_field(own, "row").to_numpy(), struct_field(own, "vec_id").to_numpy()
-                found = [block.top(int(n), int(i), q, k) for n, i, q in zip(names, ids, _matrix(struct_field(own, "v")))]
-                sizes = [len(i) for i, _ in found]
-                scores = pa.array([Decimal(x) for _, s in found for x in s], pa.decimal128(38, 0))
+        cell, held = None, []  # a pack's numbers, ids and vectors, and the best rows of each query so far
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for names, ids, _, best in held:
+                sizes = [len(i) for i, _ in best]
+                scores = pa.array([Decimal(x) for _, s in best for x in s.tolist()], pa.decimal128(38, 0))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(names, sizes)), pa.array(np.repeat(ids, sizes)),
-                     pa.array(np.concatenate([i for i, _ in found])), scores],
+                     pa.array(np.concatenate([i for i, _ in best])), scores],
                     ["query", "query_id", "vec_id", "score"],
                 )
 
-    local = pairs.drop("block", "chunk").mapInArrow(run, "query long, query_id long, vec_id long, score decimal(38,0)")
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = {c: batch.column(c)[row] for c in batch.schema.names}
+                if get["cell"].as_py() != cell:
+                    yield from found()
+                    cell, held = get["cell"].as_py(), []
+                if get["queries"].is_valid:
+                    own = get["queries"].values
+                    names, ids = struct_field(own, "row").to_numpy(), struct_field(own, "vec_id").to_numpy()
+                    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    held.append((names, ids, _matrix(struct_field(own, "v")), [none] * len(ids)))
+                elif held:
+                    block = Block(*(get[c].as_py() for c in BLOCK_FIELDS))
+                    for names, ids, asking, best in held:
+                        for i, query in enumerate(asking):
+                            best[i] = better(best[i], block.top(int(names[i]), int(ids[i]), query, k), k)
+        yield from found()
+
+    local = dealt.mapInArrow(run, "query long, query_id long, vec_id long, score decimal(38,0)")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))

@@ -215,6 +215,35 @@ def test_top_k_of_few_rows(spark):
     assert topk.search(vectors, vectors.limit(0)).count() == 0
 
 
+def test_groups_of_queries_meet_groups_of_blocks_without_a_join(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 16), ("CHUNK_QUERIES", 2), ("CELL_QUERIES", 4), ("CELL_BYTES", 600)):
+        monkeypatch.setattr(topk, name, value)
+    dice = np.random.default_rng(3)
+    rows = [(i % 350, dice.normal(0, 0.2, 8).astype(np.float32).tolist()) for i in range(400)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    found = topk.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan  # copies of all queries went through the driver
+    assert sorted(tuple(r) for r in found.collect()) == sorted(brute_top(rows, 20))
+
+
+def test_cells_are_bounded_and_copy_little():
+    for blocks, chunks in ((1, 1), (1, 900), (2_000, 1), (75, 61), (2_000, 1_500)):
+        size, asked = blocks * (448 << 10), chunks * (256 << 10)
+        b, c = topk.grid(blocks, chunks, size, asked, chunks * 512 * 20 * topk.ANSWER_BYTES, 24)
+        assert 1 <= b <= blocks and 1 <= c <= chunks and b * c >= min(24, blocks * chunks)
+        assert size / b <= topk.CELL_BYTES and asked / c <= topk.CELL_BYTES and chunks * 512 / c <= topk.CELL_QUERIES
+    assert topk.grid(1, 1, 0, 0, 0, 24) == (1, 1)
+
+
+def test_best_of_two_lists_of_any_width():
+    wide = np.array([7, 2]), np.array([1 << 70, -(1 << 70)], object)
+    plain = np.array([9, 3, 5]), np.array([4, 4, -1])
+    ids, scores = topk.better(plain, wide, 4)
+    assert ids.tolist() == [7, 3, 9, 5] and scores.tolist() == [1 << 70, 4, 4, -1]
+    assert topk.better(plain, (np.array([1]), np.array([4])), 2)[0].tolist() == [1, 3]
+
+
 def test_sums_of_bitmaps():
     dice = np.random.default_rng(1)
     columns = {w: [dice.integers(0, 1 << 63, (n, 3), dtype=np.uint64)] for w, n in ((0, 1), (2, 9), (3, 2), (5, 13))}
